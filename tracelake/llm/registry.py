@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracelake.llm import quality
+from tracelake.llm import decontaminate, quality, substrings
 
 QUERIES = {}
 ORACLES = {}
-for module in (quality,):
+for module in (decontaminate, substrings, quality):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
