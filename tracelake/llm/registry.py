@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, quality, substrings
+from tracelake.llm import decontaminate, packing, quality, substrings, tokens
 
 QUERIES = {}
 ORACLES = {}
-for module in (decontaminate, substrings, quality):
+for module in (decontaminate, tokens, substrings, packing, quality):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
