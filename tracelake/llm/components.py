@@ -1,0 +1,31 @@
+"""Connected components of an edge table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracelake.llm.session import written
+
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """node, class: for each node of the edges (a, b) the smallest node that it is connected with.
+
+    Each star is a grouped minimum and a join, so a node with very many edges is
+    never gathered in one place.  Every round is written to the shared folder;
+    the number of rounds grows with the logarithm of the longest chain.
+    """
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
+    before = None
+    for k in range(1, 100):
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
+        now = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/{k}")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("class"))
