@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, neardup, packing, quality, substrings, tokens
+from tracelake.llm import decontaminate, neardup, packing, pseudonyms, quality, substrings, tokens
 
 QUERIES = {}
 ORACLES = {}
-for module in (decontaminate, tokens, substrings, neardup, packing, quality):
+for module in (pseudonyms, decontaminate, tokens, substrings, neardup, packing, quality):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
