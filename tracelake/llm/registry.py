@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, licenses, neardup, packing, pseudonyms, quality, substrings, tokens
+from tracelake.llm import decontaminate, extract, licenses, neardup, packing, pseudonyms, quality, substrings, tokens, warc
 
 QUERIES = {}
 ORACLES = {}
-for module in (pseudonyms, decontaminate, tokens, substrings, licenses, neardup, packing, quality):
+for module in (warc, extract, pseudonyms, decontaminate, tokens, substrings, licenses, neardup, packing, quality):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
