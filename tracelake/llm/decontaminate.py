@@ -14,7 +14,8 @@ at a time is bounded; documents are read twice and never shuffled.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import ragged as R
-from tracelake.llm.session import bounded_batches, table
+from tracelake.llm.session import bounded_batches, shared_dir, table, written
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -53,6 +54,13 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return items.select(items["item_id"].cast("string"), items["text"].cast("string")).mapInArrow(run, "item_id string, pos long, size int, words binary")
 
 
+class Verdict(NamedTuple):
+    n_words: np.ndarray
+    n_hit: np.ndarray
+    items: list[list[str]]
+    contaminated: np.ndarray
+
+
 class Block:
     """Distinct windows of some items, with their shingles."""
 
@@ -132,68 +140,89 @@ def opened(blocks: list[Broadcast]) -> Iterator[tuple[int, Block]]:
             block.__dict__.pop("_value", None)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, block_windows: int = 1 << 17) -> DataFrame:
-    """Per document: words inside occurrences of item windows, and the items.
-
-    docs: doc_id, text; items: item_id, text; other columns are not read.  Null
-    and empty texts have no words; an item without words has no window; with no
-    windows at all nothing is hit.  Repeated documents give one row each;
-    repeated items count once by item_id (a null one is "").
-    """
+def judge_of(docs: DataFrame, items: DataFrame, window: int, shingle: int, block_windows: int) -> Callable[[R.Texts], Verdict]:
+    """What tells for some texts how far they hold windows of the items; for this the items' shingles are counted in docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     windows = item_windows(items, window)
     n_blocks = -(-windows.count() // block_windows)
     dealt = windows.withColumn("block", F.pmod(F.xxhash64("item_id", "pos"), F.lit(max(1, n_blocks))))
     plain = [Block(dealt.where(F.col("block") == b).select("item_id", "words").toArrow(), shingle) for b in range(n_blocks)]
-    blocks = [spark.sparkContext.broadcast(b) for b in plain]
-    texts_only = docs.select(docs["text"].cast("string"))
+    counted = [spark.sparkContext.broadcast(b) for b in plain]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in R.chunks(R.texts_of(batch.column(0))):
                 words = R.words_of(texts, R.ALNUM)
                 h = R.span_hashes(texts.data, words.starts, words.ends, fold=True)
-                for b, block in opened(blocks):
+                for b, block in opened(counted):
                     for k, which, n in block.counts_in(h):
                         columns = (np.full(len(which), b), np.full(len(which), k), which, n)
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["b", "k", "which", "n"])
 
-    if blocks:
-        rare = texts_only.mapInArrow(count, "b long, k long, which long, n long").groupBy("b", "k", "which").agg(F.sum("n").alias("n"))
-        for b, block in enumerate(plain):
-            block.order({(r.k, r.which): r.n for r in rare.where(F.col("b") == b).collect()} if n_blocks > 1 else {(r.k, r.which): r.n for r in rare.collect()})
-        blocks = [spark.sparkContext.broadcast(b) for b in plain]
+    if plain:
+        rare = docs.select(docs["text"].cast("string")).mapInArrow(count, "b long, k long, which long, n long").groupBy("b", "k", "which").agg(F.sum("n").alias("n"))
+        rare = rare if n_blocks == 1 else written(rare, shared_dir(spark))
+        for b, block in enumerate(plain):  # at most a block's shingles at a time
+            block.order({(r.k, r.which): r.n for r in (rare if n_blocks == 1 else rare.where(F.col("b") == b)).collect()})
+    blocks = [spark.sparkContext.broadcast(b) for b in plain]
+
+    def judge(texts: R.Texts) -> Verdict:
+        words = R.words_of(texts, R.ALNUM)
+        h = R.span_hashes(texts.data, words.starts, words.ends, fold=True)
+        hit, found = np.zeros(len(h), bool), {}
+        for _, block in opened(blocks):
+            start, w = block.places(h, words.first)
+            hit |= R.covered(start, block.sizes[w], len(h))
+            of = np.searchsorted(words.first, start, "right") - 1
+            for t, x in set(zip(of.tolist(), w.tolist())):
+                found.setdefault(t, set()).update(block.items[x])
+        run = np.concatenate([[0], np.cumsum(hit)])
+        n_words, n_hit = np.diff(words.first), run[words.first[1:]] - run[words.first[:-1]]
+        return Verdict(n_words, n_hit, [sorted(found.get(t, ())) for t in range(len(texts))], (n_hit > 0) & (20 * n_hit >= n_words))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return judge
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, block_windows: int = 1 << 17) -> DataFrame:
+    """Per document: words inside occurrences of item windows, and the items.
+
+    docs: doc_id, text; items: item_id, text; other columns are not read.  Null
+    and empty texts have no words; an item without words has no window; with no
+    windows at all nothing is hit.  Repeated documents give one row each;
+    repeated items count once by item_id (a null one is "").
+    """
+    judge = judge_of(docs, items, window, shingle, block_windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, texts in R.chunks(R.texts_of(batch.column(1))):
-                words = R.words_of(texts, R.ALNUM)
-                h = R.span_hashes(texts.data, words.starts, words.ends, fold=True)
-                n_words, total = np.diff(words.first), len(h)
-                hit, found = np.zeros(total, bool), {}
-                for _, block in opened(blocks):
-                    start, w = block.places(h, words.first)
-                    hit |= R.covered(start, block.sizes[w], total)
-                    of = np.searchsorted(words.first, start, "right") - 1
-                    for t, x in set(zip(of.tolist(), w.tolist())):
-                        found.setdefault(t, set()).update(block.items[x])
-                run = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = run[words.first[1:]] - run[words.first[:-1]]
-                items = [sorted(found.get(t, ())) for t in range(to - at)]
+                v = judge(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, to - at),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(x) for x in items], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                        pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+                        pa.array(v.n_words, pa.int64()),
+                        pa.array(v.n_hit, pa.int64()),
+                        pa.array([len(x) for x in v.items], pa.int64()),
+                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in v.items], pa.string()),
+                        pa.array(v.contaminated),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(judge, RESULT)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, RESULT)
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, block_windows: int = 1 << 17) -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated; no row moves between partitions."""
+    judge, place = judge_of(docs, items, window, shingle, block_windows), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = [judge(texts).contaminated for _, _, texts in R.chunks(R.texts_of(batch.column(place)))]
+            yield batch.filter(pa.array(~np.concatenate(bad) if bad else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ repeat is too long.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -122,32 +123,42 @@ def measure(texts: R.Texts, min_repeat: int) -> dict[str, np.ndarray]:
     }
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, min_repeat: int = 8, max_fraction: float = 0.30, max_longest: int = 200) -> DataFrame:
+class Rules(NamedTuple):
+    """A text fails with under min_words words; if the union of its maximal repeated substrings of min_repeat words or more covers over max_percent of its words; or if one repeat has over max_longest words."""
+
+    min_words: int = 20
+    min_repeat: int = 8
+    max_percent: int = 30
+    max_longest: int = 200
+
+    def judge(self, texts: R.Texts) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Counts, whether the rules on words and covered share fail, and whether the text is kept."""
+        m = measure(texts, self.min_repeat)
+        failed = (m["n_words"] < self.min_words) | (100 * m["n_repeat_words"] > self.max_percent * m["n_words"])
+        return m, failed, ~failed & (m["longest_repeat"] <= self.max_longest)
+
+
+def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Counts and the verdict for every document.
 
     docs: doc_id and text; other columns are not read.  Null and empty texts
-    have no words and fail.  Repeated rows give one row each.  kept is false if
-    there are under min_words words, if the union of maximal repeated
-    substrings of min_repeat words or more covers over max_fraction of the
-    words, or if one repeat has over max_longest words.
+    have no words and fail.  Repeated rows give one row each.  An empty table
+    gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    percent = round(max_fraction * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, texts in R.chunks(R.texts_of(batch.column(1))):
-                m = measure(texts, min_repeat)
-                n = m["n_words"]
-                failed = (n < min_words) | (100 * m["n_repeat_words"] > percent * n)
+                m, failed, kept = rules.judge(texts)
                 longest = m.pop("longest_repeat")
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, to - at),
                         *(pa.array(x, pa.int64()) for x in m.values()),
                         pa.array(failed),
-                        pa.array(~failed & (longest <= max_longest)),
-                        pa.array(m["n_repeat_words"] / np.maximum(n, 1)),
+                        pa.array(kept),
+                        pa.array(m["n_repeat_words"] / np.maximum(m["n_words"], 1)),
                         pa.array(longest, pa.int64()),
                     ],
                     names=SCHEMA.names,
@@ -156,6 +167,19 @@ def quality_rules(docs: DataFrame, min_words: int = 20, min_repeat: int = 8, max
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA)
 
 
+def passing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is kept; no row moves between partitions."""
+    bounded_batches(docs.sparkSession)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [rules.judge(texts)[2] for _, _, texts in R.chunks(R.texts_of(batch.column(place)))]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
