@@ -23,16 +23,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, stop: DataFrame | None = None, undirected: bool = False) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, stop: DataFrame | None = None, undirected: bool = False, until: str | None = None) -> DataFrame:
     """node, depth, reason of every node that is reached from the seeds (node); depth is the least number of edges.
 
-    stop: nodes that are reached but not left.  allowed nodes are a matter of the
+    stop: nodes that are reached but not left.  until: no level after that of this
+    node is looked at.  allowed nodes are a matter of the
     edges passed in.  reason is null for a node whose edges were followed, and
     says otherwise why they were not: 'stop', 'depth', or 'budget' when the next
     level would exceed max_nodes.  A node without edges has reason null.
     """
     folder = scratch(edges.sparkSession)
-    edges = both_ways(edges) if undirected else edges.select("src", "dst").distinct()
+    edges = written(both_ways(edges) if undirected else edges.select("src", "dst").distinct(), f"{folder}/edges")
     level = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     levels: list[DataFrame] = []
     reason, count = None, 0
@@ -49,6 +50,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_
         if max_depth is not None and len(levels) > max_depth:
             reason = "depth"
             break
+        if until is not None and not now.where(F.col("node") == until).isEmpty():
+            break
         open_ = now if stop is None else now.join(stop.select("node").distinct(), "node", "left_anti")
         following = open_.join(edges, open_["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         seen = reduce(DataFrame.unionAll, (x.select("node") for x in levels))
@@ -94,7 +97,7 @@ def shortest_paths(edges: DataFrame, source: str, target: str, max_paths: int =
     """
     spark = edges.sparkSession
     edges = both_ways(edges) if undirected else edges.select("src", "dst").distinct()
-    seen = reach(edges, spark.createDataFrame([(source,)], "node string"), max_nodes=max_nodes, stop=spark.createDataFrame([(target,)], "node string"))
+    seen = reach(edges, spark.createDataFrame([(source,)], "node string"), max_nodes=max_nodes, until=target)
     at = written(seen, scratch(spark))
     found = at.where(F.col("node") == target).first()
     empty = spark.createDataFrame([], "path array<string>, depth int, n_paths long")
@@ -113,7 +116,6 @@ def shortest_paths(edges: DataFrame, source: str, target: str, max_paths: int =
 
 def flow_trace(edges: DataFrame, source: str, target: str, kinds: tuple[str, ...] = ("payload",), **limits: int) -> DataFrame:
     """status and the paths over edges (src, dst, kind, id) of some kinds; parallel edges are different paths, told by their ids."""
-    spark = edges.sparkSession
     edges = edges.where(F.col("kind").isin(*kinds))
     nodes = shortest_paths(edges, source, target, undirected=False, **limits)
     hops = nodes.select("path", "depth", F.posexplode(F.slice("path", 2, F.size("path") - 1)).alias("k", "dst")).withColumn("src", F.get("path", F.col("k")))
@@ -122,7 +124,7 @@ def flow_trace(edges: DataFrame, source: str, target: str, kinds: tuple[str, ...
     every = F.aggregate("steps", F.array(F.array().cast("array<string>")), lambda done, s: F.flatten(F.transform(done, lambda d: F.transform(s["ids"], lambda x: F.concat(d, F.array(x))))))
     paths = by_path.select("path", "depth", F.explode(every).alias("edges"))
     status = paths.agg(F.when(F.count(F.lit(1)) > 0, "exact").otherwise("no-path").alias("status"))
-    return status.join(paths, F.lit(True), "left") if spark else paths
+    return status.join(paths, F.lit(True), "left")
 
 
 def expand(children: DataFrame, roots: DataFrame, max_depth: int = 64, max_breadth: int | None = None, separator: str = "/") -> DataFrame:
