@@ -147,7 +147,8 @@ def judge_of(docs: DataFrame, items: DataFrame, window: int, shingle: int, block
     windows = item_windows(items, window)
     n_blocks = -(-windows.count() // block_windows)
     dealt = windows.withColumn("block", F.pmod(F.xxhash64("item_id", "pos"), F.lit(max(1, n_blocks))))
-    plain = [Block(dealt.where(F.col("block") == b).select("item_id", "words").toArrow(), shingle) for b in range(n_blocks)]
+    tables = (dealt.where(F.col("block") == b).select("item_id", "words").toArrow() for b in range(n_blocks))
+    plain = [Block(rows, shingle) for rows in tables if rows.num_rows]
     counted = [spark.sparkContext.broadcast(b) for b in plain]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +163,9 @@ def judge_of(docs: DataFrame, items: DataFrame, window: int, shingle: int, block
 
     if plain:
         rare = docs.select(docs["text"].cast("string")).mapInArrow(count, "b long, k long, which long, n long").groupBy("b", "k", "which").agg(F.sum("n").alias("n"))
-        rare = rare if n_blocks == 1 else written(rare, shared_dir(spark))
+        rare = rare if len(plain) == 1 else written(rare, shared_dir(spark))
         for b, block in enumerate(plain):  # at most a block's shingles at a time
-            block.order({(r.k, r.which): r.n for r in (rare if n_blocks == 1 else rare.where(F.col("b") == b)).collect()})
+            block.order({(r.k, r.which): r.n for r in (rare if len(plain) == 1 else rare.where(F.col("b") == b)).collect()})
     blocks = [spark.sparkContext.broadcast(b) for b in plain]
 
     def judge(texts: R.Texts) -> Verdict:
