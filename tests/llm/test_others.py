@@ -57,9 +57,9 @@ def test_near_duplicates_of_nothing(spark):
 
 def test_alignment_counts_shingles_in_order():
     a, b = words(3, 100), words(4, 100)
-    pairs = [(a, a, 1.0), (a, b, 0.0), (a, a[:50] + a[60:], 86 / 100)]
+    pairs = [(a, a, 1.0), (a, b, 0.0), (a, a[:50] + a[60:], 82 / 100)]
     got = neardup.similarities(*(R.texts_of(pa.array([" ".join(p[k]) for p in pairs])) for k in (0, 1)), 5, 0.5)
-    assert got[0] == 1.0 and got[1] == 0.0 and abs(got[2] - 86 / 100) < 0.02
+    assert got[0] == 1.0 and got[1] == 0.0 and abs(got[2] - 82 / 100) < 1e-9
 
 
 VALUES = {
