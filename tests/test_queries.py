@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tracelake.plans import relational
+from tracelake.plans import designs, relational
 
+QUERIES, ORACLES = relational.QUERIES | designs.QUERIES, relational.ORACLES | designs.ORACLES
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,13 +19,13 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", list(relational.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sql, name):
-    got = relational.QUERIES[name](spark, D)
+    got = QUERIES[name](spark, D)
     columns = sorted(got.columns)
     rows = sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())
-    if name in relational.ORACLES:
-        want = sql.sql(relational.ORACLES[name])
+    if name in ORACLES:
+        want = sql.sql(ORACLES[name])
         assert sorted(want.columns) == columns
         assert rows == sorted(repr(tuple(dict(zip(want.columns, r))[c] for c in columns)) for r in want.fetchall())
 
