@@ -8,9 +8,11 @@ verified by a banded alignment of the two shingle sequences: with n aligned
 shingles the similarity is n / (a + b - n).
 
 Exact copies count as one text throughout.  In a bucket every text is compared
-with the bucket's smallest; those that end in another class are then compared
-with all of the bucket outside their own class.  So no pair of one class is
-listed, and every pair of different classes in a bucket is verified.
+with the bucket's smallest.  Where a bucket still has several classes, its texts
+are compared with the one nearest to their mean, and at last every pair of
+different classes is.  A pair is ruled out without its texts if the shingles that
+they can share, counted by blocks of hashes, are too few.  So no pair of one class
+is listed, and every other pair in a bucket is verified or ruled out.
 
 Two texts at the threshold of 0.8 share one sketch of three shingles with a
 probability of about 0.51; all 16 bands miss with one of 1e-5.
@@ -20,16 +22,19 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import ragged as R
-from tracelake.llm.components import components
+from tracelake.operators.components import components
 from tracelake.llm.session import bounded_batches, shared_dir, table, written
 
+#: A bucket's mean has so many sums of block counts.
+MEANS = 16
 _odd = np.random.default_rng(8).integers(1, 1 << 62, 512, dtype=np.uint64) * R.U(2) + R.U(1)
 
 
@@ -126,7 +131,7 @@ def similarities(left: R.Texts, right: R.Texts, shingle: int, threshold: float)
     return np.where(total > 0, aligned / np.maximum(total, 1), 0.0)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, ell: int = 3, bands: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, ell: int = 3, bands: int = 16, blocks: int = 128) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of the document's class, for every row.
 
     docs: doc_id and text; other columns are not read.  Null texts are empty.
@@ -148,54 +153,85 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, e
                 keys = np.zeros((len(texts), bands), np.uint64)
                 keys[n > 0] = sketches(labels, first, ell, bands)
                 held = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
+                block = np.repeat(np.arange(len(texts)) * blocks, n) + (labels >> R.U(40)).astype(np.int64) % blocks
+                counts = np.bincount(block, minlength=len(texts) * blocks)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, to - at),
                         batch.column(1).slice(at, to - at),
                         pa.array(n, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(R.signed(keys[n > 0].ravel()))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * blocks, pa.int32()), pa.array(counts, pa.int32())),
                     ],
-                    names=["doc_id", "digest", "n", "keys"],
+                    names=["doc_id", "digest", "n", "keys", "counts"],
                 )
 
     hashed = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
-    drawn = written(hashed.mapInArrow(sketch, "doc_id long, digest binary, n long, keys array<long>"), f"{folder}/sketches")
-    distinct = drawn.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("x")).select("digest", "x.*")
+    drawn = written(hashed.mapInArrow(sketch, "doc_id long, digest binary, n long, keys array<long>, counts array<int>"), f"{folder}/sketches")
+    distinct = drawn.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "counts")).alias("x")).select("digest", "x.*")
     distinct = written(distinct.withColumnRenamed("doc_id", "rep"), f"{folder}/distinct")
 
     buckets = distinct.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     heads = buckets.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     crowded = written(buckets.join(heads, ["band", "key"]).select("band", "key", "rep", "n", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), f"{folder}/buckets")
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(threshold) - 1e-9
-    first_pairs = written(
-        crowded.where((F.col("rep") != F.col("head")) & alike(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(),
-        f"{folder}/pairs1",
-    )
-    links = written(verified(docs, first_pairs, shingle, threshold), f"{folder}/links1")
+    texts = written(docs.join(crowded.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{folder}/texts")
+    alike = lambda x, y, most: most >= F.lit(threshold / (1 + threshold)) * (x + y) - 1e-6
+
+    def pairs_of(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    # with the bucket's smallest
+    stars = crowded.where((F.col("rep") != F.col("head")) & alike(F.col("n"), F.col("head_n"), F.least("n", "head_n")))
+    links = written(verified(texts, written(stars.select(*pairs_of("rep", "head")).distinct(), f"{folder}/pairs1"), shingle, threshold), f"{folder}/links1")
     classes = components(links, f"{folder}/star1")
 
-    label = lambda df, node, name: df.join(classes.select(F.col("node").alias(node), F.col("class").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    placed = label(label(crowded, "rep", "own"), "head", "leading")
-    odd = placed.where("own <> leading").select("band", "key", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"))
-    across = (
-        odd.join(placed, ["band", "key"])
-        .where("own <> x_own and rep <> head and (own = leading or x < rep)")
-        .where(alike(F.col("n"), F.col("x_n")))
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
-    )
-    second_pairs = written(across, f"{folder}/pairs2")
-    if not second_pairs.isEmpty():
-        more = written(verified(docs, second_pairs, shingle, threshold), f"{folder}/links2")
-        if not more.isEmpty():
-            classes = components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).union(more), f"{folder}/star2")
+    # with the text nearest to the bucket's mean, where a bucket still has several classes
+    counts = distinct.select("rep", "counts", *(F.aggregate(F.slice("counts", i * (blocks // MEANS) + 1, blocks // MEANS), F.lit(0), lambda t, x: t + x).alias(f"m{i}") for i in range(MEANS)))
+    split = written(contested(crowded.drop("head", "head_n"), classes).join(counts, "rep"), f"{folder}/contested")
+    means = split.groupBy("band", "key").agg(*(F.avg(f"m{i}").alias(f"mean{i}") for i in range(MEANS)))
+    stray = reduce(lambda total, i: total + F.abs(F.col(f"m{i}") - F.col(f"mean{i}")), range(MEANS), F.lit(0.0))
+    hubs = split.join(means, ["band", "key"]).groupBy("band", "key").agg(F.min(F.struct(stray.alias("stray"), "rep", "n", "own", "counts")).alias("hub"))
+    spokes = split.join(hubs, ["band", "key"]).where((F.col("own") != F.col("hub.own")) & alike(F.col("n"), F.col("hub.n"), F.least("n", "hub.n")) & alike(F.col("n"), F.col("hub.n"), most_common("counts", "hub.counts")))
+    links = verified_links(texts, written(spokes.select(*pairs_of("rep", "hub.rep")).distinct(), f"{folder}/pairs2"), shingle, threshold, f"{folder}/links2")
+    split = split.select("rep", "band", "key", "n", "counts", "own")
+    if links is not None:
+        classes = components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).union(links), f"{folder}/star2")
+        split = written(contested(split.drop("own"), classes), f"{folder}/left")
+
+    # every pair of different classes that is left and can reach the threshold
+    largest = split.groupBy("band", "key", "own").count().groupBy("band", "key").agg(F.max(F.struct("count", "own")).alias("m"))
+    odd = split.join(largest, ["band", "key"]).where("own <> m.own").select(F.col("band").alias("x_band"), F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "own", "counts")), F.col("m.own").alias("large"))
+    can = alike(F.col("n"), F.col("x_n"), F.least("n", "x_n")) & alike(F.col("n"), F.col("x_n"), most_common("counts", "x_counts"))
+    across = split.join(odd, (F.col("band") == F.col("x_band")) & (F.col("key") == F.col("x_key")) & (F.col("own") != F.col("x_own")) & ((F.col("own") == F.col("large")) | (F.col("x_rep") < F.col("rep"))) & can)
+    links = verified_links(texts, written(across.select(*pairs_of("x_rep", "rep")).distinct(), f"{folder}/pairs3"), shingle, threshold, f"{folder}/links3")
+    if links is not None:
+        classes = components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).union(links), f"{folder}/star3")
 
     reps = distinct.select("digest", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("class", "rep").alias("class_id"))
     return drawn.select("doc_id", "digest").join(reps, "digest").select("doc_id", "class_id")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def contested(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The buckets' rows with their class as own, where a bucket has several classes."""
+    placed = buckets.join(classes.select(F.col("node").alias("rep"), F.col("class").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
+    several = placed.groupBy("band", "key").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+    return placed.join(several.select("band", "key"), ["band", "key"], "left_semi")
+
+
+def most_common(left: str, right: str) -> Column:
+    """The most shingles that two texts can share: no block of hashes holds more common ones than the text with fewer in it."""
+    return F.aggregate(F.zip_with(F.col(left), F.col(right), lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+
+
+def verified_links(texts: DataFrame, pairs: DataFrame, shingle: int, threshold: float, path: str) -> DataFrame | None:
+    """The pairs that verify, written; None if there are none."""
+    if pairs.isEmpty():
+        return None
+    links = written(verified(texts, pairs, shingle, threshold), path)
+    return None if links.isEmpty() else links
+
+
+def verified(texts: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of doc_ids whose alignment reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +243,6 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float)
                 linked = np.flatnonzero(similarities(left, other, shingle, threshold) >= threshold - 1e-9)
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, to - at).take(pa.array(linked)) for c in (0, 1)], names=["a", "b"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shared_dir(docs.sparkSession))
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
