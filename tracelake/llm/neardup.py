@@ -153,22 +153,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, e
                 keys = np.zeros((len(texts), bands), np.uint64)
                 keys[n > 0] = sketches(labels, first, ell, bands)
                 held = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
-                block = np.repeat(np.arange(len(texts)) * blocks, n) + (labels >> R.U(40)).astype(np.int64) % blocks
-                counts = np.bincount(block, minlength=len(texts) * blocks)
+                place = np.repeat(np.arange(len(texts)), n), (labels >> R.U(40)).astype(np.int64)
+                counts, fine = (np.bincount(place[0] * k + place[1] % k, minlength=len(texts) * k) for k in (blocks, 4 * blocks))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, to - at),
                         batch.column(1).slice(at, to - at),
                         pa.array(n, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(R.signed(keys[n > 0].ravel()))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * blocks, pa.int32()), pa.array(counts, pa.int32())),
+                        *(pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * k, pa.int32()), pa.array(c, pa.int32())) for k, c in ((blocks, counts), (4 * blocks, fine))),
                     ],
-                    names=["doc_id", "digest", "n", "keys", "counts"],
+                    names=["doc_id", "digest", "n", "keys", "counts", "fine"],
                 )
 
     hashed = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
-    drawn = written(hashed.mapInArrow(sketch, "doc_id long, digest binary, n long, keys array<long>, counts array<int>"), f"{folder}/sketches")
-    distinct = drawn.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "counts")).alias("x")).select("digest", "x.*")
+    drawn = written(hashed.mapInArrow(sketch, "doc_id long, digest binary, n long, keys array<long>, counts array<int>, fine array<int>"), f"{folder}/sketches")
+    distinct = drawn.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "counts", "fine")).alias("x")).select("digest", "x.*")
     distinct = written(distinct.withColumnRenamed("doc_id", "rep"), f"{folder}/distinct")
 
     buckets = distinct.select("rep", "n", F.posexplode("keys").alias("band", "key"))
@@ -186,22 +186,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, e
     classes = components(links, f"{folder}/star1")
 
     # with the text nearest to the bucket's mean, where a bucket still has several classes
-    counts = distinct.select("rep", "counts", *(F.aggregate(F.slice("counts", i * (blocks // MEANS) + 1, blocks // MEANS), F.lit(0), lambda t, x: t + x).alias(f"m{i}") for i in range(MEANS)))
+    counts = distinct.select("rep", "keys", "counts", "fine", *(F.aggregate(F.slice("counts", i * (blocks // MEANS) + 1, blocks // MEANS), F.lit(0), lambda t, x: t + x).alias(f"m{i}") for i in range(MEANS)))
     split = written(contested(crowded.drop("head", "head_n"), classes).join(counts, "rep"), f"{folder}/contested")
     means = split.groupBy("band", "key").agg(*(F.avg(f"m{i}").alias(f"mean{i}") for i in range(MEANS)))
     stray = reduce(lambda total, i: total + F.abs(F.col(f"m{i}") - F.col(f"mean{i}")), range(MEANS), F.lit(0.0))
     hubs = split.join(means, ["band", "key"]).groupBy("band", "key").agg(F.min(F.struct(stray.alias("stray"), "rep", "n", "own", "counts")).alias("hub"))
     spokes = split.join(hubs, ["band", "key"]).where((F.col("own") != F.col("hub.own")) & alike(F.col("n"), F.col("hub.n"), F.least("n", "hub.n")) & alike(F.col("n"), F.col("hub.n"), most_common("counts", "hub.counts")))
     links = verified_links(texts, written(spokes.select(*pairs_of("rep", "hub.rep")).distinct(), f"{folder}/pairs2"), shingle, threshold, f"{folder}/links2")
-    split = split.select("rep", "band", "key", "n", "counts", "own")
+    split = split.select("rep", "band", "key", "n", "keys", "counts", "fine", "own")
     if links is not None:
         classes = components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).union(links), f"{folder}/star2")
         split = written(contested(split.drop("own"), classes), f"{folder}/left")
 
     # every pair of different classes that is left and can reach the threshold
     largest = split.groupBy("band", "key", "own").count().groupBy("band", "key").agg(F.max(F.struct("count", "own")).alias("m"))
-    odd = split.join(largest, ["band", "key"]).where("own <> m.own").select(F.col("band").alias("x_band"), F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "own", "counts")), F.col("m.own").alias("large"))
-    can = alike(F.col("n"), F.col("x_n"), F.least("n", "x_n")) & alike(F.col("n"), F.col("x_n"), most_common("counts", "x_counts"))
+    odd = split.join(largest, ["band", "key"]).where("own <> m.own").select(F.col("band").alias("x_band"), F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "own", "keys", "counts", "fine")), F.col("m.own").alias("large"))
+    upto = lambda keys: F.slice(keys, F.lit(1), F.col("band"))
+    met_before = F.exists(F.zip_with(upto("keys"), upto("x_keys"), lambda x, y: x == y), lambda same: same)  # a pair counts in the first bucket that it shares
+    can = alike(F.col("n"), F.col("x_n"), F.least("n", "x_n")) & ~met_before
+    can &= alike(F.col("n"), F.col("x_n"), most_common("counts", "x_counts")) & alike(F.col("n"), F.col("x_n"), most_common("fine", "x_fine"))
     across = split.join(odd, (F.col("band") == F.col("x_band")) & (F.col("key") == F.col("x_key")) & (F.col("own") != F.col("x_own")) & ((F.col("own") == F.col("large")) | (F.col("x_rep") < F.col("rep"))) & can)
     links = verified_links(texts, written(across.select(*pairs_of("x_rep", "rep")).distinct(), f"{folder}/pairs3"), shingle, threshold, f"{folder}/links3")
     if links is not None:
