@@ -25,7 +25,7 @@ from tracelake.llm.session import bounded_batches, table
 
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 NEVER = np.iinfo(np.int64).max
-CACHED = 1 << 20
+CACHED = 1 << 19
 
 
 def vocabulary_path(name: str) -> str:
