@@ -231,4 +231,22 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_decontaminate": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, least(13, len(w)) AS s, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, s, array_to_string(w[k:k + s - 1], ' ') AS win FROM starts),
+x AS (SELECT r, generate_subscripts(w, 1) AS k, unnest(w) AS word FROM d),
+ahead AS (SELECT r, k, array_agg(word) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS words FROM x),
+places AS (
+  SELECT r, k, s, array_to_string(words[1:s], ' ') AS win
+  FROM ahead JOIN (SELECT DISTINCT s FROM windows) AS sizes ON len(words) >= s),
+found AS (SELECT r, k, s, item_id FROM places JOIN windows USING (s, win)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + s)) AS place FROM (SELECT DISTINCT r, k, s FROM found)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+}

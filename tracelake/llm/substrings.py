@@ -179,4 +179,20 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS word FROM d),
+windows AS (
+  SELECT r, doc_id, k, word, count(*) OVER s AS n, string_agg(word, ' ') OVER s AS win
+  FROM x WINDOW s AS (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+earliest AS (SELECT win, min(doc_id) AS least FROM windows WHERE n = 13 GROUP BY win),
+hits AS (SELECT r, k, word, coalesce(n = 13 AND doc_id > least, false) AS hit FROM windows LEFT JOIN earliest USING (win)),
+gone AS (SELECT r, k, word, bool_or(hit) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS g FROM hits),
+done AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (WHERE g) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT g) AS kept
+  FROM gone GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN done USING (r)
+"""
+}
