@@ -185,4 +185,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, generate_subscripts(w, 1) AS k, unnest(w) AS word FROM d),
+windows AS (
+  SELECT r, k, count(*) OVER s AS n, string_agg(word, ' ') OVER s AS win
+  FROM x WINDOW s AS (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+again AS (SELECT r, k, win FROM windows WHERE n = 8 QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT r, count(DISTINCT place) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + 8)) AS place FROM again) GROUP BY r),
+-- equal windows at one distance, one after another, are one repeat
+pairs AS (SELECT a.r, a.k, b.k - a.k AS gap FROM again AS a JOIN again AS b ON a.r = b.r AND a.win = b.win AND a.k < b.k),
+runs AS (SELECT r, count(*) + 7 AS size FROM (SELECT r, gap, k - row_number() OVER (PARTITION BY r, gap ORDER BY k) AS run FROM pairs) GROUP BY r, gap, run),
+longest AS (SELECT r, max(size) AS longest_repeat FROM runs GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+doubled AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+counted AS (
+  SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(longest_repeat, 0) AS longest_repeat
+  FROM d LEFT JOIN covered USING (r) LEFT JOIN longest USING (r) LEFT JOIN doubled USING (r)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND longest_repeat <= 200 AS kept,
+  CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1) AS repeat_fraction, longest_repeat
+FROM judged
+"""
+}
