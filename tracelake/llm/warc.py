@@ -227,4 +227,18 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_warc_index_merge": op1_warc_index_merge}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_warc_index_merge": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^#]*)', ['auth', 'rest']) AS u FROM pages),
+parts AS (
+  SELECT *, string_split(lower(regexp_replace(u.auth, '^.*@', '')), ':') AS host, max(page_id) OVER (PARTITION BY h) AS newest,
+    list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS bits
+  FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(bits, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < newest THEN newest END AS refers_to,
+  array_to_string(list_reverse(string_split(regexp_replace(host[1], '^www\.', ''), '.')), ',') || CASE WHEN coalesce(host[2], '') <> '' THEN ':' || host[2] ELSE '' END || ')' || CASE WHEN u.rest = '' THEN '/' ELSE lower(u.rest) END AS url_key,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS capture_time
+FROM parts
+"""
+}
