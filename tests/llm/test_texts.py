@@ -174,3 +174,12 @@ def test_the_knapsack_is_exact():
     lengths, prices = np.array([3, 5, 7]), np.array([4.0, 7.0, 10.0])
     best = max(4 * a + 7 * b + 10 * c for a in range(8) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 22)
     assert float(packing.dearest(lengths, prices, 22) @ prices) == best
+
+
+def test_the_program_places_the_bulk():
+    rng = np.random.default_rng(6)
+    for lengths, capacity in ((rng.integers(1, 200, 20000), 512), (np.full(500, 100), 512), (rng.integers(1, 1000, 20000), 4096)):
+        histogram = dict(collections.Counter(lengths.tolist()))
+        plan = packing.Plan(histogram, capacity, 20)
+        alone = sum(n for n, _ in packing.best_fit(np.bincount(lengths, minlength=capacity + 1), capacity))
+        assert plan.placed > 0.9 and plan.sequences <= 1.001 * alone + 1

@@ -4,8 +4,10 @@ A configuration is a multiset of piece lengths that fits one sequence.  The
 program asks for the fewest configurations that cover how often each length
 occurs.  Multiplicative weights hold a price for each length; a knapsack dynamic
 program finds the dearest configuration at these prices, which is taken some
-more, and its lengths become cheaper.  The fractional solution is rounded down,
-and best fit, which looks for exact fills first, packs what it leaves over.
+more, and its lengths become cheaper.  It is taken in whole copies, so nothing is
+rounded, and the program goes on until no configuration as full as the knapsack
+allows can be made of what is left.  Best fit, which looks for exact fills first,
+packs that; Plan.placed is the share of the pieces that the program placed.
 
 The histogram has at most max_tokens entries whatever the input's size, and so
 have plan and prices; only they are on the driver.  The pieces themselves stay in
@@ -30,6 +32,8 @@ from tracelake.llm.session import bounded_batches, shared_dir, table, written
 from tracelake.llm.tokens import CACHED, vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+#: A program that needs more sequences than best fit alone by over this share (where few short pieces fill gaps) is not used.
+WORSE = 0.001
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -119,45 +123,67 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, most: int) -> DataF
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, PIECES)
 
 
-def dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """The knapsack's best configuration at these prices: how often it takes each length.  lengths ascend."""
+def worths(prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack's table: the worth of the dearest configuration within each capacity.  prices by length, -inf for one that is not there."""
     value = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        if k := upto[c]:
-            worth = value[c - lengths[:k]] + prices[:k]
-            best = int(worth.argmax())
-            if worth[best] > value[c]:
-                value[c], taken[c] = worth[best], best
-    out, c = np.zeros(len(lengths), np.int64), capacity
+        value[c] = max(value[c - 1], prices[c])
+        if h := c // 2:  # of two pieces or more, one takes half at most
+            value[c] = max(value[c], (prices[1 : h + 1] + value[c - 1 : c - h - 1 : -1]).max())
+    return value
+
+
+def traced(value: np.ndarray, prices: np.ndarray, left: np.ndarray) -> list[int]:
+    """A configuration by the table, the longest of equally dear lengths first; none is taken more often than it is left."""
+    out, prices, c = [], prices.copy(), len(value) - 1
     while c > 0:
-        if taken[c] < 0:
-            c -= 1
-        else:
-            out[taken[c]] += 1
-            c -= lengths[taken[c]]
+        worth = prices[1 : c + 1] + value[c - 1 :: -1]
+        top = worth.max()
+        if top == -np.inf:
+            break
+        out.append(int(np.flatnonzero(worth >= top - 1e-9)[-1]) + 1)
+        if out.count(out[-1]) >= left[out[-1]]:
+            prices[out[-1]] = -np.inf
+        c -= out[-1]
     return out
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> list[tuple[float, np.ndarray]]:
-    """Configurations and how often to use each, by multiplicative weights on the covered share of each length."""
-    covered, chosen = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        weight = np.exp(-np.log(len(lengths) + 1) * 2 * covered)
-        config = dearest(lengths, weight / demand * (covered < 1), capacity)
-        used = config > 0
-        if not used.any():
-            break
-        step = float((demand[used] * np.maximum(1 - covered[used], 0) / config[used]).min()) / 2
-        step = max(step, min(1.0, float((demand[used] / config[used]).min())))
-        covered += step * config / demand
-        key = config.tobytes()
-        chosen[key] = (chosen.get(key, (0.0, config))[0] + step, config)
-        if covered.min() >= 1:
-            break
-    return sorted(chosen.values(), key=lambda x: -x[0])
+def dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack's best configuration at these prices: how often it takes each length.  lengths ascend."""
+    every = np.full(capacity + 1, -np.inf)
+    every[lengths] = prices
+    return np.bincount(traced(worths(every, capacity), every, np.full(capacity + 1, capacity)), minlength=capacity + 1)[lengths]
+
+
+def program(left: np.ndarray, capacity: int, parts: int) -> Iterator[tuple[int, list[int]]]:
+    """Configurations in whole copies, by multiplicative weights, until no fullest one is found; takes their pieces from left.
+
+    A length's price is its share of a sequence, less by up to half a token's
+    share as it is covered: of all configurations, the knapsack finds the fullest,
+    and of these the one whose lengths are covered least.  A step covers a
+    1/parts of a length, or one copy.  The table serves while what it finds is as full, and as dear
+    as the dearest but for a 1/parts of what covering takes off the prices.
+    """
+    demand = np.maximum(left, 1)
+    share, rate = np.arange(capacity + 1) / capacity, 0.5 / capacity
+    price = lambda k: np.where(left[k] > 0, share[k] * np.exp(-rate * (1 - left[k] / demand[k])), -np.inf)
+    prices, fresh = price(np.arange(capacity + 1)), False
+    while left.any():
+        if not fresh:
+            value, fresh = worths(prices, capacity), True
+            full, least = int(np.ceil(value[-1] * capacity - 1e-6)), -np.inf
+        config = traced(value, prices, left)
+        if sum(config) < full or prices[config].sum() < least:
+            if least == -np.inf:
+                return
+            fresh = False
+            continue
+        lengths, n = np.unique(config, return_counts=True)
+        copies = int(np.minimum(left[lengths] // n, np.maximum(1, demand[lengths] // (parts * n))).min())
+        left[lengths] -= copies * n
+        prices[lengths] = price(lengths)
+        least = (1 - rate / parts) * value[-1]
+        yield copies, sorted(config, reverse=True)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Iterator[tuple[int, list[int]]]:
@@ -192,7 +218,7 @@ def best_fit(left: np.ndarray, capacity: int) -> Iterator[tuple[int, list[int]]]
 class Plan:
     """Where the nth piece of a length goes."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int, rounds: int):
+    def __init__(self, histogram: dict[int, int], capacity: int, parts: int):
         count = np.zeros(capacity + 1, np.int64)
         for length, n in histogram.items():
             count[length] = n
@@ -207,16 +233,15 @@ class Plan:
                 offset += length * slots
             self.sequences += copies
 
-        left = count.copy()
-        lengths = np.flatnonzero(count[:capacity])
-        if len(lengths):
-            for amount, config in fractional(lengths, count[lengths].astype(float), capacity, rounds):
-                full = config @ lengths == capacity
-                held = config > 0
-                copies = min(int(amount), int((left[lengths[held]] // config[held]).min()))
-                if copies and full:
-                    use(copies, np.repeat(lengths, config).tolist())
-                    left[lengths] -= copies * config
+        left, amounts = count.copy(), {}
+        for copies, config in program(left, capacity, parts):
+            amounts[tuple(config)] = amounts.get(tuple(config), 0) + copies
+        alone = sum(copies for copies, _ in best_fit(count.copy(), capacity))
+        if sum(amounts.values()) + sum(copies for copies, _ in best_fit(left.copy(), capacity)) > alone * (1 + WORSE) + 1:
+            left, amounts = count.copy(), {}
+        for config, copies in amounts.items():
+            use(copies, list(config))
+        self.placed = 1 - float(left.sum() / max(1, count.sum()))  # the program's share of the pieces; best fit packs the others
         for copies, config in best_fit(left, capacity):
             use(copies, config)
         rows.sort()
@@ -229,7 +254,7 @@ class Plan:
         return self.base[row] + within % self.copies[row], self.offset[row] + within // self.copies[row] * length
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, max_tokens: int = 4096, rounds: int = 160) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, max_tokens: int = 4096, parts: int = 20) -> DataFrame:
     """Every document's tokens and an end id, in pieces, packed into sequences of at most max_tokens.
 
     docs: doc_id and text; other columns are not read.  Null and empty texts are
@@ -241,7 +266,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
     bounded_batches(spark)
     pieces = written(pieces_of(docs, vocabulary, end_id, max_tokens), shared_dir(spark))
     made = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    plan = Plan({r["length"]: r["n"] for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}, max_tokens, rounds)
+    plan = Plan({r["length"]: r["n"] for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}, max_tokens, parts)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shared = spark.sparkContext.broadcast(plan)
 
