@@ -53,6 +53,15 @@ def test_flow_traces_tell_parallel_edges_apart(spark):
     assert G.flow_trace(e, "c", "a").first()["status"] == "no-path"
 
 
+def test_paths_tell_of_limits(spark):
+    wide = edges(spark, *(("a", f"b{k}") for k in range(10_001)), ("b7", "c"))
+    assert [r["path"] for r in G.shortest_paths(wide, "a", "c").collect()] == [["a", "b7", "c"]]
+    e = spark.createDataFrame([("a", "b", "payload", "1"), ("a", "x", "payload", "2"), ("b", "c", "payload", "3"), ("x", "c", "payload", "4")], "src string, dst string, kind string, id string")
+    assert [tuple(r) for r in G.shortest_paths(e, "a", "c", max_nodes=2).collect()] == [(None, None, None)]
+    assert [(r["status"], r["edges"]) for r in G.flow_trace(e, "a", "c", max_nodes=2).collect()] == [("search-limit", None)]
+    assert [(r["status"], r["n_paths"], r["edges"]) for r in G.flow_trace(e, "a", "c", max_paths=1).collect()] == [("search-limit", 2, ["1", "3"])]
+
+
 def test_hierarchies_cut_cycles_and_limits(spark):
     c = spark.createDataFrame([("t", "a", "x"), ("t", "a", "y"), ("a", "b", "z"), ("b", "a", "w")], "parent string, node string, name string")
     got = {r["path"]: r["status"] for r in G.expand(c, nodes(spark, "t")).collect()}

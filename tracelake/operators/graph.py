@@ -89,20 +89,21 @@ def focus_neighborhood(edges: DataFrame, focus: DataFrame, children: DataFrame,
     return own.unionByName(below.join(focus.select("node"), "node", "left_anti"))
 
 
-def shortest_paths(edges: DataFrame, source: str, target: str, max_paths: int = 50, max_nodes: int = 10_000, undirected: bool = True) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, target: str, max_paths: int = 50, max_nodes: int | None = None, undirected: bool = True) -> DataFrame:
     """path (array of nodes) of the shortest paths, the first max_paths in order; columns depth and n_paths tell the whole.
 
     Distances come from one traversal; the paths are then followed back over
-    edges that lower the distance by one.
+    edges that lower the distance by one.  A row of nulls says that max_nodes ended
+    the search before the target.
     """
     spark = edges.sparkSession
     edges = both_ways(edges) if undirected else edges.select("src", "dst").distinct()
     seen = reach(edges, spark.createDataFrame([(source,)], "node string"), max_nodes=max_nodes, until=target)
     at = written(seen, scratch(spark))
     found = at.where(F.col("node") == target).first()
-    empty = spark.createDataFrame([], "path array<string>, depth int, n_paths long")
     if found is None:
-        return empty
+        cut = not at.where("reason = 'budget'").isEmpty()
+        return spark.createDataFrame([(None, None, None)] if cut else [], "path array<string>, depth int, n_paths long")
     depth = found["depth"]
     steps = edges.join(at.select(F.col("node").alias("src"), F.col("depth").alias("from_depth")), "src").join(at.select(F.col("node").alias("dst"), F.col("depth").alias("to_depth")), "dst")
     steps = written(steps.where("to_depth = from_depth + 1").select("src", "dst", "to_depth"), scratch(spark))
@@ -115,15 +116,21 @@ def shortest_paths(edges: DataFrame, source: str, target: str, max_paths: int =
 
 
 def flow_trace(edges: DataFrame, source: str, target: str, kinds: tuple[str, ...] = ("payload",), **limits: int) -> DataFrame:
-    """status and the paths over edges (src, dst, kind, id) of some kinds; parallel edges are different paths, told by their ids."""
+    """status and the paths over edges (src, dst, kind, id) of some kinds; parallel edges are different paths, told by their ids.
+
+    The status is 'search-limit' where max_nodes ended the search, or max_paths is
+    less than n_paths, the number of paths by nodes.
+    """
     edges = edges.where(F.col("kind").isin(*kinds))
     nodes = shortest_paths(edges, source, target, undirected=False, **limits)
+    taken = nodes.agg(F.count("path").alias("taken"), F.count(F.lit(1)).alias("rows"), F.max("n_paths").alias("n_paths"))
+    cut = (F.col("rows") > F.col("taken")) | (F.col("n_paths") > F.col("taken"))
+    status = taken.select(F.when(cut, "search-limit").when(F.col("taken") > 0, "exact").otherwise("no-path").alias("status"), "n_paths")
     hops = nodes.select("path", "depth", F.posexplode(F.slice("path", 2, F.size("path") - 1)).alias("k", "dst")).withColumn("src", F.get("path", F.col("k")))
     options = hops.join(edges, ["src", "dst"]).groupBy("path", "depth", "k").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     by_path = options.groupBy("path", "depth").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("steps"))
     every = F.aggregate("steps", F.array(F.array().cast("array<string>")), lambda done, s: F.flatten(F.transform(done, lambda d: F.transform(s["ids"], lambda x: F.concat(d, F.array(x))))))
     paths = by_path.select("path", "depth", F.explode(every).alias("edges"))
-    status = paths.agg(F.when(F.count(F.lit(1)) > 0, "exact").otherwise("no-path").alias("status"))
     return status.join(paths, F.lit(True), "left")
 
 
