@@ -120,6 +120,16 @@ def test_licenses_against_all_lines_and_templates(spark):
     assert licenses.license_scan(table.limit(0)).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    notice = {label: text for label, text in licenses.TEMPLATES if label in ("mit", "bsd", "gpl")}
+    wrapped = {k: "x = 1\n# and so " + "\n# ".join(" ".join(v.split()[i : i + 6]) for i in range(0, len(v.split()), 6)) + " etc\n" for k, v in notice.items()}
+    apart = "\n".join(f"{w} " + "lorem ipsum dolor sit amet " * 9 for w in notice["mit"].split())
+    rows = [*enumerate(wrapped.values()), (9, apart)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[k][0] for k in range(3)} == set(wrapped) and all(got[k][1] == 1 for k in range(3))
+    assert got[9] == ("", 0)
+
+
 def test_archives_round_trip(spark):
     pages = [(5, "http://b.example.com/x", "same"), (7, "http://a.example.com/y#f", "same"), (1, "https://www.a.example.com/y", "é" * 5000), (2, None, None), (3, "u\nv", ""), (9, "http://a.example.com/y", "same"), (9, "http://a.example.com/y", "same")]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
