@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.checkpoints import written
+from tracelake.operators.checkpoints import discard, written
 
 
-def components(edges: DataFrame, folder: str) -> DataFrame:
+def components(edges: DataFrame, folder: str, max_rounds: int = 100) -> DataFrame:
     """node, class: for each node of the edges (a, b) the smallest node that it is connected with.
 
     Each star is a grouped minimum and a join, so a node with very many edges is
-    never gathered in one place.  Every round is written to the shared folder;
-    the number of rounds grows with the logarithm of the longest chain.
+    never gathered in one place.  Every round is written to the shared folder and
+    the one before it deleted; the number of rounds grows with the logarithm of
+    the longest chain.  More than max_rounds of them are an error.
     """
+    spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
-    for k in range(1, 100):
-        # done when every edge leads from a node with no other edge to one that leads nowhere
-        twice = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if now.select("b").join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and twice.isEmpty():
-            break
+    k = 0
+    while not stars(now):
+        if (k := k + 1) > max_rounds:
+            raise RuntimeError(f"components are not complete after {max_rounds} rounds")
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
         now = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/{k}")
+        discard(spark, f"{folder}/{k - 1}")
     return now.select(F.col("a").alias("node"), F.col("b").alias("class"))
+
+
+def stars(edges: DataFrame) -> bool:
+    """Does every edge lead from a node with no other edge to one that leads nowhere?"""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("out"), F.lit(0).alias("met")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("met").alias("met")).where("out + met > 1 and out > 0").isEmpty()
