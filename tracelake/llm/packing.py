@@ -16,12 +16,13 @@ Spark: they are numbered within their length and looked up in the plan.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import ragged as R
 from tracelake.llm.session import bounded_batches, shared_dir, table, written
-from tracelake.llm.tokens import CACHED, vocabulary_path
+from tracelake.llm.tokens import Known, distinct_of, vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: A program that needs more sequences than best fit alone by over this share (where few short pieces fill gaps) is not used.
@@ -43,31 +44,30 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.flat, self.bounds = Known(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: R.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin."""
-        if len(self.place) > CACHED:
-            self.forget()
+        if self.known.trim():  # the ids of what stays move together
+            rows = self.known.values
+            size = self.bounds[rows + 1] - self.bounds[rows]
+            self.flat, self.bounds = self.flat[R.ranges(self.bounds[rows], size)], np.concatenate([[0], np.cumsum(size)])
+            self.known.values = np.arange(len(rows))
         words = R.words_of(texts, R.SPACED)
-        codes, distinct = pd.factorize(R.span_hashes(texts.data, words.starts, words.ends))
-        at = np.array([self.place.get(h, -1) for h in distinct.tolist()], np.int64)
+        distinct, codes, first = distinct_of(R.span_hashes(texts.data, words.starts, words.ends))
+        at = self.known.get(distinct)
         new = np.flatnonzero(at < 0)
         if len(new):
-            first = np.full(len(distinct), len(codes))
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
             raw, spans = texts.data.tobytes(), first[new]
             found = self.library.encode_batch_fast([raw[a:b].decode() for a, b in zip(words.starts[spans].tolist(), words.ends[spans].tolist())], add_special_tokens=False)
-            ids = [np.array(x.ids, np.uint32) for x in found]
+            ids = [x.ids for x in found]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
             at[new] = len(self.bounds) - 1 + np.arange(len(new))
-            self.place.update(zip(distinct[new].tolist(), at[new].tolist()))
-            self.flat = np.concatenate([self.flat, *ids])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids])])
+            self.known.put(distinct[new], at[new])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size)])
         word = at[codes]
         counts = self.bounds[word + 1] - self.bounds[word]
         ids = self.flat[R.ranges(self.bounds[word], counts)]

@@ -6,7 +6,8 @@ without a mergeable pair are done and their symbols are counted.  As a merge
 only makes pairs of higher rank, this gives what merging one pair at a time does.
 
 A text is cut at white space into units that the pre-tokenizer never joins.
-Each distinct unit of a chunk is merged once and remembered by its hash.
+Each distinct unit of a chunk is merged once and remembered by its hash; a
+worker remembers a bounded number of them, those that it met last.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,7 @@ from tracelake.llm.session import bounded_batches, table
 
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 NEVER = np.iinfo(np.int64).max
+#: So many words or units are remembered by a worker.
 CACHED = 1 << 19
 
 
@@ -37,6 +40,48 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Known:
+    """Values of the hashes met so far, in sorted arrays; of more than `most`, about half stay: those met last."""
+
+    def __init__(self, most: int = CACHED):
+        self.most, self.turn = most, 0
+        self.keys, self.values, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The value of each hash, -1 for one that is not known."""
+        self.turn += 1
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        there = self.keys[place] == hashes
+        self.met[place[there]] = self.turn
+        return np.where(there, self.values[place], -1)
+
+    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """New hashes, ascending."""
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.values, self.met = np.insert(self.keys, at, hashes), np.insert(self.values, at, values), np.insert(self.met, at, self.turn)
+
+    def trim(self) -> bool:
+        """Forgets what was not met for longest, if there is too much."""
+        if len(self.keys) <= self.most:
+            return False
+        stay = self.met > np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]
+        self.keys, self.values, self.met = self.keys[stay], self.values[stay], self.met[stay]
+        return True
+
+
+def distinct_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values ascending, each value's place among them, and where each first stands."""
+    codes, found = pd.factorize(hashes)
+    first = np.empty(len(found), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    by = np.argsort(found, kind="stable")
+    rank = np.empty(len(found), np.int64)
+    rank[by] = np.arange(len(found))
+    return found[by], rank[codes], first[by]
+
+
 class ByteBpe:
     """The merges of a byte-level BPE file, and the counts of units seen so far in this worker."""
 
@@ -56,13 +101,13 @@ class ByteBpe:
         self.keys, self.rank, self.made = keys[by], by, made[by]
         self.symbol = {c: i for c, i in vocab.items() if len(c) == 1}
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
-        self.counts: dict[int, int] = {}
+        self.counts = Known()
 
     def merged(self, sequences: list[list[int]]) -> np.ndarray:
         """Symbols left in each sequence when nothing more merges."""
         out = np.zeros(len(sequences), np.int64)
         lengths = np.array([len(s) for s in sequences], np.int64)
-        symbols = np.fromiter((x for s in sequences for x in s), np.int64, int(lengths.sum()))
+        symbols = np.fromiter(chain.from_iterable(sequences), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(sequences)), lengths)
         while len(symbols):
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
@@ -103,19 +148,14 @@ class ByteBpe:
     def count_texts(self, texts: R.Texts) -> np.ndarray:
         odd = self.odd(texts)
         starts, ends, owner = units_of(texts)
-        hashes = R.span_hashes(texts.data, starts, ends)
-        codes, distinct = pd.factorize(hashes)
-        first = np.full(len(distinct), len(codes))
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        known = [self.counts.get(h, -1) for h in distinct.tolist()]
-        n = np.array(known, np.int64)
+        distinct, codes, first = distinct_of(R.span_hashes(texts.data, starts, ends))
+        n = self.counts.get(distinct)
         new = np.flatnonzero(n < 0)
         if len(new):
-            raw = texts.data.tobytes()
-            n[new] = self.count_units([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            if len(self.counts) > CACHED:
-                self.counts.clear()
-            self.counts.update(zip(distinct[new].tolist(), n[new].tolist()))
+            raw, spans = texts.data.tobytes(), first[new]
+            n[new] = self.count_units([raw[a:b].decode() for a, b in zip(starts[spans].tolist(), ends[spans].tolist())])
+            self.counts.put(distinct[new], n[new])
+            self.counts.trim()
         out = np.bincount(owner, weights=n[codes], minlength=len(texts)).astype(np.int64)
         for t in np.flatnonzero(odd):
             out[t] = self.count_text(texts.data[texts.offsets[t] : texts.offsets[t + 1]].tobytes().decode())
