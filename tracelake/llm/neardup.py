@@ -8,11 +8,12 @@ verified by a banded alignment of the two shingle sequences: with n aligned
 shingles the similarity is n / (a + b - n).
 
 Exact copies count as one text throughout.  In a bucket every text is compared
-with the bucket's smallest.  Where a bucket still has several classes, its texts
-are compared with the one nearest to their mean, and at last every pair of
-different classes is.  A pair is ruled out without its texts if the shingles that
-they can share, counted by blocks of hashes, are too few.  So no pair of one class
-is listed, and every other pair in a bucket is verified or ruled out.
+with one of them, its head.  Where a bucket still has several classes, its texts
+are compared with the one nearest to their mean.  What is then still open meets
+by prefixes: texts that are alike share one of the rarest shingles of each, so
+only those that share such a shingle, as well as a sketch, are verified, and
+never two of one class.  So every pair that shares a sketch is verified or ruled
+out, and a crowded bucket is not compared all with all.
 
 Two texts at the threshold of 0.8 share one sketch of three shingles with a
 probability of about 0.51; all 16 bands miss with one of 1e-5.
@@ -23,9 +24,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +36,12 @@ from tracelake.llm import ragged as R
 from tracelake.operators.components import components
 from tracelake.llm.session import bounded_batches, shared_dir, table, written
 
-#: A bucket's mean has so many sums of block counts.
-MEANS = 16
+#: A text's profile: how many of its shingles fall into each of so many ranges of hashes.
+RANGES = 16
+#: Shingles are counted by so many hash slots; the counts tell rare ones from frequent ones.
+SLOTS = 1 << 20
+#: Rows of one class are dealt into so many parts where the class's id is joined back.
+PARTS = 16
 _odd = np.random.default_rng(8).integers(1, 1 << 62, 512, dtype=np.uint64) * R.U(2) + R.U(1)
 
 
@@ -131,126 +138,232 @@ def similarities(left: R.Texts, right: R.Texts, shingle: int, threshold: float)
     return np.where(total > 0, aligned / np.maximum(total, 1), 0.0)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, ell: int = 3, bands: int = 16, blocks: int = 128) -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of the document's class, for every row.
+class Rule(NamedTuple):
+    """Texts are alike at this similarity of shingles of so many words; candidates share one of `bands` sketches of `ell` shingles."""
 
-    docs: doc_id and text; other columns are not read.  Null texts are empty.
-    Texts without a word are alike only if they are equal; a text of fewer than
-    `shingle` words is one shingle.  Rows with the same doc_id are one document.
-    A null doc_id stands as a hash of its text.  An empty table gives no rows.
-    """
+    shingle: int = 5
+    threshold: float = 0.8
+    ell: int = 3
+    bands: int = 16
+
+    def alike(self, x: str, y: str, most: Column) -> Column:
+        """Can texts of x and y shingles, of which they share `most` at most, be alike?"""
+        return most >= F.lit(self.threshold / (1 + self.threshold)) * (F.col(x) + F.col(y)) - 1e-6
+
+
+def node_of(text: Column) -> Column:
+    """A text's number: equal texts, null as an empty one, have the same."""
+    return F.xxhash64(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def classes_of(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node (the text) of every row, and node and class of the texts that have others in their class, but for the class's own node."""
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = shared_dir(spark)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    docs = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)).alias("doc_id"), text.alias("text"))
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), node_of(text).alias("node"), text.alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, texts in R.chunks(R.texts_of(batch.column(2))):
-                labels, first = labelled(texts, shingle)
+                labels, first = labelled(texts, rule.shingle)
                 n = np.diff(first)
-                keys = np.zeros((len(texts), bands), np.uint64)
-                keys[n > 0] = sketches(labels, first, ell, bands)
-                held = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
-                place = np.repeat(np.arange(len(texts)), n), (labels >> R.U(40)).astype(np.int64)
-                counts, fine = (np.bincount(place[0] * k + place[1] % k, minlength=len(texts) * k) for k in (blocks, 4 * blocks))
+                held = np.concatenate([[0], np.cumsum(np.where(n > 0, rule.bands, 0))])
+                keys = pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(R.signed(sketches(labels, first, rule.ell, rule.bands).ravel())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(n, pa.int64()), keys], names=["doc_id", "node", "n", "keys"])
+
+    drawn = written(docs.mapInArrow(sketch, "doc_id long, node long, n long, keys array<long>"), f"{folder}/sketches")
+    distinct = drawn.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    buckets = distinct.select("node", "n", F.explode("keys").alias("key"))
+    heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    crowded = written(buckets.join(heads, "key"), f"{folder}/buckets")
+    met = crowded.select("node").distinct()
+    texts = written(docs.select("node", "text").join(met, "node", "left_semi").dropDuplicates(["node"]), f"{folder}/texts")
+
+    # with the bucket's head
+    stars = crowded.where((F.col("node") != F.col("head")) & rule.alike("n", "head_n", F.least("n", "head_n")))
+    links = written(verified(texts, written(pairs(stars, "node", "head"), f"{folder}/pairs1"), rule), f"{folder}/links1")
+    classes = components(links, f"{folder}/classes1")
+
+    # with the text nearest to the bucket's mean, where a bucket still has several classes
+    split = written(contested(crowded.select("key", "node", "n"), ["key"], classes), f"{folder}/contested1")
+    if not split.isEmpty():
+        profile = written(profiles(texts.join(split.select("node").distinct(), "node", "left_semi"), rule), f"{folder}/profiles")
+        split = split.join(profile, "node")
+        means = split.groupBy("key").agg(*(F.avg(F.get("profile", F.lit(i))).alias(f"mean{i}") for i in range(RANGES)))
+        stray = reduce(lambda total, i: total + F.abs(F.get("profile", F.lit(i)) - F.col(f"mean{i}")), range(RANGES), F.lit(0.0))
+        hubs = split.join(means, "key").groupBy("key").agg(F.min(F.struct(stray.alias("stray"), "node", "n", "own", "profile")).alias("hub"))
+        shared = F.aggregate(F.zip_with(F.col("profile"), F.col("hub.profile"), lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+        spokes = split.join(hubs, "key").where((F.col("own") != F.col("hub.own")) & rule.alike("n", "hub.n", F.least("n", "hub.n")) & rule.alike("n", "hub.n", shared))
+        classes = with_links(classes, texts, written(pairs(spokes, "node", "hub.node"), f"{folder}/pairs2"), rule, f"{folder}/2")
+
+        # the rest by rare shingles
+        left = written(contested(crowded.select("key", "node", "n"), ["key"], classes), f"{folder}/contested2")
+        if not left.isEmpty():
+            keys = distinct.select("node", "keys")
+            opened = written(left.select("node", "own").distinct().join(texts, "node").join(keys, "node"), f"{folder}/open")
+            classes = with_links(classes, opened, written(sharing_rare(opened, rule), f"{folder}/pairs3"), rule, f"{folder}/3")
+    return drawn.select("doc_id", "node"), classes
+
+
+def pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def contested(rows: DataFrame, group: list[str], classes: DataFrame | None) -> DataFrame:
+    """The rows of groups with several classes, each with its class as own; without classes the rows have it."""
+    if classes is not None:
+        placed = rows.join(classes.select("node", F.col("class").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    else:
+        placed = rows
+    several = placed.groupBy(*group).agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+    return placed.join(several.select(*group), group, "left_semi")
+
+
+def with_links(classes: DataFrame, texts: DataFrame, candidates: DataFrame, rule: Rule, folder: str) -> DataFrame:
+    """The classes when those of the candidate pairs (a, b) that verify are linked too."""
+    if candidates.isEmpty():
+        return classes
+    links = written(verified(texts, candidates, rule), f"{folder}/links")
+    return classes if links.isEmpty() else components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).union(links), f"{folder}/classes")
+
+
+def profiles(texts: DataFrame, rule: Rule) -> DataFrame:
+    """node and profile of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, chunk in R.chunks(R.texts_of(batch.column(1))):
+                labels, first = labelled(chunk, rule.shingle)
+                owner = np.repeat(np.arange(len(chunk)), np.diff(first))
+                counts = np.bincount(owner * RANGES + (labels >> R.U(60)).astype(np.int64), minlength=len(chunk) * RANGES)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * RANGES, pa.int32()), pa.array(counts, pa.int32()))], names=["node", "profile"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, profile array<int>")
+
+
+def slot_counts(texts: DataFrame, rule: Rule) -> np.ndarray:
+    """How often the shingles of each hash slot occur in the texts: SLOTS numbers, whatever the input's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, chunk in R.chunks(R.texts_of(batch.column(0))):
+                labels, _ = labelled(chunk, rule.shingle)
+                seen += np.bincount((labels & R.U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        there = np.flatnonzero(seen)
+        for at in range(0, len(there), 50_000):
+            part = there[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(seen[part], pa.int64())], names=["slot", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[np.asarray(counts.column("slot"))] = np.asarray(counts.column("n"))
+    return out
+
+
+def prefixes(texts: DataFrame, counts: Broadcast, rule: Rule) -> DataFrame:
+    """node, own, n, shingle, place: the rarest shingles of each text, of which a text that is alike has one, with their places from the rarest on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, chunk in R.chunks(R.texts_of(batch.column(2))):
+                labels, first = labelled(chunk, rule.shingle)
+                n = np.diff(first)
+                owner = np.repeat(np.arange(len(chunk)), n)
+                by = np.lexsort((labels, counts.value[(labels & R.U(SLOTS - 1)).astype(np.int64)], owner))
+                place = np.arange(len(by)) - np.repeat(first[:-1], n)
+                own = np.flatnonzero(place < np.repeat(n - np.ceil(rule.threshold * n - 1e-9).astype(np.int64) + 1, n))
+                text = owner[own]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, to - at),
-                        batch.column(1).slice(at, to - at),
-                        pa.array(n, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(R.signed(keys[n > 0].ravel()))),
-                        *(pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * k, pa.int32()), pa.array(c, pa.int32())) for k, c in ((blocks, counts), (4 * blocks, fine))),
+                        *(batch.column(c).slice(at, to - at).take(pa.array(text)) for c in (0, 1)),
+                        *(pa.array(x, pa.int64()) for x in (n[text], R.signed(labels[by[own]]), place[own])),
                     ],
-                    names=["doc_id", "digest", "n", "keys", "counts", "fine"],
+                    names=["node", "own", "n", "shingle", "place"],
                 )
 
-    hashed = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
-    drawn = written(hashed.mapInArrow(sketch, "doc_id long, digest binary, n long, keys array<long>, counts array<int>, fine array<int>"), f"{folder}/sketches")
-    distinct = drawn.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "counts", "fine")).alias("x")).select("digest", "x.*")
-    distinct = written(distinct.withColumnRenamed("doc_id", "rep"), f"{folder}/distinct")
+    return texts.select("node", "own", "text").mapInArrow(run, "node long, own long, n long, shingle long, place long")
 
-    buckets = distinct.select("rep", "n", F.posexplode("keys").alias("band", "key"))
-    heads = buckets.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = written(buckets.join(heads, ["band", "key"]).select("band", "key", "rep", "n", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), f"{folder}/buckets")
-    texts = written(docs.join(crowded.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{folder}/texts")
-    alike = lambda x, y, most: most >= F.lit(threshold / (1 + threshold)) * (x + y) - 1e-6
 
-    def pairs_of(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def sharing_rare(texts: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of texts (node, own, text, keys) of different classes that share a sketch and one of their rarest shingles, and can be alike by lengths and places.
 
-    # with the bucket's smallest
-    stars = crowded.where((F.col("rep") != F.col("head")) & alike(F.col("n"), F.col("head_n"), F.least("n", "head_n")))
-    links = written(verified(texts, written(stars.select(*pairs_of("rep", "head")).distinct(), f"{folder}/pairs1"), shingle, threshold), f"{folder}/links1")
-    classes = components(links, f"{folder}/star1")
+    For each shingle only texts that are not of its largest class meet the others.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, rule))
+    rows = contested(prefixes(texts, counts, rule), ["shingle"], None)
+    rows = written(rows, shared_dir(texts.sparkSession))
+    largest = rows.groupBy("shingle", "own").count().groupBy("shingle").agg(F.max_by("own", "count").alias("large"))
+    odd = rows.join(largest, "shingle").where("own <> large").select("shingle", "large", *(F.col(c).alias(f"x_{c}") for c in ("node", "own", "n", "place")))
+    met = rows.join(odd, "shingle").where((F.col("own") != F.col("x_own")) & ((F.col("own") == F.col("large")) | (F.col("x_node") < F.col("node"))))
+    most = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place"))
+    near = pairs(met.where(rule.alike("n", "x_n", most)), "node", "x_node")
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
+    return near.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
 
-    # with the text nearest to the bucket's mean, where a bucket still has several classes
-    counts = distinct.select("rep", "keys", "counts", "fine", *(F.aggregate(F.slice("counts", i * (blocks // MEANS) + 1, blocks // MEANS), F.lit(0), lambda t, x: t + x).alias(f"m{i}") for i in range(MEANS)))
-    split = written(contested(crowded.drop("head", "head_n"), classes).join(counts, "rep"), f"{folder}/contested")
-    means = split.groupBy("band", "key").agg(*(F.avg(f"m{i}").alias(f"mean{i}") for i in range(MEANS)))
-    stray = reduce(lambda total, i: total + F.abs(F.col(f"m{i}") - F.col(f"mean{i}")), range(MEANS), F.lit(0.0))
-    hubs = split.join(means, ["band", "key"]).groupBy("band", "key").agg(F.min(F.struct(stray.alias("stray"), "rep", "n", "own", "counts")).alias("hub"))
-    spokes = split.join(hubs, ["band", "key"]).where((F.col("own") != F.col("hub.own")) & alike(F.col("n"), F.col("hub.n"), F.least("n", "hub.n")) & alike(F.col("n"), F.col("hub.n"), most_common("counts", "hub.counts")))
-    links = verified_links(texts, written(spokes.select(*pairs_of("rep", "hub.rep")).distinct(), f"{folder}/pairs2"), shingle, threshold, f"{folder}/links2")
-    split = split.select("rep", "band", "key", "n", "keys", "counts", "fine", "own")
-    if links is not None:
-        classes = components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).union(links), f"{folder}/star2")
-        split = written(contested(split.drop("own"), classes), f"{folder}/left")
-
-    # every pair of different classes that is left and can reach the threshold
-    largest = split.groupBy("band", "key", "own").count().groupBy("band", "key").agg(F.max(F.struct("count", "own")).alias("m"))
-    odd = split.join(largest, ["band", "key"]).where("own <> m.own").select(F.col("band").alias("x_band"), F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "own", "keys", "counts", "fine")), F.col("m.own").alias("large"))
-    upto = lambda keys: F.slice(keys, F.lit(1), F.col("band"))
-    met_before = F.exists(F.zip_with(upto("keys"), upto("x_keys"), lambda x, y: x == y), lambda same: same)  # a pair counts in the first bucket that it shares
-    can = alike(F.col("n"), F.col("x_n"), F.least("n", "x_n")) & ~met_before
-    can &= alike(F.col("n"), F.col("x_n"), most_common("counts", "x_counts")) & alike(F.col("n"), F.col("x_n"), most_common("fine", "x_fine"))
-    across = split.join(odd, (F.col("band") == F.col("x_band")) & (F.col("key") == F.col("x_key")) & (F.col("own") != F.col("x_own")) & ((F.col("own") == F.col("large")) | (F.col("x_rep") < F.col("rep"))) & can)
-    links = verified_links(texts, written(across.select(*pairs_of("x_rep", "rep")).distinct(), f"{folder}/pairs3"), shingle, threshold, f"{folder}/links3")
-    if links is not None:
-        classes = components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).union(links), f"{folder}/star3")
-
-    reps = distinct.select("digest", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("class", "rep").alias("class_id"))
-    return drawn.select("doc_id", "digest").join(reps, "digest").select("doc_id", "class_id")
-
-
-def contested(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """The buckets' rows with their class as own, where a bucket has several classes."""
-    placed = buckets.join(classes.select(F.col("node").alias("rep"), F.col("class").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
-    several = placed.groupBy("band", "key").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
-    return placed.join(several.select("band", "key"), ["band", "key"], "left_semi")
-
-
-def most_common(left: str, right: str) -> Column:
-    """The most shingles that two texts can share: no block of hashes holds more common ones than the text with fewer in it."""
-    return F.aggregate(F.zip_with(F.col(left), F.col(right), lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-
-
-def verified_links(texts: DataFrame, pairs: DataFrame, shingle: int, threshold: float, path: str) -> DataFrame | None:
-    """The pairs that verify, written; None if there are none."""
-    if pairs.isEmpty():
-        return None
-    links = written(verified(texts, pairs, shingle, threshold), path)
-    return None if links.isEmpty() else links
-
-
-def verified(texts: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose alignment reaches the threshold."""
+
+def verified(texts: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of nodes whose alignment reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            right = R.texts_of(batch.column(3))
-            for at, to, left in R.chunks(R.texts_of(batch.column(2))):
-                lo, hi = right.offsets[at], right.offsets[to]
-                other = R.Texts(right.data[lo:hi], right.offsets[at : to + 1] - lo)
-                linked = np.flatnonzero(similarities(left, other, shingle, threshold) >= threshold - 1e-9)
+            left, right = R.texts_of(batch.column(2)), R.texts_of(batch.column(3))
+            both = left.offsets + right.offsets
+            for at, to in R.runs(both):
+                linked = np.flatnonzero(similarities(left.part(at, to), right.part(at, to), rule.shingle, rule.threshold) >= rule.threshold - 1e-9)
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, to - at).take(pa.array(linked)) for c in (0, 1)], names=["a", "b"])
 
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = candidates.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def members(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node and least (its smallest doc_id, null if none has one) of every text, and the same with class of those in classes of several."""
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    tops = classes.select(F.col("class").alias("node"), "class").distinct()
+    return least, classes.select("node", "class").union(tops).join(least, "node")
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id of the document's class, for every row.
+
+    docs: doc_id and text; other columns are not read.  Null texts are empty.
+    Texts without a word are alike only if they are equal; a text of fewer than
+    rule.shingle words is one shingle.  Rows are told apart by their texts, so one
+    doc_id with several texts is in the class of each.  A null doc_id stays null
+    and is no class's id, unless the class has no other: then that is null.
+    Repeated rows give equal rows.  An empty table gives no rows.  A text is
+    worked on whole, in about 40 times its size of memory.
+    """
+    rows, classes = classes_of(docs, rule)
+    least, placed = members(rows, classes)
+    ids = placed.groupBy("class").agg(F.min("least").alias("class_id"))
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
+    dealt = ids.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    told = placed.withColumn("part", part).join(dealt, ["class", "part"]).select("node", "class_id")
+    by_node = least.join(told, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"))
+    return rows.join(by_node, "node").select("doc_id", "class_id")
+
+
+def first_of_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """One row of docs per class, with all its columns: that of the smallest doc_id.
+
+    A null doc_id comes after all others.  Of several texts of a class with one
+    doc_id that of the smallest hash stays, of equal texts with one doc_id any row.
+    """
+    rows, classes = classes_of(docs, rule)
+    least, placed = members(rows, classes)
+    alone = least.join(placed.select("node"), "node", "left_anti")
+    first = placed.groupBy("class").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x")).select("x.node", "x.least")
+    kept = alone.select("node", "least").unionByName(first).select(F.col("node").alias("__node"), F.coalesce("least", F.lit(0)).alias("__id"), F.col("least").isNull().alias("__none"))
+    number = docs["doc_id"].cast("long")
+    keys = {"__node": node_of(docs["text"]), "__id": F.coalesce(number, F.lit(0)), "__none": number.isNull()}
+    return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -69,6 +69,11 @@ class Texts(NamedTuple):
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def part(self, at: int, to: int) -> Texts:
+        """Texts at to to - 1."""
+        lo, hi = self.offsets[at], self.offsets[to]
+        return Texts(self.data[lo:hi], self.offsets[at : to + 1] - lo)
+
     def sums(self, per_byte: np.ndarray) -> np.ndarray:
         """For each text the sum over its bytes."""
         total = np.zeros(len(self.data) + 1, np.int64)
@@ -98,15 +103,19 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(raw[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def chunks(texts: Texts, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of whole texts of about `most` bytes (a longer text comes alone), with their places."""
-    at, n = 0, len(texts)
+def runs(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of whole items of about `most` bytes; a longer item comes alone."""
+    at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(texts.offsets, texts.offsets[at] + most, "right")) - 1)
-        to = min(to, n)
-        lo, hi = texts.offsets[at], texts.offsets[to]
-        yield at, to, Texts(texts.data[lo:hi], texts.offsets[at : to + 1] - lo)
-        at = to
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, min(to, n)
+        at = min(to, n)
+
+
+def chunks(texts: Texts, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of texts of about `most` bytes, with their places."""
+    for at, to in runs(texts.offsets, most):
+        yield at, to, texts.part(at, to)
 
 
 def words_of(texts: Texts, kept: np.ndarray) -> Words:

@@ -1,34 +1,28 @@
-"""What the operators ask of the session: batch sizes and a shared folder."""
+"""What the operators ask of the session: bounded Arrow batches and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 2000
-
+from tracelake.operators.checkpoints import scratch as shared_dir
+from tracelake.operators.checkpoints import written
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows and 32 MB, for whole texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+__all__ = ["bounded_batches", "shared_dir", "table", "written"]
 
+BATCH_ROWS, BATCH_BYTES = 2000, 12 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, as in tests, below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tracelake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tracelake-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The table, written once as Parquet and read back: later stages start from files, not from its lineage."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES, for whole texts of any length.
+
+    This is a setting of the session that stays, as what the operators return
+    runs later; a smaller bound that the caller has set is kept.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) < most):
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
