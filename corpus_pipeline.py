@@ -3,7 +3,11 @@
 Stages in order: quality rules, near-duplicates, decontamination, personal data,
 packing.  Each stage takes all documents that the one before it kept and is
 written as Parquet in the shared folder before the next begins.  All but the last
-return the columns of `documents`.
+return the columns of `documents` and no others.
+
+In every stage a null text is an empty one (which the quality rules reject), a
+null doc_id is an id that comes after all others, equal rows are judged alike,
+and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.decontaminate import uncontaminated
-from tracelake.llm.neardup import near_duplicates
+from tracelake.llm.neardup import first_of_classes
 from tracelake.llm.packing import pack
 from tracelake.llm.pseudonyms import pseudonymise
 from tracelake.llm.quality import passing
@@ -28,10 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each class.  A null doc_id stands as a hash of its text; of rows with one id, one stays."""
-    rows = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("__row"))
-    kept = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*COLUMNS)
+    """Keeps one document of each class: that of the smallest id.  Rows of one id with different texts are different documents."""
+    return first_of_classes(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
