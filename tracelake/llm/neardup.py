@@ -39,7 +39,7 @@ from tracelake.llm.session import bounded_batches, shared_dir, table, written
 #: A text's profile: how many of its shingles fall into each of so many ranges of hashes.
 RANGES = 16
 #: Shingles are counted by so many hash slots; the counts tell rare ones from frequent ones.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 #: Rows of one class are dealt into so many parts where the class's id is joined back.
 PARTS = 16
 _odd = np.random.default_rng(8).integers(1, 1 << 62, 512, dtype=np.uint64) * R.U(2) + R.U(1)
