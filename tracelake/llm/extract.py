@@ -3,13 +3,16 @@
 A page is cut into blocks at block-level tags.  A block has its word count and
 link density, those of the blocks before and after it, and what encloses it.  A
 small tree, grown on the blocks of the labelled pages below, says which blocks
-are main text.
+are main text.  Every labelled page stands there twice: as it is, and with all
+its tags and names that tell what they enclose taken away, so that the tree also
+learns pages on which only words, links and neighbours tell.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,7 +27,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Their content is no text of the page.
-DROPPED = frozenset("script style head noscript template svg iframe object canvas select button textarea audio video math title".split())
+DROPPED = frozenset("script style head noscript template svg iframe object canvas select button textarea audio video title".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -76,6 +79,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     in_link, heading, at = 0, False, 0
+    still_open: Counter[str] = Counter()
 
     def close() -> None:
         nonlocal heading
@@ -92,6 +96,15 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked.append(text)
 
+    def push(element: Open) -> None:
+        stack.append(element)
+        still_open[element.tag] += 1
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        still_open[tag] -= 1
+        return tag
+
     while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
@@ -108,21 +121,21 @@ def blocks_of(page: str) -> list[Block]:
                 close()
                 heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
             if closing:
-                k = len(stack) - 1
-                while k and stack[k].tag != tag:
-                    k -= 1
-                if k:
-                    del stack[k:]
+                if still_open[tag]:  # else it closes nothing, and what is open is not searched
+                    while pop() != tag:
+                        pass
             elif tag == "body":  # whatever the head left open ends here
-                stack[1:] = [opened(tag, attributes, stack[0])]
+                while len(stack) > 1:
+                    pop()
+                push(opened(tag, attributes, stack[0]))
             elif tag not in VOID and not (attributes.endswith("/") and tag == "svg"):
                 while len(stack) > 1 and stack[-1].tag in (CLOSES_ITSELF.get(tag, ()) if tag in CLOSES_ITSELF else ("p",) if tag in BLOCK_TAGS else ()):
-                    stack.pop()
+                    pop()
                 if tag in RAW:
                     end = re.compile(f"</{tag}[\\s>/]", re.I).search(page, at)
                     at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
                 else:
-                    stack.append(opened(tag, attributes, stack[-1]))
+                    push(opened(tag, attributes, stack[-1]))
     add(page[at:])
     close()
     return out
@@ -179,25 +192,58 @@ def classify(tree: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-_LONG = "The committee met in the spring to hear reports on the state of the river, and its members agreed that the old weirs should be repaired before the autumn floods came."
-_MID = "Prices rose a little in the second quarter, the survey found."
+_FLOOD = "The committee met in the spring to hear reports on the state of the river, and its members agreed that the old weirs should be repaired before the autumn floods came."
+_PRICES = "Prices rose a little in the second quarter, the survey found."
+_TRAIN = "Le train de nuit entre les deux villes sera remis en service au printemps prochain, a annoncé la compagnie, qui promet des voitures neuves, un wagon-restaurant et des billets moins chers que l'avion ; les syndicats, eux, attendent de voir."
+_MARKET = "El mercado abre temprano y los vecinos llegan con sus cestas antes de que salga el sol."
+_FOREST = "Im Wald hinter dem Dorf stehen Buchen, die älter sind als die Kirche, und wer dort im Herbst geht, hört außer dem Wind nichts."
+_BOAT = "Nobody remembered who had built the boat. It had always lain at the end of the pier, its paint gone grey, its ropes green with weed, and children were told not to climb into it. In the year of the great storm it broke loose in the night, crossed the bay by itself and came to rest on the far shore without a scratch, which the older people in the town took for a sign, though they could not agree of what."
+_SHORT = ["So be it.", "Done.", "¿Y después?", "Alors on attend.", "That was in May.", "Mehr wusste er nicht."]
+_SALE = "Save up to half on boots, coats and bags this week only, while stock lasts, in all our shops and online."
+_COOKIES = "We use cookies to improve this site. By staying you agree to that use of cookies."
+_REPLY = "I walked there last year and I can tell you that it is not like that at all, the path is closed from October on."
+_LETTER = "Subscribe to our letter and get all the news of the week in one mail."
+_RIGHTS = "&copy; 2020 River News &middot; all rights reserved, no part may be copied without leave."
+
+
+def _links(*names: str) -> str:
+    return "".join(f'<li><a href="/{n}">{n}</a></li>' for n in names)
+
+
 #: The labelled table's pages: blocks inside an element with data-main are main text.
 LABELLED = [
-    f'<body><nav><a href="/">Home</a> <a href="/news">News</a></nav><article data-main><h1>River works begin</h1><p>{_LONG}</p><p>So be it.</p><p>{_MID}</p><p>Done.</p></article><footer>&copy; 2020 River News &middot; all rights</footer></body>',
-    f'<body><header><a href="/">The Daily</a><p>Since 1901</p></header><div class="cookie-notice"><p>We use cookies to improve this site. By staying you agree to that use of cookies.</p></div><main data-main><h1>Fair</h1><p>{_LONG}</p><ul><li>apples</li><li>pears</li></ul><p>{_MID}</p></main><aside><h3>Related</h3><p>{_MID}</p></aside><footer><p>Contact us at the office in town.</p></footer></body>',
-    f'<body><div><a href="/a">Start</a> <a href="/b">Shop</a> <a href="/c">About</a></div><div data-main><p>{_LONG}</p><p>{_LONG} {_MID}</p><p>{_LONG}</p></div><div><a href="/x">Terms</a> <a href="/y">Privacy</a></div></body>',
-    f'<body><div><a href="/a">One</a></div><div><a href="/b">Two</a></div><div data-main><p>{_LONG}</p><p>{_MID}</p><p>{_LONG}</p></div><div>Made by us</div><div><a href="/y">Imprint</a></div></body>',
-    f'<body><article><div data-main><h2>Notes</h2><p>{_MID}</p><p>Yes.</p><p>{_LONG}</p></div><div class="share"><a href="/s">Share this</a></div><section class="comments"><h3>2 comments</h3><p>{_LONG}</p><p>I agree.</p></section></article></body>',
-    f'<body><article><div data-main><p>{_LONG}</p><p>Short one.</p></div><form><p>Subscribe to our letter and get all the news of the week in one mail.</p></form><div class="ad"><p>{_LONG}</p></div><div data-main><p>{_MID}</p><h2>More</h2><p>{_LONG}</p></div></article><div class="sidebar"><p>{_LONG}</p><p><a href="/t">Top stories of this week</a></p></div></body>',
-    f'<body><div class="ad">Buy now and save a lot of money today.</div><article data-main><h1>A walk</h1><p>{_MID}</p><p>Then <a href="/w">we went</a> home over the hill.</p><p>Fine.</p></article><nav><ul><li><a href="/1">1</a></li><li><a href="/2">2</a></li></ul></nav></body>',
-    f'<body><main><article data-main><p>Be.</p><p>To it.</p><p>{_LONG}</p></article><p><a href="/n">Next story</a></p><p><a href="/o">Older stories</a></p></main><footer><p>{_LONG}</p></footer></body>',
-    f'<body><p><a href="/h">Home</a></p><p>Menu</p><p data-main>{_LONG} {_LONG}</p><p data-main>{_MID} {_MID}</p><p data-main>{_LONG}</p><p>Back to top</p></body>',
+    f'<body><nav><ul>{_links("Home", "News", "Weather", "Sport")}</ul></nav><article data-main><h1>River works begin</h1><p>{_FLOOD}</p><p>{_SHORT[0]}</p><p>{_PRICES}</p><p>{_SHORT[1]}</p></article><footer>{_RIGHTS}</footer></body>',
+    f'<body><header><a href="/">The Daily</a><p>Since 1901</p></header><div class="cookie-notice"><p>{_COOKIES}</p></div><main data-main><h1>La feria</h1><p>{_MARKET}</p><ul><li>manzanas</li><li>peras</li></ul><p>{_MARKET} {_PRICES}</p></main><aside><h3>Related</h3><p>{_PRICES}</p></aside><footer><p>Contact us at the office in town.</p></footer></body>',
+    f'<body><div><ul>{_links("Start", "Shop", "About")}</ul></div><div data-main><p>{_FLOOD}</p><p>{_TRAIN} {_PRICES}</p><p>{_SHORT[3]}</p><p>{_FLOOD}</p></div><div><a href="/x">Terms</a> <a href="/y">Privacy</a></div></body>',
+    f'<body><div><a href="/a">Un</a></div><div><a href="/b">Deux</a></div><div data-main><p>{_TRAIN}</p><p>{_PRICES}</p><p>{_TRAIN}</p></div><div>Fait par nous</div><div><a href="/y">Mentions</a></div></body>',
+    f'<body><article><div data-main><h2>Notes</h2><p>{_PRICES}</p><p>{_SHORT[4]}</p><p>{_FLOOD}</p><p>{_BOAT}</p></div><div class="share"><a href="/s">Share this</a> <a href="/t">Print</a></div><section class="comments"><h3>2 comments</h3><p>{_REPLY}</p><p>I agree.</p><p><a href="/r">Reply</a></p></section></article></body>',
+    f'<body><article><div data-main><p>{_BOAT}</p><p>{_SHORT[0]}</p></div><form><p>{_LETTER}</p></form><div class="ad"><p>{_SALE}</p></div><div data-main><p>{_PRICES}</p><h2>More</h2><p>{_FLOOD}</p></div></article><div class="sidebar"><p>{_FLOOD}</p><p><a href="/t">Top stories of this week</a></p></div></body>',
+    f'<body><div class="ad">{_SALE}</div><article data-main><h1>A walk</h1><p>{_PRICES}</p><p>Then <a href="/w">we went</a> home over the hill.</p><p>{_SHORT[1]}</p></article><nav><ul>{_links("1", "2", "3")}</ul></nav></body>',
+    f'<body><main><article data-main><p>Be.</p><p>To it.</p><p>{_BOAT}</p></article><p><a href="/n">Next story</a></p><p><a href="/o">Older stories</a></p></main><footer><p>{_RIGHTS}</p></footer></body>',
+    f'<body><p><a href="/h">Home</a></p><p>Menu</p><p data-main>{_FLOOD} {_BOAT}</p><p data-main>{_PRICES} {_PRICES}</p><p data-main>{_FLOOD}</p><p>Back to top</p></body>',
+    f'<body><nav>{_links("Wald", "Dorf", "Karte")}</nav><div class="ad">Jetzt kaufen.</div><article data-main><h1>Die Buchen</h1><p>{_FOREST}</p><p>{_SHORT[5]}</p><p>{_FOREST} {_FOREST}</p></article><footer>Impressum und alles, was dazu gehört.</footer></body>',
+    f'<body><ul>{_links("Inicio", "Noticias", "Deportes", "Cultura", "Contacto")}</ul><div class="banner">Hoy no hay periódico.</div><article data-main><h1>Al amanecer</h1><p>{_MARKET}</p><p>{_SHORT[2]}</p><p>{_MARKET} {_FLOOD}</p><blockquote>{_SHORT[0]}</blockquote><p>{_BOAT}</p></article><footer>&copy; 2021 El Vecino</footer></body>',
+    f'<body><table><tr><td><a href="/1">Forum</a></td><td><a href="/2">Members</a></td></tr></table><div data-main><h2>The boat</h2><p>{_BOAT}</p><p>{_SHORT[4]}</p><p>{_BOAT}</p><p>{_PRICES}</p></div><div>Posted in <a href="/sea">Sea</a>, <a href="/old">Old days</a></div><div>3 people liked this</div></body>',
+    f'<body><div>Skip to content</div><div><a href="/l">Log in</a> or <a href="/j">join</a></div><div data-main><p>{_TRAIN}</p><p>{_TRAIN} {_BOAT}</p><p>{_SHORT[3]}</p><p>{_TRAIN}</p></div><div>Lire aussi</div><div><a href="/p">Les prix montent encore</a></div><div><a href="/q">Le pont est fermé</a></div></body>',
+    f'<body><nav><ul>{_links("Home", "Archive")}</ul></nav><article data-main><h1>Storm</h1><p>{_BOAT}</p><p>{_SHORT[4]}</p><p>{_FLOOD}</p><p>{_SHORT[0]}</p></article></body>',
+    f'<body><article data-main><h1>Buchen</h1><p>{_FOREST}</p><p>{_PRICES}</p></article><nav><ul>{_links("Older stories from the woods", "What the mayor said about the trees", "Maps of all our walks")}</ul></nav></body>',
+    f'<body><p data-main>{_BOAT}</p><p data-main>{_MARKET}</p><p data-main>{_SHORT[2]}</p><p data-main>{_FLOOD}</p></body>',
+    f'<body><header><a href="/">Le Quotidien</a></header><main data-main><p>{_TRAIN}</p><p>{_MARKET}</p><p>Voir <a href="/g">la gare</a>.</p></main><aside><a href="/1">Les trains de nuit ailleurs en Europe</a> <a href="/2">Ce que coûte un billet</a></aside><footer><a href="/m">Mentions légales et conditions de vente</a></footer></body>',
+    f'<body><article data-main><h1>Prices</h1><p>{_PRICES}</p><p>{_SHORT[1]}</p></article><div class="related"><p><a href="/b">Why boots cost more this year than last year</a></p></div><div id="comments"><p>{_REPLY}</p></div></body>',
 ]
+TELLING = re.compile(r"(?<=<)(/?)(?:nav|header|footer|aside|article|main|section|form)\b|\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
+def untold(page: str) -> str:
+    """The page with plain divisions in place of tags that tell what they enclose, and without names."""
+    return TELLING.sub(lambda m: f"{m[1]}div" if m[1] is not None else "", page)
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    pages = [blocks_of(p) for p in LABELLED]
-    return np.concatenate([features(b) for b in pages]), np.array([b.label for p in pages for b in p], float)
+def labelled_table(pages: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the pages, each as it is and untold."""
+    pages = LABELLED if pages is None else pages
+    cut = [blocks_of(p) for page in pages for p in (page, untold(page))]
+    return np.concatenate([features(b) for b in cut]), np.array([b.label for p in cut for b in p], float)
 
 
 def main_text(page: str | None, tree: Node) -> str:
@@ -210,7 +256,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     pages: page_id, url, html; other columns are not read.  Null and empty pages
     and pages without main text give "".  Broken markup is read as far as it
-    goes.  Repeated rows give one row each.  An empty table gives no rows.
+    goes, in time that grows with the page's length.  A null page_id or url
+    stays.  Repeated rows give one row each.  An empty table gives no rows.  A
+    page is worked on whole, however long.
     """
     bounded_batches(pages.sparkSession)
     tree = grow(*labelled_table())
