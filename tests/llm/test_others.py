@@ -101,11 +101,11 @@ def test_alignment_counts_shingles_in_order():
 
 
 VALUES = {
-    "4111111111111111": r"\d{16}", "4111-1111-1111-1111": r"\d{4}-\d{4}-\d{4}-\d{4}", "97.51.17.173": r"\d+(\.\d+){3}", "2021-02-28": r"\d{4}-\d\d-\d\d", "31/12/1999": r"\d\d/\d\d/\d{4}",
-    "und.34@mail7.example.com": r"[a-z]{3}\.\d\d@mail7\.example\.com", "+1 (017) 555-7713": r"\+1 \(\d{3}\) \d{3}-\d{4}", "123-45-6789": r"\d{3}-\d\d-\d{4}", "GB82 WEST 1234 5698 7654 32": r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d",
+    "4111111111111111": r"\d{16}", "4111-1111-1111-1111": r"\d{4}-\d{4}-\d{4}-\d{4}", "97.51.17.173": r"\d+(\.\d+){3}", "2021-02-28": r"\d{4}-\d\d-\d\d", "31/12/1999": r"\d\d/\d\d/\d{4}", "3/4/2020": r"\d\d?/\d\d?/\d{4}", "api_key: '" + "a1B2" * 90 + "'": r"api_key: '([a-z]\d[A-Z]\d){90}'",
+    "und.34@mail7.example.com": r"[a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", "+1 (017) 555-7713": r"\+1 \(\d{3}\) \d{3}-\d{4}", "123-45-6789": r"\d{3}-\d\d-\d{4}", "GB82 WEST 1234 5698 7654 32": r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d",
     'token = "04dbebab91ab85687d33eeaaf9ac699e"': r'token = "[0-9a-f]{32}"',
 }
-KEPT = ["4111111111111112", "300.1.1.1", "2021-02-30", "GB83 WEST 1234 5698 7654 32", "version 1.2.3", "1234567", ""]
+KEPT = ["666-12-3456", "900-12-3456", "000-12-3456", "123-00-4567", "123-45-0000", "4111111111111112", "300.1.1.1", "2021-02-30", "GB83 WEST 1234 5698 7654 32", "version 1.2.3", "1234567", ""]
 
 
 def test_pseudonyms_keep_format_and_links(spark):
@@ -117,6 +117,10 @@ def test_pseudonyms_keep_format_and_links(spark):
     for k, v in enumerate(KEPT):
         assert got[50 + k].text == f"x {v} y" and got[50 + k].n_changed == 0
     assert got[90].text is None and got[90].n_found == 0
+    clash = spark.createDataFrame([(1, "a 123-45-6789", 7, "x")] * 2, "doc_id long, text string, n_found int, value string")
+    once, twice = pseudonyms.pseudonymise(clash, "k").collect()
+    assert once == twice and once.n_found == 1 and once.value == "x"
+    assert pseudonyms.pseudonymise(clash.limit(0), "k").count() == 0
     card = re.search(r"see (\d+)", got[0].text)[1]
     assert sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(card[::-1])) % 10 == 0
     assert got[1].text.replace("-", "") .startswith("see " + card)
@@ -126,6 +130,8 @@ def test_the_network_is_a_permutation(spark):
     small = spark.range(1000).select(F.col("id"), F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     out = small.select(pseudonyms.moved_digits(F.col("v"), "k", "t").alias("p"))
     assert out.distinct().count() == 1000
+    numbers = spark.range(1, 900).where("id <> 666").select(F.format_string("%03d-01-0001", "id").alias("v")).select(pseudonyms.ssn(F.col("v"), "k").alias("p"))
+    assert numbers.where(r"p rlike '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'").distinct().count() == 898
     days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     assert days.select(pseudonyms.date(F.col("d"), "k").alias("p")).distinct().count() == 3000
 

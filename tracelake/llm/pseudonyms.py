@@ -8,8 +8,9 @@ everywhere and different ones stay different, and nobody without the key can tel
 which was which.
 
 Values are first validated: card numbers by their check digit, which is made anew;
-IBANs by theirs; octets by their range; dates by the calendar.  What does not
-validate stays as it is.
+IBANs by theirs; octets by their range; dates by the calendar; social security
+numbers by the areas, groups and serials that are given out; telephone numbers by
+how many digits they have.  What does not validate stays as it is.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ EPOCH, SIDE = "1900-01-01", 270
 
 #: In order: at one place the first that matches counts.
 FORMATS = {
-    "secret": r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[=:]\s{0,3}["'][^"'\s]{8,200}["'])""",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "secret": r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[=:]\s{0,3}["'][^"'\s]{8,}["'])""",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -144,7 +145,7 @@ def ip(value: Column, key: str) -> Column:
 
 
 def date(value: Column, key: str) -> Column:
-    """The date in its own format, years of four digits; of two readings of 03/04/2020 the month comes first."""
+    """The date in its own format, years of four digits, days and months of one or two; of two readings of 03/04/2020 the month comes first."""
     side = F.lit(SIDE)
     epoch = F.lit(EPOCH).cast("date")
 
@@ -156,7 +157,8 @@ def date(value: Column, key: str) -> Column:
     def read(form: str) -> Column:
         return F.struct(F.try_to_timestamp(value, F.lit(form)).cast("date").alias("day"), F.lit(form).alias("form"))
 
-    forms = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy")
+    padded = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy")
+    forms = padded + tuple(f.replace("MM", "M").replace("dd", "d") for f in padded)
     first = F.get(F.filter(F.array(*map(read, forms)), lambda x: x["day"].isNotNull()), F.lit(0))
 
     def shown(x: Column) -> Column:
@@ -174,18 +176,33 @@ def secret(value: Column, key: str) -> Column:
 
 
 def email(value: Column, key: str) -> Column:
-    local, domain = F.substring_index(F.lower(value), "@", 1), F.substring_index(value, "@", -1)
-    return F.concat(lettered(local, 0, key, "email"), F.lit("@"), domain)
+    """Local part and domain each by itself, so that one domain's addresses stay together; the last label stays."""
+    local, domain = F.substring_index(F.lower(value), "@", 1), F.substring_index(F.lower(value), "@", -1)
+    top = F.substring_index(domain, ".", -1)
+    host = lambda d: F.substr(d, F.lit(1), F.length(d) - F.length(top))
+    return F.concat(lettered(local, 0, key, "email"), F.lit("@"), lettered(host(domain), 0, key, "domain"), top)
 
 
 def phone(value: Column, key: str) -> Column:
+    """Numbers of 7 to 15 digits, as the international numbering plan has them; which of them are in use it does not say."""
     code = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?![0-9]))", 1)  # a country code that stands apart stays
     rest = F.substr(value, F.length(code) + 1)
-    return F.concat(code, refilled(rest, moved_digits(only_digits(rest), key, "phone")))
+    moved = F.concat(code, refilled(rest, moved_digits(only_digits(rest), key, "phone")))
+    return F.when(F.length(only_digits(value)).between(7, 15), moved).otherwise(value)
 
 
 def ssn(value: Column, key: str) -> Column:
-    return refilled(value, moved_digits(only_digits(value), key, "ssn"))
+    """Areas but 000, 666 and 900 on, groups but 00 and serials but 0000 are valid, and are permuted among each other."""
+
+    def moved(parts: Column) -> Column:
+        area, group, serial = (F.get(parts, F.lit(i)) for i in range(3))
+        symbols = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
+        back = lambda a: F.when(a >= 665, a + 2).otherwise(a + 1)
+        shown = lambda m: F.format_string("%03d-%02d-%04d", back(F.get(m, F.lit(0))), F.get(m, F.lit(1)) + 1, F.get(m, F.lit(2)) + 1)
+        valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+        return F.when(valid, let(feistel(symbols, F.array(*map(F.lit, (898, 99, 9999))), key, "ssn"), shown)).otherwise(value)
+
+    return let(F.transform(F.split(value, "-"), lambda p: p.cast("int")), moved)
 
 
 KINDS = {"secret": secret, "email": email, "ip": ip, "date": date, "iban": iban, "phone": phone, "ssn": ssn, "card": card}
@@ -206,8 +223,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text replaced, and n_found and n_changed: values in a known format, and those that validated.
 
     docs: text and any other columns, which stay.  A null text stays null, with
-    no values; an empty one stays empty.  Repeated rows give equal rows.  Columns
-    named n_found and n_changed are replaced; every other name may occur.
+    no values; an empty one stays empty.  Repeated rows give equal rows, an empty
+    table gives none.  Columns named n_found and n_changed are replaced; every
+    other name may occur, but for __found, __parts and __moved.  A text of any
+    length is one expression's value.
     """
     candidate = F.col("text").rlike(r"[0-9][0-9./ -]*[0-9]|@|[=:]\s{0,3}[\"']")
     found, moved, parts = pseudonymised(F.col("text"), key)
@@ -223,8 +242,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     )
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets as tracelake.pseudonym.key; the one used without it is no secret."""
+    return spark.conf.get("tracelake.pseudonym.key", "no secret")
+
+
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), "a key kept by the caller").select("doc_id", "text", "n_found", "n_changed")
+    return pseudonymise(table(spark, sf_dir, "documents"), session_key(spark)).select("doc_id", "text", "n_found", "n_changed")
 
 
 QUERIES = {"op3_feistel_pseudonyms": op3_feistel_pseudonyms}
