@@ -7,19 +7,23 @@ rarest shingle, and only that is joined with the documents' shingles.  A match
 gives the place at which the window would have to stand: it must lie within the
 document (positional and length bounds), and its words are then compared.
 
-The windows are taken in blocks of at most block_windows, so what is broadcast
-at a time is bounded; documents are read twice and never shuffled.
+The windows are dealt into blocks of about block_windows.  A block is a file in
+the shared folder: the driver makes one at a time, and a worker holds one at a
+time, however large the benchmark is.  Documents are read twice and never
+shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,47 +136,65 @@ def look_up(ordered: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place[at], at
 
 
-def opened(blocks: list[Broadcast]) -> Iterator[tuple[int, Block]]:
-    """One block at a time; where there are several, a task holds only one."""
-    for b, block in enumerate(blocks):
-        yield b, block.value
-        if len(blocks) > 1:
-            block.__dict__.pop("_value", None)
+@lru_cache(maxsize=1)
+def block_at(uri: str) -> Block:
+    """A block from its file; a worker keeps the last one."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as stream:
+        return pickle.loads(stream.read())
+
+
+def put_block(block: Block, uri: str) -> str:
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_output_stream(path) as stream:
+        stream.write(pickle.dumps(block))
+    return uri
 
 
 def judge_of(docs: DataFrame, items: DataFrame, window: int, shingle: int, block_windows: int) -> Callable[[R.Texts], Verdict]:
     """What tells for some texts how far they hold windows of the items; for this the items' shingles are counted in docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    windows = item_windows(items, window)
+    folder = shared_dir(spark)
+    windows = written(item_windows(items, window), f"{folder}/windows")
     n_blocks = -(-windows.count() // block_windows)
-    dealt = windows.withColumn("block", F.pmod(F.xxhash64("item_id", "pos"), F.lit(max(1, n_blocks))))
-    tables = (dealt.where(F.col("block") == b).select("item_id", "words").toArrow() for b in range(n_blocks))
-    plain = [Block(rows, shingle) for rows in tables if rows.num_rows]
-    counted = [spark.sparkContext.broadcast(b) for b in plain]
+    dealt = windows.withColumn("block", F.pmod(F.xxhash64("item_id", "pos"), F.lit(max(1, n_blocks))).cast("int"))
+    dealt.write.partitionBy("block").parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{folder}/dealt")
+    plain = []
+    for b in range(n_blocks):
+        rows = dealt.where(F.col("block") == b).select("item_id", "words").toArrow()
+        if rows.num_rows:
+            plain.append(put_block(Block(rows, shingle), f"{folder}/plain-{b}"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hashes = []
             for _, _, texts in R.chunks(R.texts_of(batch.column(0))):
                 words = R.words_of(texts, R.ALNUM)
-                h = R.span_hashes(texts.data, words.starts, words.ends, fold=True)
-                for b, block in opened(counted):
-                    for k, which, n in block.counts_in(h):
+                hashes.append(R.span_hashes(texts.data, words.starts, words.ends, fold=True))
+            for b, uri in enumerate(plain):
+                for h in hashes:
+                    for k, which, n in block_at(uri).counts_in(h):
                         columns = (np.full(len(which), b), np.full(len(which), k), which, n)
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["b", "k", "which", "n"])
 
+    blocks = []
     if plain:
         rare = docs.select(docs["text"].cast("string")).mapInArrow(count, "b long, k long, which long, n long").groupBy("b", "k", "which").agg(F.sum("n").alias("n"))
-        rare = rare if len(plain) == 1 else written(rare, shared_dir(spark))
-        for b, block in enumerate(plain):  # at most a block's shingles at a time
-            block.order({(r.k, r.which): r.n for r in (rare if len(plain) == 1 else rare.where(F.col("b") == b)).collect()})
-    blocks = [spark.sparkContext.broadcast(b) for b in plain]
+        rare = written(rare, f"{folder}/counts")
+        for b, uri in enumerate(plain):  # at most a block's shingles at a time
+            block = block_at(uri)
+            block.order({(r.k, r.which): r.n for r in rare.where(F.col("b") == b).collect()})
+            blocks.append(put_block(block, f"{folder}/block-{b}"))
+        block_at.cache_clear()
 
     def judge(texts: R.Texts) -> Verdict:
         words = R.words_of(texts, R.ALNUM)
         h = R.span_hashes(texts.data, words.starts, words.ends, fold=True)
         hit, found = np.zeros(len(h), bool), {}
-        for _, block in opened(blocks):
+        for uri in blocks:
+            block = block_at(uri)
             start, w = block.places(h, words.first)
             hit |= R.covered(start, block.sizes[w], len(h))
             of = np.searchsorted(words.first, start, "right") - 1
@@ -191,7 +213,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
     docs: doc_id, text; items: item_id, text; other columns are not read.  Null
     and empty texts have no words; an item without words has no window; with no
     windows at all nothing is hit.  Repeated documents give one row each;
-    repeated items count once by item_id (a null one is "").
+    repeated items count once by item_id (a null one is "").  An empty table
+    gives no rows.  A document is worked on whole, in about 25 times its size of
+    memory.
     """
     judge = judge_of(docs, items, window, shingle, block_windows)
 
