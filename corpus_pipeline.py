@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from tracelake.llm.decontaminate import uncontaminated
 from tracelake.llm.neardup import first_of_classes
 from tracelake.llm.packing import pack
-from tracelake.llm.pseudonyms import pseudonymise
+from tracelake.llm.pseudonyms import pseudonymise, session_key
 from tracelake.llm.quality import passing
 from tracelake.llm.session import shared_dir, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-KEY = "a key kept by the caller"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal values by pseudonyms; n_chars follows the text where it changed."""
-    done = pseudonymise(docs.select(*COLUMNS), KEY)
+    done = pseudonymise(docs.select(*COLUMNS), session_key(spark))
     return done.withColumn("n_chars", F.when(F.col("n_changed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
