@@ -59,7 +59,7 @@ def test_declarations(spark):
 def test_accesses(spark):
     kinds = spark.createDataFrame([("t", "count", "register"), ("t", "q", "fifo")], "path string, name string, kind string")
     got = {(r.owner, r.instance, r.operation) for r in X.accesses(X.rules(documents(spark)), kinds).collect()}
-    assert got == {("step", "count", "write"), ("step", "count", "read"), ("step", "q", "write"), ("drain", "q", "consume")}
+    assert got == {("step", "count", "write"), ("step", "count", "read"), ("step", "q", "enqueue"), ("drain", "q", "dequeue")}
 
 
 def test_positions_and_offsets(spark):

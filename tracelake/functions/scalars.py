@@ -16,9 +16,9 @@ EDGE_MODES = {
 
 
 def edge_mode(kind: Column, mode: Column | None = None) -> Column:
-    """structure, data-flow or scheduling; a mode that is given wins."""
-    by_kind = F.when(kind.isin(*EDGE_MODES["scheduling"]), "scheduling").when(kind.isin(*EDGE_MODES["data-flow"]), "data-flow").otherwise("structure")
-    return by_kind if mode is None else F.coalesce(mode, by_kind)
+    """structure, data-flow or scheduling, null for a kind that is none of these; a mode that is given and known wins."""
+    by_kind = F.coalesce(*(F.when(kind.isin(*kinds), name) for name, kinds in EDGE_MODES.items()))
+    return by_kind if mode is None else F.coalesce(F.when(mode.isin(*EDGE_MODES), mode), by_kind)
 
 
 def in_range(line: Column, column: Column, r: Column, inclusive_end: bool = False) -> Column:

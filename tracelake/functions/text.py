@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from tracelake.operators.checkpoints import scratch, written
+
 ID = r"[A-Za-z_$][\w$']*"
 
 
@@ -150,39 +152,43 @@ def accesses(bodies: DataFrame, instance_names: DataFrame) -> DataFrame:
     return met.where((F.col("member") != "_read") | (F.col("kind") == "register")).withColumn("operation", operation(F.col("kind"), F.col("member")))
 
 
-# What a member does to a primitive.
+# What a member of a primitive is called and whether it reads or writes.
 OPERATIONS = {
-    ("register", "_read"): "read", ("register", "_write"): "write",
-    ("fifo", "enq"): "write", ("fifo", "deq"): "consume", ("fifo", "first"): "read", ("fifo", "clear"): "reset", ("fifo", "notEmpty"): "status", ("fifo", "notFull"): "status",
-    ("wire", "_write"): "write", ("wire", "_read"): "read", ("wire", "wget"): "read", ("wire", "wset"): "write", ("wire", "send"): "write",
-    ("memory", "upd"): "write", ("memory", "sub"): "read", ("memory", "put"): "request", ("memory", "read"): "response",
+    "deq": "dequeue", "enq": "enqueue", "first": "first", "clear": "clear", "notEmpty": "status-read", "notFull": "status-read", "peek": "peek",
+    "request": "memory-request", "response": "memory-response", "get": "memory-response", "put": "memory-request",
+    "read": "read", "write": "write", "_read": "read", "_write": "write", "wget": "read", "wset": "write", "send": "write", "value": "read",
 }
+READS = {"register": ["_read", "read", "value"], "fifo": ["deq", "first", "notEmpty", "notFull", "peek"], "wire": ["_read", "read", "wget"], "memory": ["read", "response", "get"]}
+WRITES = {"register": ["_write", "write"], "fifo": ["enq", "clear"], "wire": ["_write", "write", "wset", "send"], "memory": ["write", "request", "put"]}
 
 
 def operation(kind: Column, member: Column) -> Column:
-    """What a member does, else 'invoke'."""
-    out = F.lit("invoke")
-    for (k, m), what in reversed(OPERATIONS.items()):
-        out = F.when((kind == k) & (member == m), what).otherwise(out)
-    return out
+    """What a member does to a primitive of its kind, else 'invoke'."""
+    return F.when(access(kind, member).isNotNull(), F.coalesce(*(F.when(member == m, what) for m, what in OPERATIONS.items()))).otherwise("invoke")
+
+
+def access(kind: Column, member: Column) -> Column:
+    """read or write, null for a member that the kind does not have."""
+    return F.coalesce(*(F.when((kind == k) & member.isin(*ms), what) for what, table in (("read", READS), ("write", WRITES)) for k, ms in table.items()))
 
 
-def type_width(members: DataFrame, basic: DataFrame, rounds: int = 16) -> DataFrame:
+def type_width(members: DataFrame, basic: DataFrame) -> DataFrame:
     """name, bits, status of types: the sum of their members (owner, member_type), basic ones (name, bits) given.
 
-    One join per level of nesting.  What never gets a width is 'cycle' or, if a
-    member is no known type, 'unknown'.
+    One join per level of nesting, until no type gets a width any more.  What never
+    gets one is 'unknown' if it has a member of no known type, else 'cycle'.
     """
     known = basic.select("name", F.col("bits").cast("long").alias("bits"))
-    left = members.select("owner", "member_type")
-    for _ in range(rounds):
+    left, folder, k = members.select("owner", "member_type"), scratch(members.sparkSession), 0
+    while True:
         met = left.join(known, left["member_type"] == known["name"], "left")
         ready = met.groupBy("owner").agg(F.count_if(F.col("bits").isNull()).alias("open"), F.sum("bits").alias("bits")).where("open = 0").select(F.col("owner").alias("name"), "bits")
-        new = ready.join(known.select("name"), "name", "left_anti")
+        new = written(ready.join(known.select("name"), "name", "left_anti"), f"{folder}/new{k}")
         if new.isEmpty():
             break
-        known = known.union(new)
-        left = left.join(new.withColumnRenamed("name", "owner"), "owner", "left_anti")
+        known = written(known.union(new), f"{folder}/known{k}")
+        left = written(left.join(new.withColumnRenamed("name", "owner"), "owner", "left_anti"), f"{folder}/left{k}")
+        k += 1
     owners = members.select(F.col("owner").alias("name")).distinct()
     missing = members.join(owners.union(basic.select("name")).withColumnRenamed("name", "member_type"), "member_type", "left_anti").select(F.col("owner").alias("name")).distinct().withColumn("missing", F.lit(True))
     told = owners.join(known, "name", "left").join(missing, "name", "left")

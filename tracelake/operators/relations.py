@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the first in order."""
-    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
+    """One row per key, the first in order (of equals the one of least other values): a minimum, which is taken before rows are shuffled."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__x"))
+    return first.select(*(c if c in keys else F.col(f"__x.{c}").alias(c) for c in rows.columns))
 
 
 def undirected(edges: DataFrame, symmetric: Column) -> DataFrame:

@@ -50,11 +50,26 @@ def compare(expected: DataFrame, actual: DataFrame, keys: list[str], value: str)
     return both.select(*keys, "expected", "actual", status.alias("status"))
 
 
-def type_agreement(expected: Column, actual: Column) -> Column:
-    """Equal after white space: exact; one side generic (lower case first, or ?): unresolved; else mismatch."""
-    plain = lambda c: F.regexp_replace(c, r"\s+", "")
-    generic = lambda c: plain(c).rlike(r"^[a-z?]|[(,#][a-z?]")
-    return F.when(plain(expected) == plain(actual), EXACT).when(expected.isNull() | actual.isNull() | generic(expected) | generic(actual), UNRESOLVED).otherwise(MISMATCH)
+#: Names of types that have no parameter of their own to be resolved.
+CONCRETE = ["Bit", "Int", "UInt", "Bool", "Integer", "String", "Maybe", "Vector", "Tuple2", "Tuple3", "Action", "ActionValue", "Reg", "FIFO", "FIFOF", "Wire"]
+
+
+def type_agreement(expected: Column, actual: Column, concrete: list[str] | None = None) -> Column:
+    """Equal but for white space: exact; else unresolved where a side may stand for several types, and mismatch where none does.
+
+    A type may do so if it is not there, is inferred, has a ?, is a variable (lower
+    case first, or one capital), or has a parameter that is no number and no
+    concrete type.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    known = F.array(*map(F.lit, CONCRETE if concrete is None else concrete))
+
+    def open_(c: Column) -> Column:
+        t = plain(c)
+        parameters = F.regexp_extract_all(F.regexp_extract(t, "(?s)#(.*)", 1), F.lit(r"(?<![\w$])[A-Za-z_$][\w$]*"), F.lit(0))
+        return c.isNull() | t.isin("", "inferred") | t.contains("?") | t.rlike(r"^[a-z_$]|^[A-Z]$") | (F.size(F.array_except(parameters, known)) > 0)
+
+    return F.when(plain(expected) == plain(actual), EXACT).when(open_(expected) | open_(actual), UNRESOLVED).otherwise(MISMATCH)
 
 
 def mutually_unique(pairs: DataFrame, anchor: str, candidate: str) -> DataFrame:
@@ -64,18 +79,24 @@ def mutually_unique(pairs: DataFrame, anchor: str, candidate: str) -> DataFrame:
     return pairs.withColumn("status", F.when((n(anchor) == 1) & (n(candidate) == 1), EXACT).otherwise(AMBIGUOUS))
 
 
-def smallest_enclosing(points: DataFrame, ranges: DataFrame, width: float) -> DataFrame:
+def smallest_enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every point with the ranges [low, high) of least size that hold it; ties are several rows, none is a null range.
 
-    points: point_id, at; ranges: range_id, low, high.  Both meet in bins of the
-    given width, so the join is on equality; choose a width near the usual size
-    of a range.
+    points: point_id, at; ranges: range_id, low, high (numbers).  A range is put into
+    the bins, as wide as the next power of two of its size, at which it begins and
+    ends: two rows at most.  A point looks once into each width that occurs, so both
+    meet by equality however different the sizes are.
     """
-    bin_of = lambda c: F.floor(c / F.lit(width)).cast("long")
-    spread = ranges.where("low < high").withColumn("bin", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))))
-    met = points.withColumn("bin", bin_of(F.col("at"))).join(spread, "bin").where("at >= low and at < high")
-    best = met.withColumn("r", F.rank().over(Window.partitionBy("point_id").orderBy(F.col("high") - F.col("low")))).where("r = 1")
-    return points.select("point_id").join(best.select("point_id", "range_id"), "point_id", "left")
+    level = F.ceil(F.log2(F.col("high") - F.col("low"))).cast("int")
+    bin_of = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    sized = ranges.where("low < high").withColumn("level", level)
+    spread = sized.withColumn("bin", F.explode(F.array_distinct(F.array(bin_of(F.col("low")), bin_of(F.col("high"))))))
+    levels = sorted(r.level for r in sized.select("level").distinct().collect())  # at most as many as a number has exponents
+    looks = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("bin", bin_of(F.col("at")))
+    met = looks.join(spread, ["level", "bin"]).where("at >= low and at < high")
+    least = met.groupBy("point_id").agg(F.min(F.col("high") - F.col("low")).alias("least"))
+    best = met.join(least, "point_id").where("high - low = least").select("point_id", "range_id")
+    return points.select("point_id").join(best, "point_id", "left")
 
 
 def combined_status(statuses: list[str] | Column) -> Column:

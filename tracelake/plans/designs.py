@@ -154,7 +154,7 @@ def source_declarations(spark, d):
     )
 
 
-@query("owner, instance, operation", ("step", "count", "read"), ("step", "count", "write"), ("step", "q", "write"), ("drain", "q", "consume"))
+@query("owner, instance, operation", ("step", "count", "read"), ("step", "count", "write"), ("step", "q", "enqueue"), ("drain", "q", "dequeue"))
 def state_accesses(spark, d):
     docs = documents(spark)
     kinds = X.instances(docs).select("path", "name", primitive_kind(F.col("type"), F.col("constructor")).alias("kind"))

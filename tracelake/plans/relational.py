@@ -146,14 +146,15 @@ def graph_roots(spark, d):
     return G.roots_of(t(spark, d, "nation").select(F.col("n_nationkey").alias("node")), strong)
 
 
-@query("WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem), k AS (SELECT p_partkey AS node, p_type IN ('PROMO', 'LARGE') AS preferred FROM part ORDER BY preferred DESC, node LIMIT 500), s AS (SELECT s_suppkey AS node FROM supplier) SELECT src, dst, kind FROM e WHERE dst IN (SELECT node FROM k) AND src IN (SELECT node FROM s) ORDER BY src, dst, kind LIMIT 2000")
+@query("WITH e AS (SELECT DISTINCT 'a' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS src, 'p' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS dst, l_returnflag AS kind FROM lineitem), n AS (SELECT 'a' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS node, true AS preferred FROM supplier UNION ALL SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), p_type IN ('PROMO', 'LARGE') FROM part), k AS (SELECT node FROM n ORDER BY preferred DESC, node LIMIT 500) SELECT src, dst, kind FROM e WHERE dst IN (SELECT node FROM k) AND src IN (SELECT node FROM k) ORDER BY src, dst, kind LIMIT 2000")
 def truncate_no_dangling(spark, d):
-    """The feature is the limit: 500 parts, preferred types first, all suppliers, and at most 2000 edges between them."""
+    """The feature is the limit: 500 nodes, suppliers and parts of preferred types first, and at most 2000 edges between them."""
     edges = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey")).alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
     parts = t(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").isin("PROMO", "LARGE").alias("preferred"))
-    kept = parts.orderBy(F.desc("preferred"), "node").limit(500).select(F.col("node").alias("dst"))
-    ends = t(spark, d, "supplier").select(F.col("s_suppkey").alias("src"))
-    return edges.join(kept, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst", "kind").orderBy("src", "dst", "kind").limit(2000)
+    marked = lambda df, p: df.withColumn("node", F.concat(F.lit(p), F.lpad(F.col("node").cast("string"), 9, "0")))
+    nodes = marked(parts, "p").union(marked(t(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.lit(True).alias("preferred")), "a"))
+    ends = edges.select(F.concat(F.lit("a"), F.lpad(F.col("src").cast("string"), 9, "0")).alias("src"), F.concat(F.lit("p"), F.lpad(F.col("dst").cast("string"), 9, "0")).alias("dst"), "kind")
+    return G.without_dangling(nodes, ends, 500, 2000)[1]
 
 
 # ---- resolution
@@ -198,7 +199,7 @@ def mutual_unique(spark, d):
 def smallest_range(spark, d):
     """The narrowest balance range of a group of customers that holds each supplier's balance."""
     ranges = t(spark, d, "customer").groupBy((F.col("c_nationkey") * 10 + F.length("c_mktsegment")).alias("range_id")).agg(F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
-    return V.smallest_enclosing(t(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), F.col("s_acctbal").alias("at")), ranges, 500.0)
+    return V.smallest_enclosing(t(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), F.col("s_acctbal").alias("at")), ranges)
 
 
 @query(
@@ -305,11 +306,6 @@ def readers_writers(spark, d):
     return t(spark, d, "events").groupBy(F.col("event_type").alias("state"), k.alias("k")).agg(users(F.col("value") >= 50).alias("writers"), users(F.col("value") < 50).alias("readers"))
 
 
-@query("SELECT user_id, max_by(event_id, ts) AS event_id, max_by(event_type, ts) AS event_type FROM events GROUP BY 1")
-def latest_wins(spark, d):
-    return t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"), F.max_by("event_type", "ts").alias("event_type"))
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, sha256('{\"event_type\":\"' || event_type || '\",\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',\"user_id\":' || user_id || '}') AS fingerprint FROM events")
 def json_params(spark, d):
     """Typed parameters, and the hash of a record with its keys in order."""
