@@ -36,13 +36,13 @@ def text_key(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-# ---- graphs: customers and parts, joined by large order lines
+# ---- graphs: customers and parts, joined by order lines
 
-EDGES_SQL = "e0 AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49), e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), hub AS (SELECT src AS node FROM e0 GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
+EDGES_SQL = "e0 AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), hub AS (SELECT src AS node FROM e0 GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
 
 
 def trade_edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = t(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey")
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     met = lines.join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return met.select(text_key("c", "o_custkey").alias("src"), text_key("p", "l_partkey").alias("dst")).distinct()
 
@@ -57,7 +57,7 @@ def khop_neighborhood(spark, d):
     return G.neighborhood(edges, hub(edges), 3)
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, r(node, top) AS (SELECT src, src FROM e UNION SELECT e.dst, r.top FROM r JOIN e ON r.node = e.src WHERE r.top < e.dst) SELECT node, min(top) AS component FROM (SELECT node, top FROM r) GROUP BY node")
+@query(f"WITH RECURSIVE {EDGES_SQL}, r(node, top) USING KEY (node) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, min(r.top) FROM r JOIN e ON r.node = e.src JOIN recurring.r AS old ON old.node = e.dst WHERE r.top < old.top GROUP BY e.dst) SELECT node, top AS component FROM r")
 def connected_components(spark, d):
     edges = trade_edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     found = components(edges, scratch(spark))
@@ -66,12 +66,12 @@ def connected_components(spark, d):
 
 
 @query(
-    f"WITH RECURSIVE {EDGES_SQL}, r(node, path) AS (SELECT node, [node] FROM hub UNION ALL SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(r.path) < 5 AND NOT list_contains(r.path, e.dst)), near AS (SELECT node, min(len(path)) AS n FROM r GROUP BY node), goal AS (SELECT min(node) AS node FROM near WHERE n = 5), found AS (SELECT list_aggregate(path, 'string_agg', '>') AS path FROM r JOIN goal USING (node) WHERE len(path) = 5) SELECT path, 4 AS depth, (SELECT count(*) FROM found) AS n_paths FROM found ORDER BY path LIMIT 50"
+    f"WITH RECURSIVE {EDGES_SQL}, r(node, path) AS (SELECT node, [node] FROM hub UNION ALL SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(r.path) < 4 AND NOT list_contains(r.path, e.dst)), near AS (SELECT node, min(len(path)) AS n FROM r GROUP BY node), goal AS (SELECT min(node) AS node FROM near WHERE n = 4), found AS (SELECT list_aggregate(path, 'string_agg', '>') AS path FROM r JOIN goal USING (node) WHERE len(path) = 4) SELECT path, 3 AS depth, (SELECT count(*) FROM found) AS n_paths FROM found ORDER BY path LIMIT 50"
 )
 def shortest_paths(spark, d):
     edges = written(trade_edges(spark, d), scratch(spark))
     start = hub(edges)
-    goal = G.neighborhood(edges, start, 4).where("depth = 4").agg(F.min("node")).first()[0]
+    goal = G.neighborhood(edges, start, 3).where("depth = 3").agg(F.min("node")).first()[0]
     found = G.shortest_paths(edges, start.first()[0], goal)
     return found.select(F.array_join("path", ">").alias("path"), "depth", "n_paths")
 
@@ -120,7 +120,7 @@ def hierarchy_expand(spark, d):
     return G.expand(children, t(spark, d, "region").select(text_key("r", "r_regionkey").alias("node"))).select("node", "path", "root", "depth", "status")
 
 
-TRADE_SQL = "k AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL), e AS (SELECT src, dst FROM k ORDER BY n DESC, src, dst LIMIT 45)"
+USERS_SQL = "e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
 
 
 def nation_trade(spark: SparkSession, d: str) -> DataFrame:
@@ -133,17 +133,18 @@ def nation_trade(spark: SparkSession, d: str) -> DataFrame:
     return met.withColumnsRenamed({"s_nationkey": "src", "c_nationkey": "dst"})
 
 
-@query(f"WITH RECURSIVE {TRADE_SQL}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+@query(f"WITH RECURSIVE {USERS_SQL}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def cycle_members(spark, d):
-    """Nations on cycles of the strongest trade relations."""
-    strong = nation_trade(spark, d).groupBy("src", "dst").count().orderBy(F.desc("count"), "src", "dst").limit(45)
-    return G.cycle_members(strong)
+    """Users on cycles of who comes next in an event type's sequence."""
+    following = R.adjacent_pairs(t(spark, d, "events"), ["event_type"], ["ts", "event_id"], "user_id")
+    return G.cycle_members(following.select(F.col("user_id").alias("src"), F.col("following").alias("dst")))
 
 
-@query(f"WITH {TRADE_SQL} SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT dst FROM e) OR NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey NOT IN (SELECT dst FROM e))")
+@query("WITH e AS (SELECT lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem), top AS (SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM e WHERE dst IS NOT NULL)) SELECT node FROM top UNION ALL SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM top)")
 def graph_roots(spark, d):
-    strong = nation_trade(spark, d).groupBy("src", "dst").count().orderBy(F.desc("count"), "src", "dst").limit(45)
-    return G.roots_of(t(spark, d, "nation").select(F.col("n_nationkey").alias("node")), strong)
+    """Parts that never follow another in an order; all of them if there is none such."""
+    following = R.adjacent_pairs(t(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey")
+    return G.roots_of(t(spark, d, "part").select(F.col("p_partkey").alias("node")), following.select(F.col("l_partkey").alias("src"), F.col("following").alias("dst")))
 
 
 @query("WITH e AS (SELECT DISTINCT 'a' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS src, 'p' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS dst, l_returnflag AS kind FROM lineitem), n AS (SELECT 'a' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS node, true AS preferred FROM supplier UNION ALL SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), p_type IN ('PROMO', 'LARGE') FROM part), k AS (SELECT node FROM n ORDER BY preferred DESC, node LIMIT 500) SELECT src, dst, kind FROM e WHERE dst IN (SELECT node FROM k) AND src IN (SELECT node FROM k) ORDER BY src, dst, kind LIMIT 2000")
@@ -186,11 +187,11 @@ def contract_compare(spark, d):
 
 
 @query(
-    "WITH p AS (SELECT DISTINCT l_suppkey AS supplier, l_partkey AS part FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_discount >= 0.09), n AS (SELECT *, count(*) OVER (PARTITION BY supplier) AS a, count(*) OVER (PARTITION BY part) AS b FROM p) SELECT supplier, part, CASE WHEN a = 1 AND b = 1 THEN 'exact' ELSE 'ambiguous' END AS status FROM n"
+    "WITH p AS (SELECT DISTINCT c_custkey AS customer, CAST(floor(c_acctbal) AS BIGINT) AS balance FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY customer) AS a, count(*) OVER (PARTITION BY balance) AS b FROM p) SELECT customer, balance, CASE WHEN a = 1 AND b = 1 THEN 'exact' ELSE 'ambiguous' END AS status FROM n"
 )
 def mutual_unique(spark, d):
-    pairs = t(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R' and l_discount >= 0.09").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"))
-    return V.mutually_unique(pairs, "supplier", "part")
+    pairs = t(spark, d, "customer").select(F.col("c_custkey").alias("customer"), F.floor("c_acctbal").cast("long").alias("balance"))
+    return V.mutually_unique(pairs, "customer", "balance")
 
 
 @query(
@@ -254,12 +255,12 @@ def potential_dependency(spark, d):
 
 
 @query(
-    "WITH f AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), g AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40) SELECT f.src, f.dst, count(g.src) AS n_support FROM f LEFT JOIN g ON least(f.src, f.dst) = least(g.src, g.dst) AND greatest(f.src, f.dst) = greatest(g.src, g.dst) GROUP BY ALL"
+    "WITH f AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R'), g AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'A') SELECT f.src, f.dst, count(g.src) AS n_support FROM f LEFT JOIN g ON least(f.src, f.dst) = least(g.src, g.dst) AND greatest(f.src, f.dst) = greatest(g.src, g.dst) GROUP BY ALL"
 )
 def supporting_evidence(spark, d):
     lines = t(spark, d, "lineitem")
-    certain = lines.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    guessed = lines.where("l_returnflag = 'A' and l_quantity > 40").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    certain = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    guessed = lines.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     return R.with_evidence(certain, guessed)[0]
 
 
