@@ -80,7 +80,7 @@ class Group:
         self.entry_of[by] = np.cumsum(new) - 1
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, group_bytes: int = 12 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, group_bytes: int = 12 << 20, group_rows: int = 50_000) -> DataFrame:
     """Per document the words left when repeated windows are removed.
 
     docs: doc_id and text; other columns are not read.  A word goes if it lies
@@ -88,12 +88,15 @@ def substring_dedup(docs: DataFrame, window: int = 13, group_bytes: int = 12 <<
     doc_id.  Windows of one document, or of rows with the same doc_id, do not
     remove each other.  Null and empty texts have no words and the hash of "".
     A null doc_id counts as larger than any other.  Repeated rows give one row
-    each.
+    each; they are in one group.  An empty table gives no rows.  A text is worked
+    on whole, in about 30 times its size of memory.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // group_bytes))
-    dealt = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows, size = docs.where(worded).agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    n = max(1, -(-(size or 0) // group_bytes), -(-rows // group_rows))
+    without = docs.where(~worded).select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    dealt = docs.where(worded).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def enter(rows: pa.Table) -> pa.Table:
         g = Group(rows, window)
@@ -157,7 +160,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, group_bytes: int = 12 <<
         )
 
     answers = dealt.groupBy("g").applyInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(answer, ANSWERS)
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(remove, RESULT)
+    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(remove, RESULT).union(without)
 
 
 def kept_digests(texts: R.Texts, words: R.Words, kept: np.ndarray) -> list[str]:
