@@ -255,15 +255,3 @@ def test_unmatched_tags_take_linear_time():
 
 def test_no_pages(spark):
     assert extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    before = docs.count()
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "decontamination", "personal data", "packing"]
-    out = corpus_pipeline.run(spark, d)
-    assert 0 < out.select("doc_id").distinct().count() < before
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
