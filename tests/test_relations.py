@@ -18,8 +18,8 @@ def test_contracts(spark):
     e = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "x")], "k string, v string")
     a = spark.createDataFrame([("a", "x"), ("b", "y"), ("d", "x"), ("d", "x"), ("e", "x")], "k string, v string")
     assert {r["k"]: r["status"] for r in V.compare(e, a, ["k"], "v").collect()} == {"a": "exact", "b": "mismatch", "c": "missing", "d": "duplicate", "e": "unexpected"}
-    types = spark.createDataFrame([("Bit#(8)", "Bit#( 8 )"), ("Bit#(n)", "Bit#(8)"), ("Bool", "Int#(8)")], "x string, y string")
-    assert [r[0] for r in types.select(V.type_agreement(F.col("x"), F.col("y"))).collect()] == ["exact", "unresolved", "mismatch"]
+    types = spark.createDataFrame([("Bit#  (8)", " Bit# (8)"), ("Bit#(n)", "Bit#(8)"), ("Bool", "Int#(8)"), ("Bit#(8)", "Bit#( 8 )"), ("T", "Bool"), ("Bool", None), ("FIFO#(Packet)", "FIFO#(Bool)"), ("inferred", "Bool")], "x string, y string")
+    assert [r[0] for r in types.select(V.type_agreement(F.col("x"), F.col("y"))).collect()] == ["exact", "unresolved", "mismatch", "mismatch", "unresolved", "unresolved", "unresolved", "unresolved"]
 
 
 def test_smallest_range_keeps_ties_and_misses(spark):

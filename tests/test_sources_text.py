@@ -109,3 +109,16 @@ def test_a_stream_publishes_the_latest(spark, tmp_path):
     same = spark.createDataFrame([("p", "1"), ("p", "1"), ("q", "2")], "path string, revision string")
     assert I.changed(same.withColumn("at", F.current_timestamp()).select("path", "revision", "at")).count() == 2
     assert {r.state for r in I.with_freshness(same, spark.createDataFrame([("p", "0")], "path string, revision string")).collect()} == {"stale", "unknown"}
+
+
+def test_a_scan_of_files_leaves_large_ones_unread(spark, tmp_path):
+    from tracelake.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.bsv").write_text("package One;")
+    (tmp_path / "a" / "big.bsv").write_text("x" * 500)
+    (tmp_path / "a" / "old.bsv").write_text("gone")
+    (tmp_path / "a" / "other.txt").write_text("no source")
+    documents, left = files.scan(spark, [str(tmp_path)], exclude=("**/old.bsv",), max_bytes=100)
+    assert [(r["path"].rpartition("/")[2], r["content"]) for r in documents.collect()] == [("one.bsv", "package One;")]
+    assert {(r["path"].rpartition("/")[2], r["reason"]) for r in left.collect()} == {("big.bsv", "too-large"), ("old.bsv", "excluded")}

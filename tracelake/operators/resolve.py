@@ -51,7 +51,7 @@ def compare(expected: DataFrame, actual: DataFrame, keys: list[str], value: str)
 
 
 #: Names of types that have no parameter of their own to be resolved.
-CONCRETE = ["Bit", "Int", "UInt", "Bool", "Integer", "String", "Maybe", "Vector", "Tuple2", "Tuple3", "Action", "ActionValue", "Reg", "FIFO", "FIFOF", "Wire"]
+CONCRETE = ["Action", "ActionValue", "Bit", "Bool", "Int", "Maybe", "Tuple2", "Tuple3", "Tuple4", "UInt", "Vector"]
 
 
 def type_agreement(expected: Column, actual: Column, concrete: list[str] | None = None) -> Column:

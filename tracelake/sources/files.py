@@ -14,17 +14,26 @@ SOURCE_ROOTS = ["hw/bsv/src/", "bsv/src/", "src/"]
 def scan(spark: SparkSession, roots: list[str], pattern: str = "*.bsv", exclude: tuple[str, ...] = (), max_files: int = 750, max_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """documents (path, content, revision) and what was left out (path, reason).
 
-    The listing carries sizes, so files that are too large are never read.  The
-    limit on files is a feature: the first by path, and the rest are told.
+    The listing carries sizes and is classified without contents; the contents are
+    then read with a filter on the size, which reaches the reader, so files that are
+    too large are never opened.  The limit on files is a feature: the first by path,
+    and the rest are told.
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(roots)
-    return classified_documents(listed.select("path", F.col("length").alias("bytes"), "content"), exclude, max_files, max_bytes)
+    told = classify(listed.select("path", F.col("length").alias("bytes")), exclude, max_files, max_bytes)
+    small = listed.where(F.col("length") <= max_bytes).select("path", "content")
+    return taken(small, told), told.where("reason is not null")
 
 
 def classified_documents(listed: DataFrame, exclude: tuple[str, ...], max_files: int, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The same for files (path, bytes, content) that are a table already."""
     told = classify(listed.select("path", "bytes"), exclude, max_files, max_bytes)
-    kept = listed.join(told.where("reason is null").select("path"), "path", "left_semi").withColumn("content", F.col("content").cast("string"))
-    return kept.select("path", "content", F.sha2("content", 256).alias("revision")), told.where("reason is not null")
+    return taken(listed, told), told.where("reason is not null")
+
+
+def taken(contents: DataFrame, told: DataFrame) -> DataFrame:
+    kept = contents.join(told.where("reason is null").select("path"), "path", "left_semi").withColumn("content", F.col("content").cast("string"))
+    return kept.select("path", "content", F.sha2("content", 256).alias("revision"))
 
 
 def classify(files: DataFrame, exclude: tuple[str, ...] = (), max_files: int = 750, max_bytes: int = 4 << 20, max_total: int | None = None) -> DataFrame:
