@@ -66,7 +66,7 @@ def connected_components(spark, d):
 
 
 @query(
-    f"WITH RECURSIVE {EDGES_SQL}, r(node, path) AS (SELECT node, [node] FROM hub UNION ALL SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(r.path) < 4 AND NOT list_contains(r.path, e.dst)), near AS (SELECT node, min(len(path)) AS n FROM r GROUP BY node), goal AS (SELECT min(node) AS node FROM near WHERE n = 4), found AS (SELECT list_aggregate(path, 'string_agg', '>') AS path FROM r JOIN goal USING (node) WHERE len(path) = 4) SELECT path, 3 AS depth, (SELECT count(*) FROM found) AS n_paths FROM found ORDER BY path LIMIT 50"
+    f"WITH RECURSIVE {EDGES_SQL}, r(node, path) AS (SELECT node, [node] FROM hub UNION ALL SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(r.path) < 4 AND NOT list_contains(r.path, e.dst)), near AS (SELECT node, min(len(path)) AS n FROM r GROUP BY node), goal AS (SELECT min(node) AS node FROM near WHERE n = 4), found AS (SELECT path AS nodes, list_aggregate(path, 'string_agg', '>') AS path FROM r JOIN goal USING (node) WHERE len(path) = 4) SELECT path, 3 AS depth, (SELECT count(*) FROM found) AS n_paths FROM found ORDER BY nodes LIMIT 50"
 )
 def shortest_paths(spark, d):
     edges = written(trade_edges(spark, d), scratch(spark))
