@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tracelake.plans import designs, model, relational
+from tracelake.plans import designs, model, relational, slices
 
-QUERIES, ORACLES = (relational.QUERIES | model.QUERIES | designs.QUERIES, relational.ORACLES | model.ORACLES | designs.ORACLES)
+QUERIES, ORACLES = (relational.QUERIES | model.QUERIES | slices.QUERIES | designs.QUERIES, relational.ORACLES | model.ORACLES | slices.ORACLES | designs.ORACLES)
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
