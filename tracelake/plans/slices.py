@@ -59,7 +59,7 @@ def source_dependencies(spark, d):
     return Q.source_dependencies(expressions(spark, d), seeds).select("node", "depth")
 
 
-@query(f"WITH RECURSIVE {EDGES}, r AS (SELECT o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey IN (1, 2) UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node AND e.src <> e.dst WHERE depth < 4) SELECT node, CASE WHEN min(depth) = 4 THEN 'depth' END AS reason, min(depth) AS depth FROM r GROUP BY node")
+@query(f"WITH RECURSIVE {EDGES}, r AS (SELECT o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey IN (1, 2) UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node AND e.src <> e.dst WHERE depth < 4) SELECT node, CASE WHEN min(depth) = 4 AND node IN (SELECT e.src FROM e WHERE e.src <> e.dst) THEN 'depth' END AS reason, min(depth) AS depth FROM r GROUP BY node")
 def source_dependents(spark, d):
     """What two expressions go into, to four levels."""
     seeds = t(spark, d, "orders").where("o_orderkey in (1, 2)").select(F.col("o_orderkey").alias("node"))
