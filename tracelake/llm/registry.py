@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, extract, licenses, neardup, packing, pseudonyms, quality, substrings, tokens, warc
+from tracelake.llm import collocations, decontaminate, extract, licenses, neardup, packing, pseudonyms, quality, resampling, secrets, substrings, tokens, warc
 
 QUERIES = {}
 ORACLES = {}
-for module in (warc, extract, pseudonyms, decontaminate, tokens, substrings, licenses, neardup, packing, quality):
+for module in (warc, extract, pseudonyms, decontaminate, tokens, substrings, licenses, neardup, packing, quality, resampling, collocations, secrets):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
