@@ -31,7 +31,6 @@ from tracelake.llm.session import bounded_batches, shared_dir, table, written
 
 FILTER_BITS = 26
 SEGMENT_BITS = 16
-HELD_ENTRIES = 1 << 20
 GATHER_BYTES = 4 << 20
 _bytes = np.arange(256)
 BREAK = np.isin(_bytes, list(b".,;:!?\n\x0b\x0c\r"))
@@ -128,6 +127,7 @@ class Phrases:
         self.hashes = R.span_hashes(self.texts.data, self.words.starts, self.words.ends)
         self.row = self.words.text()
         self.times = np.asarray(rows.column("n"), np.int64)
+        self.ids = np.asarray(rows.column("id"), np.int64) if "id" in rows.column_names else np.zeros(len(rows), np.int64)
         self.lang = lang_hashes(rows.column("lang"))[self.row]
         last, end = np.asarray(rows.column("last")), self.words.first[1:]
         self.counted = np.arange(len(self.row)) < (end - np.where(last, 0, lap))[self.row]
@@ -177,7 +177,7 @@ def filter_of(frequent: DataFrame) -> np.ndarray:
 
 
 def counted(chunks: DataFrame, sizes: tuple[int, ...], lap: int, least: int, known: np.ndarray | None, known_size: int) -> DataFrame:
-    """size, key, a: phrases of the given sizes with a frequency of at least `least`.
+    """size, key, a, id: phrases of the given sizes with a frequency of at least `least`, and the smallest id of a chunk that has each.
 
     known: the bits of frequent phrases of known_size words; a phrase is counted
     only where all phrases of that size in it are among them.  A task adds up equal
@@ -195,12 +195,16 @@ def counted(chunks: DataFrame, sizes: tuple[int, ...], lap: int, least: int, kno
                 if sure is not None:
                     for k in range(size - known_size + 1):
                         at = at[sure[at + k]]
-                keys, inverse = np.unique(p.keys(size)[at], return_inverse=True)
+                keys, where, inverse = np.unique(p.keys(size)[at], return_index=True, return_inverse=True)
                 n = np.zeros(len(keys), np.int64)
                 np.add.at(n, inverse, p.times[p.row[at]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size), pa.int32()), pa.array(R.signed(keys)), pa.array(n)], names=["size", "key", "a"])
+                ids = p.ids[p.row[at[where]]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size), pa.int32()), pa.array(R.signed(keys)), pa.array(n), pa.array(ids)], names=["size", "key", "a", "id"])
 
-    return chunks.mapInArrow(run, "size int, key long, a long").groupBy("size", "key").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    found = chunks.mapInArrow(run, "size int, key long, a long, id long")
+    if len(sizes) == 1:  # one column less to send
+        return found.groupBy("key").agg(F.sum("a").alias("a"), F.min("id").alias("id")).where(F.col("a") >= least).select(F.lit(sizes[0]).alias("size"), "key", "a", "id")
+    return found.groupBy("size", "key").agg(F.sum("a").alias("a"), F.min("id").alias("id")).where(F.col("a") >= least)
 
 
 PARTS = T.StructType(
@@ -209,32 +213,47 @@ PARTS = T.StructType(
 )
 
 
-def spelled_out(chunks: DataFrame, lap: int, most: int, known: np.ndarray) -> DataFrame:
-    """key, lang, phrase, size, left, right, inner of phrases of 2 to `most` words among the known ones (and of a few others).
+def chosen(chunks: DataFrame, ids: np.ndarray) -> DataFrame:
+    """The chunks whose id is among those of a bit table, and a few others; no row moves."""
+    shared = chunks.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(Filter(shared.value).holds(R.mix(np.asarray(batch.column("id"), np.int64).view(np.uint64)))))
+
+    return chunks.mapInArrow(run, chunks.schema)
+
+
+def spelled_out(chunks: DataFrame, frequent: DataFrame, lap: int, most: int) -> DataFrame:
+    """key, lang, phrase, size, left, right, inner of each frequent phrase of 2 words or more, from the one chunk that its counts name.
 
     left and right: the keys of both parts of each cut; inner: of the shorter phrases of 2 words or more in it.
     """
-    spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast(known)
+    mixed = frequent.select(F.col("id"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(R.signed(R.mix(np.asarray(batch.column(0), np.int64).view(np.uint64))))], names=["key"])
+
+    wanted = frequent.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    rows = chosen(chunks, filter_of(mixed.mapInArrow(hashed, "key long"))).join(wanted, "id").select("lang", "chunk", "last", "n", "keys")
 
     def lists(columns: list[np.ndarray], n: int) -> pa.Array:
         flat = np.column_stack(columns).ravel() if columns else np.zeros(0, np.uint64)
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(columns)), pa.array(R.signed(np.ascontiguousarray(flat))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()
         for rows in gathered(batches):
             p = Phrases(rows, lap)
             keys = {n: p.keys(n) for n in range(1, most + 1)}
+            asked = rows.column("keys").combine_chunks()
+            of = np.repeat(np.arange(len(asked)), np.diff(np.asarray(asked.offsets, np.int64)))
+            pair = lambda key, row: key ^ R.mix(row.astype(np.uint64))
+            asked = pair(np.asarray(asked.flatten(), np.int64).view(np.uint64), of)
             for size in range(2, most + 1):
                 at = p.starts(size)
-                at = at[Filter(shared.value).holds(keys[size][at])]
-                found, where = np.unique(keys[size][at], return_index=True)
-                fresh = np.fromiter((k not in told for k in found.tolist()), bool, len(found))
-                at = at[where[fresh]]
-                if len(told) > HELD_ENTRIES:
-                    told.clear()
-                told.update(found[fresh].tolist())
+                at = at[np.isin(pair(keys[size][at], p.row[at]), asked)]
+                at = at[np.unique(keys[size][at], return_index=True)[1]]
                 begins, ends = p.words.starts[at], p.words.ends[at + size - 1]
                 data = p.texts.data[R.ranges(begins, ends - begins)]
                 offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
@@ -243,7 +262,7 @@ def spelled_out(chunks: DataFrame, lap: int, most: int, known: np.ndarray) -> Da
                 inner = [keys[n][at + k] for n in range(2, size) for k in range(size - n + 1)]
                 columns = [
                     pa.array(R.signed(keys[size][at])),
-                    rows.column("lang").take(pa.array(p.row[at])).combine_chunks().cast(pa.string()),
+                    rows.column("lang").combine_chunks().take(pa.array(p.row[at])).cast(pa.string()),
                     phrase,
                     pa.array(np.full(len(at), size), pa.int32()),
                     lists([keys[k][at] for k in cuts], len(at)),
@@ -252,11 +271,10 @@ def spelled_out(chunks: DataFrame, lap: int, most: int, known: np.ndarray) -> Da
                 ]
                 yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=PARTS.names)
 
-    once = chunks.mapInArrow(run, PARTS)
-    return once.groupBy("key").agg(*(F.first(c).alias(c) for c in PARTS.names[1:]))
+    return rows.mapInArrow(run, PARTS)
 
 
-def collocations(docs: DataFrame, most: int = 4, least: int = 30, best: int = 2000, trigger: int = 16, covered_percent: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, most: int = 4, least: int = 30, best: int = 2000, trigger: int = 64, covered_percent: int = 80) -> DataFrame:
     """The first `best` phrases of every language by how much their parts keep together.
 
     docs: lang and text; other columns are not read.  A null lang is `und`, a null
@@ -270,16 +288,15 @@ def collocations(docs: DataFrame, most: int = 4, least: int = 30, best: int = 20
     spark = docs.sparkSession
     bounded_batches(spark)
     lap, folder = most - 1, shared_dir(spark)
-    chunks = written(dictionary(docs, lap, trigger), f"{folder}/chunks")
+    chunks = written(dictionary(docs, lap, trigger).withColumn("id", F.monotonically_increasing_id()), f"{folder}/chunks")
     frequent = written(counted(chunks, (1,), lap, least, None, 1), f"{folder}/1")
-    known, size = filter_of(frequent), 1
-    for sizes in ((2,), tuple(range(3, most + 1))):
+    known = filter_of(frequent)
+    for size, sizes in ((1, (2,)), (2, tuple(range(3, most + 1)))):
         if sizes:
             more = written(counted(chunks, sizes, lap, least, known, size), f"{folder}/{sizes[0]}")
-            frequent, size = frequent.union(more), sizes[0]
-            known = filter_of(more if size == 2 else frequent.where("size > 1"))
-    phrases = spelled_out(chunks, lap, most, known).join(frequent.where("size > 1").select("key", "a"), "key")
-    phrases = written(phrases, f"{folder}/phrases")
+            frequent, known = frequent.union(more), filter_of(more) if size == 1 and most > 2 else known
+    several = frequent.where("size > 1")
+    phrases = written(spelled_out(chunks, several, lap, most).join(several.select("key", "a"), "key"), f"{folder}/phrases")
     cuts = phrases.select("key", "a", F.posexplode(F.arrays_zip("left", "right")).alias("k", "p")).select("key", "a", "k", "p.left", "p.right")
     counts = frequent.where(F.col("size") < most)
     cuts = cuts.join(counts.select(F.col("key").alias("left"), F.col("a").alias("l")), "left").join(counts.select(F.col("key").alias("right"), F.col("a").alias("r")), "right")
