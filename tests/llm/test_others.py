@@ -217,7 +217,7 @@ def test_tree_uses_neighbours():
     tree = extract.grow(x, y)
     assert splits(tree) & {"words before", "links before", "words after", "links after"} and {"words", "links"} & splits(tree)
     blind = x.copy()
-    blind[:, 5:] = 0
+    blind[:, 6:] = 0
     assert (extract.classify(tree, x) == (y > 0)).mean() > (extract.classify(extract.grow(blind, y), blind) == (y > 0)).mean()
 
 

@@ -39,13 +39,16 @@ MAIN_NAMES = frozenset("article content main post entry story body".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-FEATURES = ("aside", "main", "heading", "words", "links", "words before", "links before", "words after", "links after")
+#: Before a name, these say that something else is about it, as in has-sidebar.
+ABOUT = frozenset("has with no without".split())
+FEATURES = ("nearest", "aside", "main", "heading", "words", "links", "words before", "links before", "words after", "links after")
 
 
 class Block(NamedTuple):
     text: str
     words: int
     link_words: int
+    nearest: int
     aside: bool
     main: bool
     heading: bool
@@ -53,29 +56,43 @@ class Block(NamedTuple):
 
 
 class Open(NamedTuple):
+    """nearest: whether the innermost element that tells anything is of the main text (1) or beside it (-1)."""
+
     tag: str
+    nearest: int
     aside: bool
     main: bool
     gone: bool
     label: bool
 
 
-def words_in_names(attributes: str) -> set[str]:
+def words_in_names(attributes: str) -> tuple[set[str], set[str]]:
+    """Words of the element's names, and the names that are one word."""
     found = " ".join(next(filter(None, m), "") for m in NAMES.findall(attributes))
-    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()))
+    names = [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) for name in found.split()]
+    return {w for name in names for k, w in enumerate(name) if not (k and name[k - 1] in ABOUT)}, {name[0] for name in names if len(name) == 1}
 
 
 def opened(tag: str, attributes: str, inside: Open) -> Open:
-    names = words_in_names(attributes) if "=" in attributes else set()
-    main = inside.main or tag in ("article", "main") or bool(names & MAIN_NAMES)
-    aside = inside.aside or tag in ASIDE_TAGS or bool(names & ASIDE_NAMES) or (not inside.main and (tag == "header" or "header" in names))
-    return Open(tag, aside, main, inside.gone or tag in DROPPED or bool(attributes and HIDDEN.search(attributes)), inside.label or "data-main" in attributes)
+    """What an element adds to what encloses it.
+
+    Names of the whole page say what the page has, and those of an article what it
+    is about, so only an article's one-word names can put it beside the main text.
+    <main> is not beside it, whatever encloses it.
+    """
+    words, alone = words_in_names(attributes) if "=" in attributes and tag not in ("html", "body") else (set(), set())
+    beside = (alone if tag == "article" else words if tag != "main" else set()) & ASIDE_NAMES
+    main_here = tag in ("article", "main") or bool(words & MAIN_NAMES)
+    aside_here = tag in ASIDE_TAGS or bool(beside) or (not inside.main and (tag == "header" or "header" in words))
+    gone = inside.gone or tag in DROPPED or bool(attributes and HIDDEN.search(attributes))
+    nearest = -1 if aside_here else 1 if main_here else inside.nearest
+    return Open(tag, nearest, aside_here or (inside.aside and tag != "main"), inside.main or main_here, gone, inside.label or "data-main" in attributes)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, without empty ones."""
     out: list[Block] = []
-    stack = [Open("", False, False, False, False)]
+    stack = [Open("", 0, False, False, False, False)]
     parts: list[str] = []
     linked: list[str] = []
     in_link, heading, at = 0, False, 0
@@ -86,7 +103,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             inside = stack[-1]
-            out.append(Block(text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), inside.aside, inside.main, heading, inside.label))
+            out.append(Block(text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), inside.nearest, inside.aside, inside.main, heading, inside.label))
         parts.clear()
         linked.clear()
 
@@ -149,7 +166,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     links = np.array([min(1.0, b.link_words / b.words) for b in blocks])
     before = lambda x: np.concatenate([[0.0], x[:-1]])
     after = lambda x: np.concatenate([x[1:], [0.0]])
-    flags = [np.array([getattr(b, name) for b in blocks], float) for name in ("aside", "main", "heading")]
+    flags = [np.array([getattr(b, name) for b in blocks], float) for name in FEATURES[:4]]
     return np.stack([*flags, words, links, before(words), before(links), after(words), after(links)], axis=1)
 
 
@@ -161,7 +178,7 @@ class Node(NamedTuple):
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 2) -> Node:
     """A classification tree by Gini impurity."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
@@ -210,6 +227,9 @@ def _links(*names: str) -> str:
     return "".join(f'<li><a href="/{n}">{n}</a></li>' for n in names)
 
 
+_HEADS = ["Three ways to cross the river without a boat", "Old weirs, new money: who pays for the works this time", "What the storm left behind on the shore", "Bread, coats and coal: the prices of one long winter in nine charts", "A night on the last train", "The man who counts the trees of the parish, one by one, every year"]
+
+
 #: The labelled table's pages: blocks inside an element with data-main are main text.
 LABELLED = [
     f'<body><nav><ul>{_links("Home", "News", "Weather", "Sport")}</ul></nav><article data-main><h1>River works begin</h1><p>{_FLOOD}</p><p>{_SHORT[0]}</p><p>{_PRICES}</p><p>{_SHORT[1]}</p></article><footer>{_RIGHTS}</footer></body>',
@@ -229,6 +249,21 @@ LABELLED = [
     f'<body><article data-main><h1>Buchen</h1><p>{_FOREST}</p><p>{_PRICES}</p></article><nav><ul>{_links("Older stories from the woods", "What the mayor said about the trees", "Maps of all our walks")}</ul></nav></body>',
     f'<body><p data-main>{_BOAT}</p><p data-main>{_MARKET}</p><p data-main>{_SHORT[2]}</p><p data-main>{_FLOOD}</p></body>',
     f'<body><header><a href="/">Le Quotidien</a></header><main data-main><p>{_TRAIN}</p><p>{_MARKET}</p><p>Voir <a href="/g">la gare</a>.</p></main><aside><a href="/1">Les trains de nuit ailleurs en Europe</a> <a href="/2">Ce que coûte un billet</a></aside><footer><a href="/m">Mentions légales et conditions de vente</a></footer></body>',
+    f'<body class="post-1 has-sidebar single"><div class="wrap with-sidebar"><article class="post tags-news comment-open"><div data-main><h1>The pier</h1><p>{_BOAT}</p><p>{_FLOOD}</p><p>{_PRICES}</p></div></article></div></body>',
+    f'<body><article data-main><p>{_MARKET}</p></article></body>',
+    f'<body><article data-main><p>{_FLOOD}</p><p>{_BOAT}</p></article><div class="related"><p><a href="/b">Why boots cost more this year than they did last year</a></p><p><a href="/c">The mayor on trees, dogs and the price of bread in the town</a></p></div></body>',
+    f'<body><article data-main><h1>Storm</h1><p>{_BOAT}</p><p>{_PRICES} {_FLOOD}</p></article><div class="related"><ul>{_links(*_HEADS)}</ul></div></body>',
+    f'<body><nav>{_links(*_HEADS[::-1])}</nav><main data-main><p>{_FLOOD}</p><p>{_FOREST}</p></main><aside><p><a href="/w">{_HEADS[5]}</a></p><p><a href="/v">{_HEADS[0]}</a></p></aside></body>',
+    f'<body><div class="content" data-main><p>{_PRICES}</p><p>{_TRAIN}</p></div><div class="promo"><p><a href="/w">{_HEADS[1]}</a></p><p><a href="/v">{_HEADS[3]}</a></p><p><a href="/u">{_HEADS[4]}</a></p></div></body>',
+    f'<body><div class="story" data-main><h1>Le train</h1><p>{_TRAIN}</p></div><ul class="sidebar-links"><li><a href="/1">Ce que coûte un billet de train de nuit en Europe cette année</a></li></ul></body>',
+    f'<body><div><a href="/h">Home</a></div><p data-main>{_BOAT}</p><p data-main>{_BOAT}</p><p data-main>{_TRAIN} {_FLOOD}</p></body>',
+    f'<body><p data-main>{_TRAIN}</p><p data-main>{_FLOOD} {_FOREST}</p></body>',
+    f'<body><main data-main><h1>Le train</h1><p>{_TRAIN}</p><p>{_SHORT[3]}</p></main></body>',
+    f'<body><article data-main><p>{_BOAT}</p><p><a href="/a">{_MARKET}</a> {_SHORT[2]}</p><p>{_FLOOD}</p><p><a href="/b">{_PRICES}</a></p></article></body>',
+    f'<body><article data-main><h1>Sources</h1><p>{_FOREST}</p><ul><li><a href="/1">The survey of the woods in full</a></li><li><a href="/2">Maps</a></li></ul><p>{_SHORT[5]}</p></article><footer><p>{_RIGHTS}</p></footer></body>',
+    f'<body><div class="content" data-main><p>{_FOREST}</p><p><a href="/k">Karte</a></p></div><div class="share"><p><a href="/s">Share this story with all your friends</a></p></div></body>',
+    f'<body><main><article data-main><p>{_FLOOD}</p><p>{_PRICES}</p></article><div class="related"><article class="card"><h3><a href="/m">The market opens</a></h3><p>{_MARKET}</p></article></div><div class="comments"><article class="comment"><div class="content"><p>{_REPLY}</p></div></article></div></main></body>',
+    f'<body><div class="main"><div class="entry-content" data-main><p>{_TRAIN}</p><p>{_PRICES}</p></div><div class="newsletter-box"><p>{_LETTER}</p></div><div class="cookie-bar"><p>{_COOKIES} {_SALE}</p></div></div></body>',
     f'<body><article data-main><h1>Prices</h1><p>{_PRICES}</p><p>{_SHORT[1]}</p></article><div class="related"><p><a href="/b">Why boots cost more this year than last year</a></p></div><div id="comments"><p>{_REPLY}</p></div></body>',
 ]
 TELLING = re.compile(r"(?<=<)(/?)(?:nav|header|footer|aside|article|main|section|form)\b|\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -258,7 +293,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     and pages without main text give "".  Broken markup is read as far as it
     goes, in time that grows with the page's length.  A null page_id or url
     stays.  Repeated rows give one row each.  An empty table gives no rows.  A
-    page is worked on whole, however long.
+    page is worked on whole, however long, in about 20 times its size of memory.
     """
     bounded_batches(pages.sparkSession)
     tree = grow(*labelled_table())
