@@ -176,10 +176,39 @@ def test_the_knapsack_is_exact():
     assert float(packing.dearest(lengths, prices, 22) @ prices) == best
 
 
-def test_the_program_places_the_bulk():
+def piece_counts(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    made = packing.pieces_of(docs, "word_bpe_49k.json", 1, 4096).groupBy("length").count().collect()
+    return {r["length"]: r["count"] for r in made}
+
+
+@pytest.mark.parametrize("case", ["short", "one", "middle", "few", "many", "sf0.01", "sf0.1"])
+def test_the_program_covers_all_and_its_rounding_places_the_bulk(spark, case):
     rng = np.random.default_rng(6)
-    for lengths, capacity in ((rng.integers(1, 200, 20000), 512), (np.full(500, 100), 512), (rng.integers(1, 1000, 20000), 4096)):
-        histogram = dict(collections.Counter(lengths.tolist()))
-        plan = packing.Plan(histogram, capacity, 20)
-        alone = sum(n for n, _ in packing.best_fit(np.bincount(lengths, minlength=capacity + 1), capacity))
-        assert plan.placed > 0.9 and plan.sequences <= 1.001 * alone + 1
+    lengths = {"short": (rng.integers(1, 200, 20000), 512), "one": (np.full(500, 100), 512), "middle": (rng.integers(1, 1000, 20000), 4096), "few": (np.array([4096, 1, 1, 3000]), 4096), "many": (rng.integers(300, 4097, 80_000), 4096)}
+    values, capacity = lengths.get(case, (None, 4096))
+    histogram = piece_counts(spark, case) if values is None else dict(collections.Counter(values.tolist()))
+    plan = packing.Plan(histogram, capacity, 8)
+    demand = np.zeros(capacity + 1)
+    for length, n in histogram.items():
+        demand[length] = n
+    covering = plan.rounds[0]
+    got = np.zeros(capacity + 1)
+    for config, x in covering.amounts.items():
+        assert x > 0 and sum(config) <= capacity
+        np.add.at(got, list(config), x)
+    assert (got >= (1 - 1e-6) * demand).all() and covering.covered >= 1 - 1e-6
+    assert sum(covering.amounts.values()) <= 1.03 * covering.bound + 1
+    assert plan.bound <= plan.sequences <= min(plan.bound + len(histogram), 1.02 * plan.bound + 1)
+    assert plan.placed >= 0.8
+
+
+def test_the_dual_bound_holds():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        lengths = rng.integers(1, 33, rng.integers(1, 40))
+        count = np.bincount(lengths, minlength=33)
+        worth, bound = packing.dual(count, 32)
+        fullest = packing.worths(np.where(count > 0, worth, -np.inf), 32)
+        assert fullest[-1] <= 1 + 1e-9 and abs(bound - worth[lengths].sum()) < 1e-9
+        assert bound <= sum(n for n, _ in packing.best_fit(np.bincount(lengths, minlength=33), 32)) + 1e-9

@@ -1,13 +1,15 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
-A configuration is a multiset of piece lengths that fits one sequence.  The
-program asks for the fewest configurations that cover how often each length
-occurs.  Multiplicative weights hold a price for each length; a knapsack dynamic
-program finds the dearest configuration at these prices, which is taken some
-more, and its lengths become cheaper.  It is taken in whole copies, so nothing is
-rounded, and the program goes on until no configuration as full as the knapsack
-allows can be made of what is left.  Best fit, which looks for exact fills first,
-packs that; Plan.placed is the share of the pieces that the program placed.
+A configuration is a multiset of piece lengths that fits one sequence.  The linear
+program asks for the least amount of configurations, in fractions, that covers how
+often each length occurs.  Multiplicative weights solve it: a length's weight
+falls as it is covered, a knapsack dynamic program finds the dearest
+configuration, and some of it is taken, until every length is covered.  The
+amounts are rounded down, then up where the pieces are there; for what is left the
+program is solved again, until that is a tenth of all pieces or rounding places
+little.  Best fit, which looks for exact fills first, packs those last pieces.
+Plan.bound is the least number of sequences by a dual solution, Plan.placed the
+share of the pieces that the program placed.
 
 The histogram has at most max_tokens entries whatever the input's size, and so
 have plan and prices; only they are on the driver.  The pieces themselves stay in
@@ -21,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from tracelake.llm.session import bounded_batches, shared_dir, table, written
 from tracelake.llm.tokens import Known, distinct_of, vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-#: A program that needs more sequences than best fit alone by over this share (where few short pieces fill gaps) is not used.
-WORSE = 0.001
+#: The program is solved again for the pieces that rounding leaves, until they are this share of all.
+LAST_SHARE = 0.1
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -155,35 +158,85 @@ def dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarra
     return np.bincount(traced(worths(every, capacity), every, np.full(capacity + 1, capacity)), minlength=capacity + 1)[lengths]
 
 
-def program(left: np.ndarray, capacity: int, parts: int) -> Iterator[tuple[int, list[int]]]:
-    """Configurations in whole copies, by multiplicative weights, until no fullest one is found; takes their pieces from left.
+def dual(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Worths of the lengths, by which no configuration is worth over 1, and the sequences that all pieces need at least by them.
 
-    A length's price is its share of a sequence, less by up to half a token's
-    share as it is covered: of all configurations, the knapsack finds the fullest,
-    and of these the one whose lengths are covered least.  A step covers a
-    1/parts of a length, or one copy.  The table serves while what it finds is as full, and as dear
-    as the dearest but for a 1/parts of what covering takes off the prices.
+    The best of the functions that give pieces longer than capacity - k a whole
+    sequence, shorter ones than k nothing, and the others their share of one; as
+    much dearer as the lengths that are there allow.
     """
-    demand = np.maximum(left, 1)
-    share, rate = np.arange(capacity + 1) / capacity, 0.5 / capacity
-    price = lambda k: np.where(left[k] > 0, share[k] * np.exp(-rate * (1 - left[k] / demand[k])), -np.inf)
-    prices, fresh = price(np.arange(capacity + 1)), False
+    length = np.arange(capacity + 1)
+    full, part = np.cumsum(demand[::-1])[::-1], np.concatenate([[0], np.cumsum(demand * length)])
+    k = np.arange(capacity // 2 + 1)
+    bounds = np.append(full, 0)[capacity - k + 1] + (part[capacity - k + 1] - part[k]) / capacity
+    best = int(np.argmax(bounds))
+    worth = np.where(length > capacity - best, 1.0, np.where(length >= best, length / capacity, 0.0))
+    most = worths(np.where(demand > 0, worth, -np.inf), capacity)[-1]
+    return (worth / most, float(bounds[best] / most)) if most > 0 else (worth, 0.0)
+
+
+class Covering(NamedTuple):
+    """The program's answer: an amount, in fractions, of each configuration; the least share of its demand that a length gets; the least number of sequences."""
+
+    amounts: dict[tuple[int, ...], float]
+    covered: float
+    bound: float
+
+
+def program(demand: np.ndarray, capacity: int, parts: int, slack: float = 0.5, rate: float = 0.2) -> Covering:
+    """The fewest configurations that cover the demand, in fractional amounts, by multiplicative weights.
+
+    A length's weight is its worth in the best dual solution that is known, with a
+    `slack` of its share of a sequence, times a factor that falls with the share of
+    its demand that is covered.  The knapsack finds the dearest configuration; a
+    step takes so much of it that none of its lengths gets more than a 1/parts of
+    its demand, or than it lacks.  A length that is covered leaves the program,
+    which ends when all are.  Weights only fall, so the knapsack's last table
+    bounds every configuration's worth; it serves until what it finds is worth less
+    than the bound by more than a step changes a weight.
+    """
+    length = np.arange(capacity + 1)
+    worth, bound = dual(demand, capacity)
+    base = (1 - slack) * worth + slack * length / capacity
+    wanted = demand.astype(float)
+    left, step = wanted.copy(), wanted / parts
+    price = lambda k: np.where(left[k] > 0, base[k] * np.exp(-rate * (1 - left[k] / np.maximum(wanted[k], 1))), -np.inf)
+    prices, amounts, stale = price(length), {}, True
     while left.any():
-        if not fresh:
-            value, fresh = worths(prices, capacity), True
-            full, least = int(np.ceil(value[-1] * capacity - 1e-6)), -np.inf
-        config = traced(value, prices, left)
-        if sum(config) < full or prices[config].sum() < least:
-            if least == -np.inf:
-                return
-            fresh = False
+        if stale:
+            value = worths(prices, capacity)
+            least = (1 - rate / parts) * value[-1]
+        config = traced(value, prices, demand)
+        if not stale and prices[config].sum() < least:
+            stale = True
             continue
+        stale = False
         lengths, n = np.unique(config, return_counts=True)
-        copies = int(np.minimum(left[lengths] // n, np.maximum(1, demand[lengths] // (parts * n))).min())
-        left[lengths] -= copies * n
+        amount = float((np.minimum(left[lengths], step[lengths]) / n).min())
+        left[lengths] -= amount * n
+        left[lengths[left[lengths] < 1e-9 * wanted[lengths]]] = 0
         prices[lengths] = price(lengths)
-        least = (1 - rate / parts) * value[-1]
-        yield copies, sorted(config, reverse=True)
+        key = tuple(sorted(config, reverse=True))
+        amounts[key] = amounts.get(key, 0) + amount
+    held = demand > 0
+    return Covering(amounts, float((1 - left[held] / wanted[held]).min(initial=1.0)), bound)
+
+
+def rounded(covering: Covering, left: np.ndarray, worth: np.ndarray, loss: float = 0.005) -> Iterator[tuple[int, list[int]]]:
+    """Whole copies of the program's configurations, taken from left: first each amount rounded down, then one more in order of what was cut off, as long as the pieces are there.
+
+    Only configurations that the dual solution leaves hardly cheaper than a
+    sequence are taken (no others are in an optimal answer).
+    """
+    tight = [(c, x) for c, x in covering.amounts.items() if worth[list(c)].sum() >= 1 - loss]
+    for whole in (True, False):
+        for config, x in sorted(tight, key=lambda t: (-(t[1] % 1), t[0])):
+            lengths, n = np.unique(config, return_counts=True)
+            copies = int((left[lengths] // n).min())
+            copies = min(copies, int(x + 1e-9)) if whole else min(copies, 1)
+            if copies:
+                left[lengths] -= copies * n
+                yield copies, list(config)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Iterator[tuple[int, list[int]]]:
@@ -233,14 +286,14 @@ class Plan:
                 offset += length * slots
             self.sequences += copies
 
-        left, amounts = count.copy(), {}
-        for copies, config in program(left, capacity, parts):
-            amounts[tuple(config)] = amounts.get(tuple(config), 0) + copies
-        alone = sum(copies for copies, _ in best_fit(count.copy(), capacity))
-        if sum(amounts.values()) + sum(copies for copies, _ in best_fit(left.copy(), capacity)) > alone * (1 + WORSE) + 1:
-            left, amounts = count.copy(), {}
-        for config, copies in amounts.items():
-            use(copies, list(config))
+        left, self.rounds = count.copy(), []
+        while (now := int(left.sum())) > LAST_SHARE * count.sum() and (not self.rounds or placed > 0.1 * before):
+            covering, before = program(left, capacity, parts), now
+            for copies, config in rounded(covering, left, dual(left, capacity)[0]):
+                use(copies, config)
+            placed = now - int(left.sum())
+            self.rounds.append(covering)
+        self.bound = int(np.ceil(self.rounds[0].bound - 1e-6)) if self.rounds else 0
         self.placed = 1 - float(left.sum() / max(1, count.sum()))  # the program's share of the pieces; best fit packs the others
         for copies, config in best_fit(left, capacity):
             use(copies, config)
@@ -254,13 +307,14 @@ class Plan:
         return self.base[row] + within % self.copies[row], self.offset[row] + within // self.copies[row] * length
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, max_tokens: int = 4096, parts: int = 20) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, max_tokens: int = 4096, parts: int = 8) -> DataFrame:
     """Every document's tokens and an end id, in pieces, packed into sequences of at most max_tokens.
 
     docs: doc_id and text; other columns are not read.  Null and empty texts are
     the end id alone.  Repeated rows are packed each.  An empty table gives no
-    rows.  The pieces are written to the shared folder once, so their numbers do
-    not change when a task is run again.
+    rows.  A text is tokenized whole, in about 40 times its size of memory.  The
+    pieces are written to the shared folder once, so their numbers do not change
+    when a task is run again.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
