@@ -66,7 +66,7 @@ def test_hierarchies_cut_cycles_and_limits(spark):
     c = spark.createDataFrame([("t", "a", "x"), ("t", "a", "y"), ("a", "b", "z"), ("b", "a", "w")], "parent string, node string, name string")
     got = {r["path"]: r["status"] for r in G.expand(c, nodes(spark, "t")).collect()}
     assert got == {"t": "expanded", "t/x": "expanded", "t/y": "expanded", "t/x/z": "expanded", "t/y/z": "expanded", "t/x/z/w": "cycle-cut", "t/y/z/w": "cycle-cut"}
-    assert G.expand(c, nodes(spark, "t"), max_breadth=1).where("depth = 1").count() == 1
+    assert G.expand(c, nodes(spark, "t"), max_breadth=1).where("depth = 1 and status = 'expanded'").count() == 1
     assert {r["status"] for r in G.expand(c, nodes(spark, "t"), max_depth=1).where("depth = 1").collect()} == {"depth-cut"}
 
 
@@ -94,3 +94,31 @@ def test_roots_hops_and_truncation(spark):
     n = nodes(spark, "a", "b", "c").withColumn("preferred", F.col("node") == "c")
     kept, held = G.without_dangling(n, e, 2, 10)
     assert {r["node"] for r in kept.collect()} == {"c", "a"} and held.count() == 0
+
+
+def test_budgets_cut_inside_a_level(spark):
+    e = edges(spark, "ab", "ac", "ad", "be", "cf", "dg")
+    costs = spark.createDataFrame([("a", 1, 5), ("b", 2, 5), ("c", 2, 50), ("d", 2, 5), ("e", 1, None)], "node string, pins long, bytes long")
+    rows = lambda **b: {r["node"]: (r["depth"], r["taken"], r["reason"]) for r in G.within_budgets(e, nodes(spark, "a"), costs, b).collect()}
+    assert rows(pins=100, bytes=1000) == {n: (0 if n == "a" else 1 if n in "bcd" else 2, True, None) for n in "abcdefg"}
+    assert rows(pins=3, bytes=1000) == {"a": (0, True, "pins"), "b": (1, True, "pins"), "c": (1, False, "pins"), "d": (1, False, "pins")}
+    assert rows(pins=100, bytes=20) == {"a": (0, True, "bytes"), "b": (1, True, "bytes"), "c": (1, False, "bytes"), "d": (1, False, "bytes")}
+    deep = G.within_budgets(e, nodes(spark, "a"), costs, {"pins": 100}, max_depth=1)
+    assert {r["node"]: r["reason"] for r in deep.collect()} == {"a": None, "b": "depth", "c": "depth", "d": "depth"}
+
+
+def test_hierarchies_tell_what_they_omit(spark):
+    c = spark.createDataFrame([("t", x, x) for x in "abc"] + [("a", x, x) for x in "de"] + [("b", "f", "f")], "parent string, node string, name string")
+    got = {(r["path"], r["status"]): r["omitted"] for r in G.expand(c, nodes(spark, "t"), max_breadth=1).collect()}
+    assert got == {("t", "expanded"): None, ("t/a", "expanded"): None, ("t/a/d", "expanded"): None, ("t", "breadth-cut"): 2, ("t/a", "breadth-cut"): 1}
+    got = {(r["path"], r["status"]): r["omitted"] for r in G.expand(c, nodes(spark, "t"), budget=5).collect()}
+    assert got == {("t", "expanded"): None, ("t/a", "expanded"): None, ("t/b", "expanded"): None, ("t/c", "expanded"): None, ("t/a/d", "expanded"): None, ("t/a", "budget"): 1, ("t/b", "budget"): 1}
+    got = {(r["path"], r["status"]): r["omitted"] for r in G.expand(c, nodes(spark, "a", "b", "t"), budget=2).collect()}
+    assert got == {("a", "expanded"): None, ("b", "expanded"): None, ("t", "budget"): 1}
+
+
+def test_one_root_per_source_component(spark):
+    e = edges(spark, "ab", "bc", "cb", "de", "ed", "ef", "gg")
+    got = {(r["node"], r["reason"]) for r in G.component_roots(nodes(spark, *"abcdefgh"), e).collect()}
+    assert got == {("a", "uninstantiated"), ("d", "cycle-fallback"), ("g", "cycle-fallback"), ("h", "uninstantiated")}
+    assert {tuple(r) for r in G.component_roots(nodes(spark, *"ab"), e, nodes(spark, "b", "z")).collect()} == {("b", "configured")}

@@ -63,6 +63,15 @@ def test_scalars(spark):
     assert v(S.range_weight(r)) == 3 and v(S.edge_mode(F.lit("payload"))) == "data-flow"
     assert v(F.lit("a/b/c.bsv").rlike(S.glob("**/*.bsv"))) and not v(F.lit("a/b/c.bsv").rlike(S.glob("*.bsv")))
     assert v(S.path_group(F.lit("hw/src/core/x.bsv"), [("hw/src/io/**", "io")])) == "core"
+    groups = {"a/src/b/src/c/d.bsv": "c", "hw/lib/x.bsv": "lib", "x.bsv": "root", "hw/src/x.bsv": "src", "hw\\\\src\\\\io\\\\x.bsv": "io", "src/a/b/x.bsv": "a"}
+    assert {k: v(S.path_group(F.lit(k), [])) for k in groups} == groups
+    assert v(F.lit("a/x").rlike(S.glob("**/x"))) and not v(F.lit("x").rlike(S.glob("**/x")))
+    kinds = {("MyFifoCtl", "mkMyFifoCtl"): None, ("ROM#(a)", "mkThing"): "memory", ("X", "mkROMCore"): "memory", ("Reg #(Bool)", "mkA"): "register", ("X", "mkDReg"): "register", ("X", "mkDRegs"): "register", ("", "mkBypassFIFOF"): "fifo", ("PulseWire", "x"): "wire", ("X", "mkBypassWire"): "wire", ("RegFile#(a)", "mkRegFileFull"): "memory", ("Regulator", "mkRegulator"): "register", ("Vector#(2, Reg#(a))", "replicateM"): None}
+    assert {k: v(S.primitive_kind(F.lit(k[0]), F.lit(k[1]))) for k in kinds} == kinds
+    classes = {"Action": "input", " action ": "input", "ActionValue #(Bool)": "request-response", "ActionValue": "output", "Bool": "output", "": "unknown", None: "unknown"}
+    assert {k: v(S.method_class(F.lit(k).cast("string"))) for k in classes} == classes
+    every = ["instantiate", "import", "instance-child", "sequential-before", "descending-urgency", "state-read", "interface-forward", "potential-state-dependency", "binds", "before"]
+    assert [v(S.edge_mode(F.lit(k))) for k in every] == ["structure"] * 3 + ["scheduling"] * 2 + ["data-flow"] * 2 + ["scheduling"] + [None] * 2
     assert v(S.primitive_kind(F.lit("FIFO#(Bit#(8))"), F.lit("mkFIFO"))) == "fifo" and v(S.method_class(F.lit("ActionValue#(Bool)"))) == "request-response"
     assert v(S.binary_parameter(F.lit("0110"))) == 6 and v(S.binary_parameter(F.lit("7"))) == 7 and v(S.binary_parameter(F.lit("q"))) is None
     assert tuple(v(S.multiplicity(F.array(F.lit("2"), F.lit("3"))))) == ("exact", 6) and v(S.multiplicity(F.array(F.lit("n"))))[0] == "parameterized"

@@ -14,6 +14,10 @@ x: CF [y, z]; SB w
 rule p conflicts with q.
 p must execute before r
 p is conflict-free with q
+a CONFLICT-FREE b
+c: SEQUENTIAL-BEFORE d
+c SEQUENTIAL-BEFORE-REVERSE e
+c: EXECUTION-ORDER [f, g]
 Execution order:
 1. m -> n
 """
@@ -25,6 +29,7 @@ def test_every_form_of_line(spark):
         ("get", "put", "sequential-before"), ("get", "step", "sequential-before"), ("step", "drain", "conflict"),
         ("a", "b", "execution-order"), ("b", "c", "execution-order"), ("a", "b", "conflict"), ("b", "c", "conflict-free"),
         ("x", "y", "conflict-free"), ("x", "z", "conflict-free"), ("x", "w", "sequential-before"), ("p", "q", "conflict"),
+        ("a", "b", "conflict-free"), ("c", "d", "sequential-before"), ("c", "e", "sequential-before-reverse"), ("c", "f", "execution-order"), ("c", "g", "execution-order"),
         ("p", "r", "execution-order"), ("p", "q", "conflict-free"), ("m", "n", "execution-order"),
     }
     assert {x[1:] for x in got} == want

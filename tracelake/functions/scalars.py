@@ -9,9 +9,23 @@ from pyspark.sql import functions as F
 
 # The mode of each kind of edge.
 EDGE_MODES = {
-    "structure": ["contains", "instantiates", "imports", "provides", "binds", "implements", "forward"],
-    "data-flow": ["read", "write", "call", "invoke", "payload", "argument", "result", "assign"],
-    "scheduling": ["conflict", "conflict-free", "before", "after", "preempts", "urgency", "mutually-exclusive", "execution-order"],
+    "structure": ["instantiate", "implements", "contains", "import", "control", "structure", "instance-child"],
+    "data-flow": [
+        "read", "write", "invoke", "return", "value", "producer", "consumer", "access", "call", "data",
+        "payload", "state-read", "state-write", "constructor-binding", "interface-forward",
+    ],
+    "scheduling": [
+        "conflict", "conflict-free", "sequential-before", "sequential-before-reverse",
+        "mutually-exclusive", "descending-urgency", "execution-order", "preempts",
+        "potential-state-dependency",
+    ],
+}
+# By what a primitive's type (in any case) or constructor is known.
+PRIMITIVES = {
+    "memory": (r"\b(?:BRAM|RegFile|RAM|ROM)\b", r"^mk(?:BRAM|RegFile|RAM|ROM)"),
+    "register": (r"^Reg\s*#", r"^mk(?:C?Reg|DReg)"),
+    "fifo": (r"\bFIFOF?\s*#", r"^mk(?:Sized|Pipeline|Bypass)?FIFOF?"),
+    "wire": (r"\b(?:Wire|RWire|PulseWire)\b", r"^mk(?:Bypass)?(?:R?Wire|PulseWire)"),
 }
 
 
@@ -49,33 +63,32 @@ def shortened(text: Column, length: int = 160) -> Column:
 
 
 def glob(pattern: str) -> str:
-    """A regular expression for a path pattern: ** crosses folders, * and ? do not; upper and lower case do not differ."""
-    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    return "(?i)^" + "".join(parts.get(p, re.escape(p)) for p in re.split(r"(\*\*/|\*\*|\*|\?)", pattern) if p) + "$"
+    """A regular expression for a path pattern: ** crosses folders, * and ? do not; upper and lower case do not differ.  **/x wants a folder before x."""
+    parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "(?i)^" + "".join(parts.get(p, re.escape(p)) for p in re.split(r"(\*\*|\*|\?)", pattern) if p) + "$"
 
 
 def path_group(path: Column, globs: list[tuple[str, str]]) -> Column:
-    """The group of the first glob that matches, else the folder after src, else the first folder."""
-    after = F.regexp_extract(path, r"(?:^|/)src/([^/]+)/", 1)
-    out = F.when(after != "", after).otherwise(F.regexp_extract(path, r"^([^/]+)", 1))
+    """The group of the first glob that matches; else the folder after the last src, else the last folder, else root."""
+    path = F.translate(path, "\\", "/")
+    folders = F.array_remove(F.split(F.regexp_replace(path, "[^/]*$", ""), "/"), "")
+    behind = F.array_position(F.reverse(folders), "src")  # 1: src is the last folder
+    out = F.when(behind > 1, F.get(folders, F.size(folders) - behind.cast("int") + 1)).when(F.size(folders) > 0, F.element_at(folders, -1)).otherwise("root")
     for pattern, group in reversed(globs):
         out = F.when(path.rlike(glob(pattern)), group).otherwise(out)
     return out
 
 
 def primitive_kind(type_: Column, constructor: Column) -> Column:
-    """memory, register, fifo or wire by the first that matches, else null."""
-    both = F.lower(F.concat_ws(" ", type_, constructor))
-    kinds = (("memory", r"bram|regfile|memory|\bram"), ("register", r"\breg\b|mkreg|mkcreg|mkconfigreg"), ("fifo", r"fifo"), ("wire", r"wire|mkdwire|mkbypasswire|pulsewire"))
-    out = F.lit(None).cast("string")
-    for kind, pattern in reversed(kinds):
-        out = F.when(both.rlike(pattern), kind).otherwise(out)
-    return out
+    """memory, register, fifo or wire by the first whose type or constructor it is, else null."""
+    type_, constructor = F.coalesce(type_, F.lit("")), F.coalesce(constructor, F.lit(""))
+    return F.coalesce(*(F.when(type_.rlike("(?i)" + t) | constructor.rlike(c), kind) for kind, (t, c) in PRIMITIVES.items()))
 
 
 def method_class(return_type: Column) -> Column:
-    """Action is an input, ActionValue a request-response, everything else an output."""
-    return F.when(return_type.rlike(r"^\s*ActionValue\b"), "request-response").when(return_type.rlike(r"^\s*Action\b"), "input").otherwise("output")
+    """Action is an input, ActionValue#(...) a request-response, any other type an output; no type is unknown."""
+    kind = squeezed(F.coalesce(return_type, F.lit("")))
+    return F.when(kind.rlike(r"(?i)^ActionValue\s*#"), "request-response").when(F.lower(kind) == "action", "input").when(kind != "", "output").otherwise("unknown")
 
 
 def identifiers(text: Column, keywords: list[str] | None = None) -> Column:

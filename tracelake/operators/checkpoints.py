@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def scratch(spark: SparkSession) -> str:
@@ -30,6 +32,30 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Levels:
+    """A table that grows by one level a round: each is written once, in a folder of its own, and all are read as one table."""
+
+    def __init__(self, spark: SparkSession, path: str, number: str):
+        self.spark, self.path, self.number, self.schema, self.n = spark, path, number, None, 0
+
+    def add(self, level: DataFrame, **sums: Column) -> dict[str, int]:
+        """Writes the next level; how many rows it has (`rows`) and the sums of columns over them come with the write, without a job of their own."""
+        seen = Observation()
+        self.schema = level.schema
+        level.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.sum(c).alias(n) for n, c in sums.items())).write.mode("overwrite").parquet(f"{self.path}/{self.number}={self.n}")
+        self.n += 1
+        return {k: int(v or 0) for k, v in seen.get.items()}
+
+    def last(self, k: int = 1) -> DataFrame:
+        """The last k levels, with their numbers."""
+        held = range(max(0, self.n - k), self.n)
+        read = self.spark.read.schema(StructType([*self.schema.fields, StructField(self.number, IntegerType())]))
+        return read.option("basePath", self.path).parquet(*(f"{self.path}/{self.number}={i}" for i in held))
+
+    def all(self) -> DataFrame:
+        return self.last(self.n)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table that no later round reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

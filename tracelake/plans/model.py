@@ -12,7 +12,7 @@ from tracelake.operators import relations as R
 from tracelake.operators import resolve as V
 from tracelake.operators import semantic as M
 from tracelake.plans.relational import t, text_key
-from tracelake.sources import files
+from tracelake.sources import files, schedules
 from tracelake.streaming import incremental
 
 QUERIES = {}
@@ -29,15 +29,20 @@ def query(sql: str):
     return keep
 
 
-KIND_SQL = "['contains', 'read', 'conflict', 'call', 'binds', 'before', 'other', 'payload'][l_linenumber % 8 + 1]"
-KINDS = ["contains", "read", "conflict", "call", "binds", "before", "other", "payload"]
+MODES_SQL = """(VALUES ('instantiate', 'structure'), ('implements', 'structure'), ('contains', 'structure'), ('import', 'structure'), ('control', 'structure'), ('structure', 'structure'), ('instance-child', 'structure'),
+('read', 'data-flow'), ('write', 'data-flow'), ('invoke', 'data-flow'), ('return', 'data-flow'), ('value', 'data-flow'), ('producer', 'data-flow'), ('consumer', 'data-flow'), ('access', 'data-flow'), ('call', 'data-flow'), ('data', 'data-flow'), ('payload', 'data-flow'), ('state-read', 'data-flow'), ('state-write', 'data-flow'), ('constructor-binding', 'data-flow'), ('interface-forward', 'data-flow'),
+('conflict', 'scheduling'), ('conflict-free', 'scheduling'), ('sequential-before', 'scheduling'), ('sequential-before-reverse', 'scheduling'), ('mutually-exclusive', 'scheduling'), ('descending-urgency', 'scheduling'), ('execution-order', 'scheduling'), ('preempts', 'scheduling'), ('potential-state-dependency', 'scheduling'),
+('binds', NULL), ('other', NULL))"""
+#: All kinds that have a mode, and two that have none.
+KINDS = [kind for kinds in S.EDGE_MODES.values() for kind in kinds] + ["binds", "other"]
+KINDED_SQL = f"m AS (SELECT row_number() OVER () - 1 AS k, kind, mode FROM {MODES_SQL} AS v(kind, mode)), x AS (SELECT l.*, m.kind, m.mode FROM lineitem AS l JOIN m ON m.k = (l_partkey * 7 + l_linenumber) % 33)"
 
 
 def kind():
-    return F.get(F.array(*map(F.lit, KINDS)), F.col("l_linenumber") % 8)
+    return F.get(F.array(*map(F.lit, KINDS)), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % len(KINDS)).cast("int"))
 
 
-@query(f"SELECT l_returnflag AS flag, {KIND_SQL} AS kind, CASE WHEN l_returnflag = 'R' THEN 'scheduling' WHEN {KIND_SQL} IN ('contains', 'binds') THEN 'structure' WHEN {KIND_SQL} IN ('read', 'call', 'payload') THEN 'data-flow' WHEN {KIND_SQL} IN ('conflict', 'before') THEN 'scheduling' END AS mode, count(*) AS n FROM lineitem GROUP BY ALL")
+@query(f"WITH {KINDED_SQL} SELECT l_returnflag AS flag, kind, CASE WHEN l_returnflag = 'R' THEN 'scheduling' ELSE mode END AS mode, count(*) AS n FROM x GROUP BY ALL")
 def edge_modes(spark, d):
     """A mode that is given wins if it is one; a kind that is none has no mode."""
     given = F.when(F.col("l_returnflag") == "R", "scheduling").when(F.col("l_returnflag") == "A", "no mode")
@@ -45,7 +50,7 @@ def edge_modes(spark, d):
     return rows.groupBy("flag", "kind", "mode").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT l_suppkey AS src, l_partkey AS dst, {KIND_SQL} AS kind FROM lineitem WHERE {KIND_SQL} IN ('read', 'call', 'payload') AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)")
+@query(f"WITH {KINDED_SQL} SELECT l_suppkey AS src, l_partkey AS dst, kind FROM x WHERE mode = 'data-flow' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)")
 def edges_in_mode(spark, d):
     edges = t(spark, d, "lineitem").select(text_key("s", "l_suppkey").alias("src"), text_key("p", "l_partkey").alias("dst"), kind().alias("kind"))
     nodes = t(spark, d, "part").select(text_key("p", "p_partkey").alias("node"), (F.col("p_size") > 40).alias("hidden"))
@@ -74,10 +79,38 @@ def signed_conditions(spark, d):
     return x.groupBy(F.col("x.id").cast("long").alias("id"), F.col("x.negated").alias("negated")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'offers' WHEN p_size > 25 THEN p_brand ELSE 'lib' END AS grp FROM part")
+@query("SELECT p_partkey, CASE WHEN p_type = 'PROMO' AND p_size % 5 > 0 THEN 'offers' ELSE CASE p_size % 5 WHEN 0 THEN 'root' WHEN 1 THEN p_brand WHEN 2 THEN 'src' WHEN 3 THEN p_type ELSE 'core' END END AS grp FROM part")
 def path_groups(spark, d):
-    path = F.concat(F.when(F.col("p_size") > 25, F.concat(F.lit("hw/src/"), "p_brand", F.lit("/"))).otherwise("lib/"), F.col("p_type"), F.lit("/"), F.col("p_name"), F.lit(".bsv"))
-    return t(spark, d, "part").select("p_partkey", S.path_group(path, [("**/promo/*.bsv", "offers"), ("*.bsv", "top")]).alias("grp"))
+    """Files without a folder, below src and below a second src, in src itself, and without src."""
+    brand, kind, name = (F.col(c) for c in ("p_brand", "p_type", "p_name"))
+    paths = [F.concat(name), F.concat(F.lit("hw/src/"), brand, F.lit("/"), kind, F.lit("/"), name), F.concat(kind, F.lit("/src/"), name), F.concat(F.lit("lib/"), brand, F.lit("/"), kind, F.lit("/"), name), F.concat(F.lit("src/a/src/core/"), kind, F.lit("/"), name)]
+    path = F.concat(F.get(F.array(*paths), F.col("p_size") % 5), F.lit(".bsv"))
+    return t(spark, d, "part").select("p_partkey", S.path_group(path, [("**/promo/*.bsv", "offers"), ("promo/**", "offers")]).alias("grp"))
+
+
+@query("WITH x AS (SELECT ['BRAM_' || 'x', 'ROM#(' || p_brand || ')', 'Reg#(Bool)', 'Vector#(2, Reg#(a))', 'FIFOF #(a)', 'MyFifoCtl', 'PulseWire', ''][p_size % 8 + 1] AS type, ['mkThing', 'mkDReg', 'mkSizedFIFO', 'mkBypassWire', 'mkRegFileFull'][p_partkey % 5 + 1] AS constructor FROM part), k AS (SELECT *, CASE WHEN type LIKE 'ROM#%' OR constructor = 'mkRegFileFull' THEN 'memory' WHEN type = 'Reg#(Bool)' OR constructor = 'mkDReg' THEN 'register' WHEN type = 'FIFOF #(a)' OR constructor = 'mkSizedFIFO' THEN 'fifo' WHEN type = 'PulseWire' OR constructor = 'mkBypassWire' THEN 'wire' END AS kind FROM x) SELECT type, constructor, kind, count(*) AS n FROM k GROUP BY ALL")
+def primitive_kinds(spark, d):
+    type_ = F.get(F.array(F.lit("BRAM_x"), F.concat(F.lit("ROM#("), "p_brand", F.lit(")")), *map(F.lit, ["Reg#(Bool)", "Vector#(2, Reg#(a))", "FIFOF #(a)", "MyFifoCtl", "PulseWire", ""])), F.col("p_size") % 8)
+    constructor = F.get(F.array(*map(F.lit, ["mkThing", "mkDReg", "mkSizedFIFO", "mkBypassWire", "mkRegFileFull"])), (F.col("p_partkey") % 5).cast("int"))
+    rows = t(spark, d, "part").select(type_.alias("type"), constructor.alias("constructor"))
+    return rows.withColumn("kind", S.primitive_kind(F.col("type"), F.col("constructor"))).groupBy("type", "constructor", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH x AS (SELECT ['Action', 'ActionValue#(' || p_brand || ')', 'ActionValue', 'Bool', '', 'action'][p_size % 6 + 1] AS returns, ['input', 'request-response', 'output', 'output', 'unknown', 'input'][p_size % 6 + 1] AS class FROM part) SELECT returns, class, count(*) AS n FROM x GROUP BY ALL")
+def method_classes(spark, d):
+    returns = F.get(F.array(F.lit("Action"), F.concat(F.lit("ActionValue#("), "p_brand", F.lit(")")), *map(F.lit, ["ActionValue", "Bool", "", "action"])), F.col("p_size") % 6)
+    return t(spark, d, "part").select(returns.alias("returns"), S.method_class(returns).alias("class")).groupBy("returns", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH x AS (SELECT p_brand AS module, 'r' || p_partkey AS a, 'r' || (p_partkey + 1) AS b, ['conflict', 'conflict-free', 'sequential-before', 'sequential-before-reverse', 'execution-order', 'conflict-free', 'sequential-before'][p_size % 7 + 1] AS kind FROM part) SELECT module, least(a, b) AS lo, greatest(a, b) AS hi, CASE WHEN kind IN ('conflict', 'conflict-free') THEN '' ELSE a END AS first, kind FROM x")
+def schedule_lines(spark, d):
+    """Reports that Spark writes from the parts: a line for each, in every code, also those with hyphens and underscores."""
+    rule = lambda k: F.concat(F.lit("r"), (F.col("p_partkey") + k).cast("string"))
+    code = F.get(F.array(*map(F.lit, [" C ", " CONFLICT-FREE ", ": SEQUENTIAL-BEFORE ", " SEQUENTIAL_BEFORE_REVERSE ", ": EXECUTION-ORDER ", " CONFLICT_FREE ", " SB "])), F.col("p_size") % 7)
+    lines = t(spark, d, "part").groupBy("p_brand", F.expr("p_partkey div 1000").alias("nth")).agg(F.concat_ws("\n", F.collect_list(F.concat(rule(0), code, rule(1)))).alias("lines"))
+    reports = lines.select(F.concat_ws("/", "p_brand", "nth").alias("report"), F.concat(F.lit("=== Generated schedule for "), "p_brand", F.lit(" ===\n"), "lines").alias("value"))
+    found = schedules.relations(reports)
+    return found.select("module", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.when(F.col("bidirectional"), "").otherwise(F.col("src")).alias("first"), "kind")
 
 
 @query(r"SELECT conv_id, turn, CASE WHEN length(s) > 40 THEN left(s, 39) || '…' ELSE s END AS short FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM conversations)")

@@ -90,7 +90,8 @@ def relations(reports: DataFrame) -> DataFrame:
     subject = F.regexp_extract(bare, r"^[^\s:]+", 0)
     items = F.split(F.regexp_replace(F.substr(bare, F.length(subject) + 1), r"^\s*:", ""), ";")
     coded = placed.select("*", subject.alias("subject"), F.explode(items).alias("item"))
-    coded = coded.withColumn("code", F.regexp_extract(F.upper(F.trim("item")), r"^[A-Z_]+", 0)).withColumn("kind", among(F.col("code"), CODES)).where("kind is not null")
+    coded = coded.withColumn("code", F.regexp_extract(F.upper(F.trim("item")), r"^[A-Z_]+(?:-[A-Z]+)*", 0))
+    coded = coded.withColumn("kind", among(F.translate("code", "-", "_"), CODES)).where("kind is not null")
     coded = coded.withColumn("other", F.explode(names(F.translate(F.substr(F.trim("item"), F.length("code") + 1), ":", " "))))
     codes = told(coded, F.col("subject"), F.col("other"), F.col("kind"))
 
