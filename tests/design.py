@@ -1,8 +1,4 @@
-"""Queries over a small hardware design that is written here: a netlist, a schedule report and source text.
-
-The driver's tables hold no hardware, so these queries read none of them; their
-SQL states the rows that follow from the design by hand.
-"""
+"""A small hardware design that is written here: a netlist, a schedule report and source text, with the rows that follow from it by hand."""
 
 from __future__ import annotations
 
@@ -18,19 +14,14 @@ from tracelake.operators import semantic as M
 from tracelake.sources import netlist as N
 from tracelake.sources import schedules
 
-QUERIES = {}
-ORACLES: dict[str, str] = {}
+CASES = {}
 
 
 def query(columns: str, *rows: tuple):
-    """Registers a query; its SQL gives the rows expected."""
-
-    def literal(x: object) -> str:
-        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    """Keeps a question and the rows expected."""
 
     def keep(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
+        CASES[f.__name__] = (f, [c.strip() for c in columns.split(",")], sorted(map(repr, rows)))
         return f
 
     return keep
@@ -75,7 +66,7 @@ import FIFO :: *; // import Fake :: *;
 interface Out;
   method Action put(Bit#(8) x);
   method Bit#(8) get;
-  method Bool canPut;
+  method Bool putReady;
 endinterface
 module mkTop(Out);
   Reg#(Bit#(8)) count <- mkReg(0);
@@ -140,7 +131,7 @@ def schedule_report(spark, d):
     return schedules.relations(spark.createDataFrame([("r", REPORT)], "report string, value string")).select("src", "dst", "kind", "bidirectional")
 
 
-@query("kind, name, detail", ("package", "Top", None), ("import", "FIFO", "*"), ("module", "mkTop", "Out"), ("rule", "step", "count < 3"), ("rule", "drain", None), ("register", "count", "mkReg"), ("fifo", "q", "mkFIFO"), ("input", "put", "Action"), ("output", "get", "Bit#(8)"), ("output", "canPut", "Bool"))
+@query("kind, name, detail", ("package", "Top", None), ("import", "FIFO", "*"), ("module", "mkTop", "Out"), ("rule", "step", "count < 3"), ("rule", "drain", None), ("register", "count", "mkReg"), ("fifo", "q", "mkFIFO"), ("input", "put", "Action"), ("output", "get", "Bit#(8)"), ("output", "putReady", "Bool"))
 def source_declarations(spark, d):
     docs = documents(spark)
     row = lambda df, kind, name, detail: df.select((kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"), F.col(name).alias("name"), detail.cast("string").alias("detail"))
@@ -161,10 +152,10 @@ def state_accesses(spark, d):
     return X.accesses(X.rules(docs), kinds).select("owner", "instance", "operation")
 
 
-@query("kind, anchor, candidate", ("ready-action", "canPut", "put"))
+@query("base, direction, payload", ("put", "input", "Bit#(8)"))
 def protocol_channels(spark, d):
-    methods = X.interface_methods(documents(spark)).select(F.col("interface").alias("owner"), "method", method_class(F.col("returns")).alias("category"), "returns", F.array().cast("array<string>").alias("parameters"))
-    return M.channels(methods)[0].select("kind", "anchor", "candidate")
+    methods = X.interface_methods(documents(spark)).select(F.col("interface").alias("owner"), "method", method_class(F.col("returns")).alias("category"), "returns", F.when(F.col("method") == "put", F.array(F.lit("Bit#(8)"))).otherwise(F.array().cast("array<string>")).alias("parameters"))
+    return M.channels(methods)[0].select("base", "direction", "payload")
 
 
 @query("status, steps", ("exact", "1>3"), ("exact", "2>3"))

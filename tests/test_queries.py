@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tracelake.plans import designs, model, relational, slices
+from tracelake.plans import derived, model, relational, slices, structures
 
-QUERIES, ORACLES = (relational.QUERIES | model.QUERIES | slices.QUERIES | designs.QUERIES, relational.ORACLES | model.ORACLES | slices.ORACLES | designs.ORACLES)
+PLANS = (relational, model, slices, structures, derived)
+QUERIES, ORACLES = ({k: v for p in PLANS for k, v in getattr(p, name).items()} for name in ("QUERIES", "ORACLES"))
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -128,13 +128,13 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int | None) -> DataFr
     return reach(edges, seeds, max_depth=hops, undirected=True).select("node", "depth")
 
 
-def focus_neighborhood(edges: DataFrame, focus: DataFrame, children: DataFrame, hops: int) -> DataFrame:
+def focus_neighborhood(edges: DataFrame, focus: DataFrame, children: DataFrame, hops: int | None) -> DataFrame:
     """A neighbourhood; if the focus has no other node in it, that of its children (parent, node) with a hop less."""
     own = neighborhood(edges, focus, hops)
     if own.count() > 1:
         return own
     inner = children.join(focus.select(F.col("node").alias("parent")), "parent", "left_semi").select("node")
-    below = neighborhood(edges, inner, hops - 1).withColumn("depth", F.col("depth") + 1)
+    below = neighborhood(edges, inner, None if hops is None else hops - 1).withColumn("depth", F.col("depth") + 1)
     return own.unionByName(below.join(focus.select("node"), "node", "left_anti"))
 
 

@@ -32,6 +32,7 @@ SCHEMA = """modules map<string, struct<
 ARITHMETIC = ["$add", "$sub"]
 BOOLEAN = ["$eq", "$ne", "$lt", "$logic_and", "$logic_or", "$logic_not"]
 SELECTING = ["$mux", "$pmux"]
+# Public names of cells that hold state.
 SEQUENTIAL = "$sr $ff $dff $dffe $adff $adffe $aldff $aldffe $sdff $sdffe $sdffce $dffsr $dffsre $dlatch $adlatch $dlatchsr".split()
 SEQUENTIAL_GATES = "$_DFF_ $_DFFE_ $_SDFF_ $_SDFFE_ $_SDFFCE_ $_DFFSR_ $_DFFSRE_ $_DLATCH_ $_DLATCHSR_ $_SR_".split()
 MEMORY = "$mem $mem_v2 $memory $memrd $memrd_v2 $memwr $memwr_v2 $meminit $meminit_v2".split()
@@ -116,6 +117,7 @@ def problems_of(modules: DataFrame, cells: DataFrame, occurrences: DataFrame) ->
         met.where(both & (said != F.col("p.direction"))).select(F.lit("direction-mismatch"), name("module", "cell", "port")),
         vectors.where(F.col("bit").isNull() | ~F.col("bit").rlike("^(?:[0-9]+|x|z)$")).select(F.lit("malformed-bit"), "module"),
         occurrences.where("status = 'cycle-cut'").select(F.lit("recursive-hierarchy"), "path"),
+        occurrences.where("status = 'depth-cut'").select(F.lit("hierarchy-depth"), "path"),
     ]
     out = found[0]
     for f in found[1:]:
