@@ -116,9 +116,16 @@ def search_score(text: Column, query: str) -> Column:
 
 
 def bus_groups(bits: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Bits whose sets of endpoints are equal form one net: signature, width and the bits in order.
+    """signature, width, first: bits whose sets of endpoints are equal form one net; first is the bit of the least position.
 
-    bits: bit, position; endpoints: bit, endpoint.
+    bits: bit, position; endpoints: bit, endpoint.  No net's bits are gathered in
+    one row; signed_bits() has them by signature.
     """
+    return signed_bits(bits, endpoints).groupBy("signature").agg(F.count(F.lit(1)).alias("width"), F.min_by("bit", F.struct("position", "bit")).alias("first"))
+
+
+def signed_bits(bits: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """bit, position, signature: the bits that have endpoints, with a digest of the set of them."""
     signed = endpoints.groupBy("bit").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("endpoint")), "\u0001"), 256).alias("signature"))
-    return bits.join(signed, "bit").groupBy("signature").agg(F.count(F.lit(1)).alias("width"), F.transform(F.sort_array(F.collect_list(F.struct("position", "bit"))), lambda x: x["bit"]).alias("bits"))
+    return bits.select("bit", "position").join(signed, "bit")
+

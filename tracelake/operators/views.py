@@ -119,3 +119,46 @@ def visible(nodes: DataFrame, edges: DataFrame, level: str, mode: str, owner: st
     ends = out.select("node").distinct()
     shown = active.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return out, shown
+
+
+def common_ancestors(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, common, up_a, up_b: the lowest node that both of a pair are or are below, and how far above each; null where there is none.
+
+    parents: node, parent (null at the top), a row for each node, without cycles;
+    pairs: a, b.  Tables of the 1st, 2nd, 4th, ... ancestors are written once; a
+    pair's deeper node is lifted to the other's depth, then both as far as they
+    differ, so the joins grow with the logarithm of the depth, whatever the pairs.
+    """
+    spark = parents.sparkSession
+    folder = scratch(spark)
+    jumps = [written(parents.select("node", F.col("parent").alias("up")), f"{folder}/jump0")]
+    depth = written(jumps[0].select("node", F.col("up").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")), f"{folder}/depth0")
+    while not depth.where("at is not null").isEmpty():
+        k, jump = len(jumps), jumps[-1]
+        if k > 60:
+            raise ValueError("the parents have a cycle")
+        beyond = jump.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        more = depth.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        depth = written(depth.join(more, "at", "left").select("node", F.col("next").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), f"{folder}/depth{k}")
+        jumps.append(written(jump.join(beyond, "up", "left").select("node", F.col("next").alias("up")), f"{folder}/jump{k}"))
+    depths = depth.select("node", "depth")
+
+    def step(rows: DataFrame, jump: DataFrame, column: str) -> DataFrame:
+        return rows.join(jump.select(F.col("node").alias(column), F.col("up").alias(f"__{column}")), column, "left")
+
+    asked = pairs.select("a", "b").distinct()
+    rows = asked.join(depths.toDF("a", "__da"), "a").join(depths.toDF("b", "__db"), "b")
+    rows = rows.select("a", "b", "__da", "__db", F.when(F.col("__da") >= F.col("__db"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("__da") >= F.col("__db"), F.col("b")).otherwise(F.col("a")).alias("y"), F.abs(F.col("__da") - F.col("__db")).alias("gap"))
+    rows = rows.withColumn("lifted", F.lit(0))
+    for k in range(len(jumps) - 1, -1, -1):
+        rows = written(step(rows, jumps[k], "x").withColumn("x", F.when(F.col("gap") >= 1 << k, F.col("__x")).otherwise(F.col("x"))).withColumn("gap", F.when(F.col("gap") >= 1 << k, F.col("gap") - (1 << k)).otherwise(F.col("gap"))).drop("__x"), f"{folder}/even{k}")
+    for k in range(len(jumps) - 1, -1, -1):
+        both = step(step(rows, jumps[k], "x"), jumps[k], "y")
+        apart = F.coalesce((F.col("x") != F.col("y")) & (F.col("__x") != F.col("__y")), F.lit(False))
+        rows = written(both.withColumns({"x": F.when(apart, F.col("__x")).otherwise(F.col("x")), "y": F.when(apart, F.col("__y")).otherwise(F.col("y")), "lifted": F.col("lifted") + F.when(apart, 1 << k).otherwise(0)}).drop("__x", "__y"), f"{folder}/apart{k}")
+    ends = step(step(rows, jumps[0], "x"), jumps[0], "y")
+    same = F.col("x") == F.col("y")
+    common = F.when(same, F.col("x")).when(F.col("__x") == F.col("__y"), F.col("__x"))
+    up = F.col("lifted") + F.when(same, 0).otherwise(1)
+    far = lambda own, other: F.when(common.isNotNull(), up + F.greatest(F.col(own) - F.col(other), F.lit(0)))
+    return ends.select("a", "b", common.alias("common"), far("__da", "__db").alias("up_a"), far("__db", "__da").alias("up_b"))

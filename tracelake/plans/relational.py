@@ -357,7 +357,7 @@ def net_groups(spark, d):
     """Customers with equal sets of order priorities, as bits with equal endpoints form a bus."""
     orders = t(spark, d, "orders")
     grouped = R.bus_groups(orders.select(F.col("o_custkey").alias("bit"), F.col("o_custkey").alias("position")).distinct(), orders.select(F.col("o_custkey").alias("bit"), F.col("o_orderpriority").alias("endpoint")))
-    return grouped.select("signature", "width", F.get("bits", F.lit(0)).alias("first_bit"))
+    return grouped.select("signature", "width", F.col("first").alias("first_bit"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS n_tags, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS n_links, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))), ' ') AS links FROM pages")

@@ -18,6 +18,7 @@ from tracelake.operators import views
 from tracelake.operators.checkpoints import scratch, written
 from tracelake.plans.model import KINDS, MODES_SQL
 from tracelake.plans.relational import SUPPLY_SQL, supply_edges, t, text_key
+from tracelake.sources import config
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -194,6 +195,33 @@ def focused_view(spark, d):
     return shown.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "kind").union(between)
 
 
+@query("WITH l AS (SELECT DISTINCT s_suppkey, s_nationkey, sn.n_regionkey AS sr, c_custkey, c_nationkey, cn.n_regionkey AS cr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation AS cn ON cn.n_nationkey = c_nationkey JOIN nation AS sn ON sn.n_nationkey = s_nationkey) SELECT 's' || s_suppkey AS a, 'c' || c_custkey AS b, CASE WHEN s_nationkey = c_nationkey THEN 'n' || s_nationkey WHEN sr = cr THEN 'r' || sr END AS common, CASE WHEN s_nationkey = c_nationkey THEN 1 WHEN sr = cr THEN 2 END AS up_a, CASE WHEN s_nationkey = c_nationkey THEN 2 WHEN sr = cr THEN 3 END AS up_b FROM l")
+def common_owners(spark, d):
+    """The lowest owner of every supplier and customer that trade; customers stand below their market segment in the nation."""
+    nation, customer = t(spark, d, "nation"), t(spark, d, "customer")
+    segment = F.concat_ws("/", text_key("n", "c_nationkey"), "c_mktsegment")
+    up = [
+        customer.select(text_key("c", "c_custkey"), segment), customer.select(segment, text_key("n", "c_nationkey")).distinct(), t(spark, d, "supplier").select(text_key("s", "s_suppkey"), text_key("n", "s_nationkey")),
+        nation.select(text_key("n", "n_nationkey"), text_key("r", "n_regionkey")), t(spark, d, "region").select(text_key("r", "r_regionkey"), F.lit(None).cast("string")),
+    ]
+    lines = t(spark, d, "lineitem").join(t(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    pairs = lines.select(text_key("s", "l_suppkey").alias("a"), text_key("c", "o_custkey").alias("b"))
+    return views.common_ancestors(reduce(DataFrame.union, up).toDF("node", "parent"), pairs)
+
+
+@query("SELECT p_partkey AS part, CASE WHEN p_size % 7 = 0 THEN 'unparsable' END AS problem, CASE WHEN p_size % 7 = 0 THEN 'BSV Architecture' ELSE p_brand || ' // not a comment' END AS title, CASE WHEN p_size % 7 = 0 THEN '**/gen/**' ELSE '**/gen/**,' || p_type || '/**' END AS exclude, CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size % 2 = 0 THEN 'b:*.b:0,a/*:a/*:1' ELSE 'a/*:a/*:1,b:*.b:2' END AS groups, CASE WHEN p_size % 7 > 0 AND p_size % 3 = 0 THEN 'TB' ELSE 'LR' END AS direction FROM part")
+def configurations(spark, d):
+    """Configurations with comments that Spark writes from the parts; every seventh is cut off."""
+    size = F.col("p_size")
+    text = F.concat(
+        F.lit('// a file\n{ "title": "'), "p_brand", F.lit(' // not a comment", /* "title": "x", */\n "exclude": ["**/gen/**", " ", "'), "p_type", F.lit('/**"], // and\n "groups": [{"match": ""}, {"match": "a/*"}, {"match": "*.b", "id": "b"'),
+        F.when(size % 2 == 0, ', "order": 0').otherwise(""), F.lit("}],\n"), F.when(size % 3 == 0, '"view": {"direction": "TB"}').otherwise('"view": {"direction": "up"}'), F.when(size % 7 == 0, "").otherwise("} /* end"),
+    )
+    done = config.configured(t(spark, d, "part").select(F.col("p_partkey").alias("path"), text.alias("value")), ["**/gen/**"])
+    groups = F.array_join(F.transform("groups", lambda g: F.concat_ws(":", g["id"], g["match"], g["order"].cast("string"))), ",")
+    return done.select(F.col("path").alias("part"), "problem", "title", F.array_join("exclude", ",").alias("exclude"), groups.alias("groups"), "direction")
+
+
 # ---- channels
 
 SIGNALS_SQL = """x AS (SELECT 'm' || l_orderkey AS owner, 'p' || l_partkey % 3 AS base, l_linenumber, l_returnflag FROM lineitem),
