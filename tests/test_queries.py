@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tracelake.plans import derived, model, relational, slices, structures
+from tracelake.plans import derived, evidence, model, relational, slices, structures
 
-PLANS = (relational, model, slices, structures, derived)
+PLANS = (relational, model, slices, structures, derived, evidence)
 QUERIES, ORACLES = ({k: v for p in PLANS for k, v in getattr(p, name).items()} for name in ("QUERIES", "ORACLES"))
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import edge_mode
-from tracelake.operators.checkpoints import discard, scratch, written
+from tracelake.operators.checkpoints import Levels, discard, scratch, written
 from tracelake.operators.graph import focus_neighborhood
 
 # Levels and the kinds of nodes that each is about.
@@ -162,3 +162,65 @@ def common_ancestors(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     up = F.col("lifted") + F.when(same, 0).otherwise(1)
     far = lambda own, other: F.when(common.isNotNull(), up + F.greatest(F.col(own) - F.col(other), F.lit(0)))
     return ends.select("a", "b", common.alias("common"), far("__da", "__db").alias("up_a"), far("__db", "__da").alias("up_b"))
+
+
+def closure(parents: DataFrame, starts: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """node, ancestor, distance of the starts (node), each its own ancestor at 0; a row for each step up, levels are files of one table."""
+    spark = parents.sparkSession
+    folder = scratch(spark)
+    up = written(parents.where("parent is not null").select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), f"{folder}/up")
+    levels = Levels(spark, f"{folder}/levels", "distance")
+    level = starts.select("node").distinct().join(parents.select("node"), "node", "left_semi").select("node", F.col("node").alias("ancestor"))
+    while levels.add(level)["rows"]:
+        if levels.n > max_depth:
+            raise ValueError("the parents have a cycle, or are too deep")
+        level = levels.last().drop("distance").join(up, "ancestor").select("node", F.col("next").alias("ancestor"))
+    return levels.all().select("node", "ancestor", "distance")
+
+
+def revealed(owners: DataFrame, contexts: DataFrame, occurrences: DataFrame, requests: DataFrame) -> DataFrame:
+    """request, status, owner, anchor: who may show a target - the nearest of an owner and its ancestors whose anchor the target is or lies below.
+
+    owners, occurrences: node, parent; contexts: owner, anchor (an occurrence); requests: request, owner,
+    root (null: the owner), target (an occurrence).  'owner-preserved' for the owner
+    itself, 'owner-broadened' for one above it, 'unavailable' for none;
+    'unknown-owner', 'unknown-target' and 'foreign-root' (no ancestor of the owner) for
+    what cannot be asked.  Anchor and target meet on the target's ancestors, so no two hierarchies are held against each other.
+    """
+    spark = owners.sparkSession
+    asked = requests.select("request", "owner", F.coalesce("root", "owner").alias("root"), "target")
+    over = written(closure(owners, asked.select(F.col("owner").alias("node"))), scratch(spark))
+    around = closure(occurrences, asked.select(F.col("target").alias("node"))).select(F.col("node").alias("target"), F.col("ancestor").alias("anchor"))
+    climbed = asked.join(over.select(F.col("node").alias("owner"), F.col("ancestor").alias("by"), "distance"), "owner")
+    rooted = climbed.where("by = root").select("request").distinct().withColumn("rooted", F.lit(True))
+    met = climbed.join(contexts.select(F.col("owner").alias("by"), "anchor").distinct(), "by").join(around, ["target", "anchor"])
+    best = met.groupBy("request").agg(F.min(F.struct("distance", "anchor", "by")).alias("best"))
+    known = owners.select(F.col("node").alias("owner"), F.lit(True).alias("owned")).distinct()
+    there = occurrences.select(F.col("node").alias("target"), F.lit(True).alias("found")).distinct()
+    all_ = asked.join(known, "owner", "left").join(there, "target", "left").join(rooted, "request", "left").join(best, "request", "left")
+    status = F.when(F.col("owned").isNull(), "unknown-owner").when(F.col("found").isNull(), "unknown-target").when(F.col("rooted").isNull(), "foreign-root").when(F.col("best").isNull(), "unavailable").when(F.col("best.distance") == 0, "owner-preserved").otherwise("owner-broadened")
+    clear = status.startswith("owner-")
+    return all_.select("request", status.alias("status"), F.when(clear, F.col("best.by")).alias("owner"), F.when(clear, F.col("best.anchor")).alias("anchor"))
+
+
+def scenes(members: DataFrame, relations: DataFrame, selected: DataFrame | None = None, many: int = 16) -> DataFrame:
+    """owner, relation, fate, src, dst, kind: what an owner's scene does with each of its relations.
+
+    members: owner, node, shown (what stands for the node in the owner's scene), kind, outside (beyond the owner);
+    relations: owner, relation, src, dst, kind; selected: owner, node.  'folded' where both
+    ends are one shown node; 'on-selection' for reads and writes of registers of an
+    owner with more than `many` registers, unless an end is selected;
+    'continuation' where an end is outside, else 'connection'.
+    """
+    crowded = members.groupBy("owner").agg((F.count_if(F.col("kind") == "register") > many).alias("crowded"))
+    end = lambda e: members.select("owner", F.col("node").alias(e), F.col("shown").alias(f"{e}_shown"), (F.col("kind") == "register").alias(f"{e}_register"), F.col("outside").alias(f"{e}_out"))
+    met = relations.join(end("src"), ["owner", "src"]).join(end("dst"), ["owner", "dst"]).join(crowded, "owner")
+    chosen = F.lit(False)
+    if selected is not None:
+        pick = selected.select("owner", "node").distinct()
+        met = met.join(pick.toDF("owner", "src").withColumn("__a", F.lit(True)), ["owner", "src"], "left").join(pick.toDF("owner", "dst").withColumn("__b", F.lit(True)), ["owner", "dst"], "left")
+        chosen = F.coalesce("__a", "__b", F.lit(False))
+    state = F.col("kind").isin("state-read", "state-write") & (F.col("src_register") | F.col("dst_register")) & F.col("crowded") & ~chosen
+    fate = F.when(state, "on-selection").when(F.col("src_shown") == F.col("dst_shown"), "folded").when(F.col("src_out") | F.col("dst_out"), "continuation").otherwise("connection")
+    kept = fate.isin("connection", "continuation")
+    return met.select("owner", "relation", fate.alias("fate"), F.when(kept, F.col("src_shown")).alias("src"), F.when(kept, F.col("dst_shown")).alias("dst"), "kind")
