@@ -21,7 +21,7 @@ REACH = 8
 
 def delimiters(texts: DataFrame) -> DataFrame:
     """id, pos, mark of brackets and statement ends in texts (id, text); pos counts code points from 0."""
-    pieces = F.regexp_extract_all("text", F.lit(r"([^()\[\]{};]*)([()\[\]{};])"), F.lit(0))
+    pieces = F.regexp_extract_all("text", F.lit(r"\G([^()\[\]{};]*+)([()\[\]{};])"), F.lit(0))
     cut = texts.select("id", F.posexplode(pieces).alias("k", "piece"))
     so_far = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return cut.select("id", (F.sum(F.length("piece")).over(so_far) - 1).alias("pos"), F.right("piece", F.lit(1)).alias("mark"))

@@ -27,7 +27,8 @@ HOLDS = {"package": ["type", "interface", "function", "module"], "interface": ["
 
 def located(texts: DataFrame, pattern: str) -> DataFrame:
     """id, nth, token, start, end of every match in texts (id, text), left to right; places count code points, ends are exclusive."""
-    whole = rf"(?s)(?:.*?)({pattern})"
+    # each match begins where the last one ended, so what follows the last is looked at once
+    whole = rf"(?s)\G.*?({pattern})"
     cut = texts.select("id", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(whole), F.lit(0)).alias("piece"), F.regexp_extract_all("text", F.lit(whole), F.lit(1)).alias("token"))).alias("nth", "x"))
     so_far = Window.partitionBy("id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = cut.select("id", "nth", "x.token", F.sum(F.length("x.piece")).over(so_far).alias("end"))
@@ -112,7 +113,7 @@ def document_symbols(texts: DataFrame) -> DataFrame:
     have none.
     """
     bodies = texts.where("text is not null").select("id", "text")
-    declared = declarations(bodies)
+    declared = written(declarations(bodies), scratch(texts.sparkSession))
     package = rf"(?m)^\s*package\s+({ID})\s*;"
     whole = bodies.select("id", F.lit("package").alias("kind"), F.regexp_extract("text", package, 1).alias("name"), F.lit(None).cast("string").alias("detail"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"))
     # only modules provide; what looks declared inside one is provided too

@@ -298,3 +298,37 @@ def provided_interfaces(spark, d):
 @query(f"WITH {SOURCES_SQL} SELECT m AS id, unnest(['package', 'type', 'interface', 'method', 'function', 'module', 'method']) AS kind, unnest([m, 'T' || m, 'Ifc' || m, 'put', 'f' || m, 'mk' || m, 'put']) AS name, unnest([NULL, 'enum', NULL, 'Action', 'Bit#(8)', 'Ifc' || m, 'Action']) AS detail, unnest([NULL, m, m, 'Ifc' || m, m, m, 'mk' || m]) AS parent FROM m UNION ALL SELECT m, unnest(['instance', 'rule']), unnest(['c' || k, 'r' || k]), unnest(['Reg#(Bit#(8)) <- mkReg', '(c' || k || ' > 0)']), 'mk' || m FROM c")
 def document_symbols(spark, d):
     return symbols.document_symbols(bodies(spark, d)).select("id", "kind", "name", "detail", "parent")
+
+
+# ---- exports and publication
+
+@query("SELECT 'nation' AS section, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 'customer', c_custkey, c_name FROM customer UNION ALL SELECT 'part', p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_name || '\"' || chr(10) || 'ü' END FROM part")
+def exported_model(spark, d):
+    """Three tables written as one export and read back by its manifest, names with line ends and nulls too."""
+    from tracelake.sources import export
+
+    tables = {
+        "nation": t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")),
+        "customer": t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")),
+        "part": t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 4 != 0, F.concat("p_name", F.lit('"\nü'))).alias("name")),
+    }
+    path = scratch(spark)
+    export.write_model(tables, path)
+    model = export.read_model(spark, path)
+    return union(*(export.table_of(model, s, "k long, name string").select(F.lit(s).alias("section"), "k", "name") for s in tables))
+
+
+@query("WITH v AS (SELECT * FROM events WHERE value >= 20) SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM v GROUP BY user_id")
+def published_latest(spark, d):
+    """Events as a stream of eight batches, mixed in time: the last valid one of every user, those of under 20 are refused."""
+    from tracelake.streaming.incremental import run_until_done
+    from tracelake.streaming.publication import Published
+
+    folder = scratch(spark)
+    events = t(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    events.repartition(8, F.col("event_id") % 64).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    table = Published(spark, f"{folder}/out", "user_id", "event_id", buckets=16)
+    if not run_until_done(table.stream(stream, f"{folder}/checkpoint", F.col("value") >= 20), seconds=3600):
+        raise RuntimeError("the stream did not end")
+    return table.read()
