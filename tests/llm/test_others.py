@@ -188,6 +188,20 @@ def test_archives_round_trip(spark):
     assert warc.archive_index(table.limit(0)).count() == 0
 
 
+def test_one_url_key_is_merged_in_many_ranges(spark):
+    rows = [(i * 7 % 600, "http://a.example.com/") for i in range(600)] + [(i, f"http://b.example.com/{i % 9}") for i in range(300)]
+    table = spark.createDataFrame(rows, "page_id long, url string").withColumn("html", F.col("url"))
+    from tracelake.llm.session import shared_dir
+
+    folder = shared_dir(spark)
+    runs = warc.capture_runs(warc.write_archives(table, folder), folder)
+    index = warc.merged(runs, 900, range_rows=100)
+    parts = [p for p in index.rdd.glom().collect() if p]
+    assert len(parts) > 5 and max(map(len, parts)) < 400
+    order = [(r.url_key, r.capture_time, r.page_id) for p in parts for r in p]
+    assert len(order) == 900 and order == sorted(order)
+
+
 def test_loser_tree_merges_any_runs():
     rng = np.random.default_rng(1)
     for k in range(12):

@@ -26,6 +26,8 @@ from tracelake.llm.session import bounded_batches, shared_dir, table, written
 
 INDEX = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, capture_time string"
 FILE_BYTES = 64 << 20
+#: Entries of the index that a task merges.
+RANGE_ROWS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -186,10 +188,12 @@ class LoserTree:
             self.top = winner
 
 
-def merged(runs: DataFrame) -> DataFrame:
+def merged(runs: DataFrame, entries: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All entries in global capture order: partitions are ranges of it, and each is merged from the pieces of runs that it got.
 
-    A piece ends where the order falls, however the pieces arrive.
+    There are as many ranges as it takes for one to have about range_rows of the
+    entries, so what a task holds does not grow with the index; page_id and digest split a
+    URL key of any number of captures.  A piece ends where the order falls, however the pieces arrive.
     """
     names = [f.split()[0] for f in INDEX.split(", ")]
 
@@ -205,7 +209,8 @@ def merged(runs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    return runs.repartitionByRange("url_key", "capture_time", "page_id").mapInArrow(run, INDEX)
+    ranges = max(1, -(-entries // range_rows))
+    return runs.repartitionByRange(ranges, "url_key", "capture_time", "page_id", "payload_digest").mapInArrow(run, INDEX)
 
 
 def archive_index(pages: DataFrame) -> DataFrame:
@@ -219,7 +224,9 @@ def archive_index(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     bounded_batches(spark)
     folder = shared_dir(spark)
-    return merged(capture_runs(write_archives(pages, folder), folder))
+    manifest = write_archives(pages, folder)
+    entries = manifest.agg(F.sum("records")).first()[0] or 0
+    return merged(capture_runs(manifest, folder), entries)
 
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
