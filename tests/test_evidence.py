@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import spans, symbols
+from tracelake.operators import calls
 from tracelake.operators import claims as C
 from tracelake.operators import projection as P
 from tracelake.operators import views
@@ -154,3 +155,26 @@ def test_publication_rewrites_touched_buckets(spark, tmp_path):
         table.apply(make((1, n, f"n{n}")), n)
     assert rows(Published(spark, path, "k", "rev", buckets=3).read(), "k", "rev", "v") == [(1, 8, "n8"), (2, 5, "b"), (3, 1, "c")]
     assert len(list((tmp_path / "published" / "log").glob("*.json"))) == 3
+
+
+def test_cell_seeds(spark):
+    pins = spark.createDataFrame([("c", "o", "p2"), ("c", "o", "p1"), ("c", "o", "p1"), ("d", "o", "q")], "cell string, occurrence string, pin string")
+    seeds = spark.createDataFrame([(1, "c", "o", None), (2, "d", "o", None), (3, "c", "other", None), (4, "c", "o", [0])], "seed int, cell string, occurrence string, indices array<int>")
+    assert rows(calls.cell_seeds(pins, seeds), "seed", "pin", "status") == [(1, "p1", "ambiguous"), (1, "p2", "ambiguous"), (2, "q", "exact"), (3, None, "invalid"), (4, None, "invalid")]
+
+
+def test_producers_follow_parts_and_cycles(spark):
+    arguments = spark.createDataFrame([("k", 0, "a", "rule"), ("k", 1, "lone", "rule"), ("k2", 0, "a", "other")], "call string, position int, expression string, caller string")
+    parts = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "m"), ("c", "n")], "expression string, part string")
+    references = spark.createDataFrame([("m", "s1", "1:0"), ("n", "s2", "2:0"), ("n2", "s2", "2:0")], "expression string, statement string, place string")
+    bindings = spark.createDataFrame([("b1", "rule", "s1", "1:0", "e1"), ("b2", "rule", "s1", "1:4", "e2"), ("b3", "rule", "s2", "2:0", "e3"), ("b4", "rule", "s2", "2:0", "e4")], "binding string, behaviour string, statement string, place string, endpoint string")
+    got = calls.producers(arguments, parts, references, bindings)
+    assert rows(got, "call", "position", "binding", "status") == [("k", 0, "b1", "exact"), ("k", 0, "b3", "ambiguous"), ("k", 0, "b4", "ambiguous")]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "node string, parent string, owner string, kind string")
+    assert views.closure(none, none).count() == 0
+    assert symbols.document_symbols(spark.createDataFrame([], "id int, text string")).count() == 0
+    assert C.violations(spark.createDataFrame([], "id string, kind string, scope string, source string, target string, premises array<string>")).count() == 0
+    assert P.presentations(spark.createDataFrame([("r",)], "reference string"), spark.createDataFrame([], "reference string, node string, role string"), none).first()["status"] == "none"

@@ -117,7 +117,9 @@ def rules(documents: DataFrame) -> DataFrame:
 
 
 def functions(documents: DataFrame) -> DataFrame:
-    return found(documents, rf"\bfunction\s+([^;=(]*?)\s*\b({ID})\s*\(([^;=]*?)\)\s*(?:provisos[^;=]*)?[;=]", returns=1, name=2, parameters=3)
+    """path, returns, name, parameters; brackets in types are matched to a depth of three."""
+    inner = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+    return found(documents, rf"\bfunction\s+((?:[^;=()]|{inner})*?)\s*\b({ID})\s*\(((?:[^;=()]|{inner})*)\)\s*(?:provisos[^;=]*)?[;=]", returns=1, name=2, parameters=3)
 
 
 def typedefs(documents: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.checkpoints import discard, scratch, written
+from tracelake.operators.checkpoints import Levels, discard, scratch, written
 from tracelake.operators.resolve import EXACT, UNRESOLVED
 
 UNSUPPORTED = "unsupported"
@@ -125,3 +125,44 @@ def shown(nodes: DataFrame, packages: bool = True, rules: bool = True, primitive
     if not rules:
         left = left.where(~F.col("kind").isin("rule", "method"))
     return left if primitives or mode == "data-flow" else left.where(~F.col("primitive"))
+
+
+def cell_seeds(pins: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, pin, status: the pins that a seed at a cell may mean, as a cell alone names no bits.
+
+    pins: cell, occurrence, pin; seeds: seed, cell, occurrence, indices (array or
+    null).  A cell with one pin is 'exact', with several each is 'ambiguous'; a seed with indices, or whose
+    occurrence does not have the cell, is 'invalid' and has no pin.
+    """
+    held = pins.select("cell", "occurrence", "pin").distinct()
+    n = held.groupBy("cell", "occurrence").agg(F.count(F.lit(1)).alias("n"))
+    asked = seeds.join(n, ["cell", "occurrence"], "left").withColumn("clear", F.col("n").isNotNull() & F.col("indices").isNull())
+    met = asked.where("clear").join(held, ["cell", "occurrence"]).select("seed", "pin", F.when(F.col("n") == 1, EXACT).otherwise("ambiguous").alias("status"))
+    return met.union(asked.where("not clear").select("seed", F.lit(None).cast("string"), F.lit("invalid")))
+
+
+def producers(arguments: DataFrame, parts: DataFrame, references: DataFrame, bindings: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """call, position, expression, binding, endpoint, status: which bindings produce what a call passes on.
+
+    arguments: call, position, expression, caller (a behaviour); parts: expression, part (an operand,
+    argument or definition of it); references: expression, statement, place - the members that
+    expressions name; bindings: binding, behaviour, statement, place, endpoint.
+    From each argument every part is followed, however deep, cycles too; a reference
+    that it comes to meets the bindings of the caller at the same statement and
+    place.  One is 'exact'; of several each is an 'ambiguous' candidate; none gives no row.
+    """
+    spark = arguments.sparkSession
+    folder = scratch(spark)
+    parts = written(parts.select(F.col("expression").alias("at"), F.col("part").alias("next")).distinct(), f"{folder}/parts")
+    levels = Levels(spark, f"{folder}/levels", "depth")
+    level = arguments.select(F.col("expression").alias("argument"), F.col("expression").alias("at")).distinct()
+    while levels.add(level)["rows"]:
+        if levels.n > max_depth:
+            raise ValueError(f"expressions are over {max_depth} deep")
+        following = levels.last().join(parts, "at").select("argument", F.col("next").alias("at")).distinct()
+        level = following.join(levels.all().select("argument", "at"), ["argument", "at"], "left_anti")
+    named = levels.all().select("argument", F.col("at").alias("expression")).join(references, "expression")
+    passed = arguments.select("call", "position", F.col("expression").alias("argument"), F.col("caller").alias("behaviour")).join(named, "argument")
+    met = passed.join(bindings.select("binding", "behaviour", "statement", "place", "endpoint"), ["behaviour", "statement", "place"])
+    several = F.count(F.lit(1)).over(Window.partitionBy("call", "position", "expression")) > 1
+    return met.select("call", "position", "expression", "binding", "endpoint", F.when(several, "ambiguous").otherwise(EXACT).alias("status"))

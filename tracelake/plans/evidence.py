@@ -300,6 +300,17 @@ def document_symbols(spark, d):
     return symbols.document_symbols(bodies(spark, d)).select("id", "kind", "name", "detail", "parent")
 
 
+@query("SELECT p_partkey AS part, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'Bit#(' || p_size || ')' ELSE 'Maybe#(Vector#(2, Bit#(8)))' END AS returns, 'f' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN 'Bit#(8) x, Vector#(2, Maybe#(t)) y' END AS parameters FROM part")
+def function_signatures(spark, d):
+    """A function for every part, of which other declarations stand only in comments."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    returns = F.when(size % 3 == 0, "").when(size % 3 == 1, text("Bit#(", size, ") ")).otherwise("Maybe#(Vector#(2, Bit#(8))) ")
+    given = F.when(size % 2 == 0, "Bit#(8) x, Vector#(2, Maybe#(t)) y").otherwise("")
+    content = text("// function Bool no(Bool x) = x;\nfunction ", returns, "f", key, "(", given, ")", F.when(size % 5 == 0, " provisos (Bits#(t, n))").otherwise(""), F.when(size % 4 == 0, ";\n  return 0;\nendfunction\n").otherwise(" = 0;\n"))
+    docs = X.with_masked(t(spark, d, "part").select(key.alias("path"), content.alias("content")))
+    return X.functions(docs).select(F.col("path").alias("part"), "returns", "name", "parameters")
+
+
 # ---- exports and publication
 
 @query("SELECT 'nation' AS section, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 'customer', c_custkey, c_name FROM customer UNION ALL SELECT 'part', p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_name || '\"' || chr(10) || 'ü' END FROM part")
@@ -332,3 +343,32 @@ def published_latest(spark, d):
     if not run_until_done(table.stream(stream, f"{folder}/checkpoint", F.col("value") >= 20), seconds=3600):
         raise RuntimeError("the stream did not end")
     return table.read()
+
+
+# ---- seeds and producers
+
+@query("WITH p AS (SELECT o_custkey AS cell, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT c_custkey AS seed, c_nationkey % 4 = 1 AS bad FROM customer) SELECT seed, 'o' || o_orderkey AS pin, CASE n WHEN 1 THEN 'exact' ELSE 'ambiguous' END AS status FROM s JOIN p ON cell = seed JOIN orders ON o_custkey = cell WHERE NOT bad UNION ALL SELECT seed, NULL, 'invalid' FROM s LEFT JOIN p ON cell = seed WHERE bad OR n IS NULL")
+def cell_seeds(spark, d):
+    """Customers as cells with their orders as pins; a quarter of the nations asks with indices."""
+    from tracelake.operators import calls
+
+    nations = t(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_nationkey").alias("occurrence"))
+    pins = t(spark, d, "orders").select(F.col("o_custkey").alias("cell"), text_key("o", "o_orderkey").alias("pin")).join(nations, "cell")
+    seeds = nations.select(F.col("cell").alias("seed"), "cell", "occurrence", F.when(F.col("occurrence") % 4 == 1, F.array(F.lit(0))).alias("indices"))
+    return calls.cell_seeds(pins, seeds)
+
+
+@query("WITH l AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_partkey AS p, l_suppkey AS s, l_returnflag AS flag, l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey || '.' || l_quantity AS id, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey), m AS (SELECT a.id AS call, 1 AS position, 'm' || a.p AS expression, 'b' || b.id AS binding, 's' || b.s AS endpoint, count(*) OVER (PARTITION BY a.id, a.p) AS n FROM (SELECT DISTINCT id, p, c FROM l) a JOIN l b ON a.c = b.c AND a.p = b.p AND b.flag = 'R') SELECT call, position, expression, binding, endpoint, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'exact' END AS status FROM m")
+def call_producers(spark, d):
+    """Every line passes on its part, by way of an operand: what the customer's returned lines of that part bind is produced there."""
+    from tracelake.operators import calls
+
+    lines = t(spark, d, "lineitem").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
+    lines = lines.withColumns({"id": F.concat_ws(".", *parts), "behaviour": text_key("c", "o_custkey"), "statement": text_key("t", "l_partkey")})
+    passed = lines.select(F.col("id").alias("call"), F.lit(1).alias("position"), text("x", F.col("id")).alias("expression"), F.col("behaviour").alias("caller")).distinct()
+    key = t(spark, d, "part").select("p_partkey")
+    inside = union(lines.select(text("x", F.col("id")), text_key("p", "l_partkey")), key.select(text_key("p", "p_partkey"), text_key("m", "p_partkey")), key.select(text_key("m", "p_partkey"), text_key("p", "p_partkey"))).toDF("expression", "part")
+    references = key.select(text_key("m", "p_partkey").alias("expression"), text_key("t", "p_partkey").alias("statement"), F.lit("0:0").alias("place"))
+    bindings = lines.where("l_returnflag = 'R'").select(text("b", F.col("id")).alias("binding"), "behaviour", "statement", F.lit("0:0").alias("place"), text_key("s", "l_suppkey").alias("endpoint"))
+    return calls.producers(passed, inside, references, bindings)
