@@ -26,3 +26,12 @@ def test_slices_of_one_definition_are_dealt_out(spark):
     found = Q.behaviour_slices(behaviours, parts)
     assert found.count() == found.distinct().count() == 4000 * 500 + 3
     assert largest_share(found) < 0.8
+
+
+def test_endpoints_of_one_interface_are_dealt_out(spark):
+    owners = spark.range(4000).coalesce(1).select(F.col("id").alias("owner"), F.lit("I").alias("interface"))
+    members = spark.range(500).coalesce(1).select(F.lit("I").alias("interface"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("nested"))
+    found = M.endpoints(owners, members.union(spark.createDataFrame([("I", "self", "I")], members.schema)))
+    assert found.count() == found.distinct().count() == 4000 * 501
+    assert found.where("status = 'cycle-cut' and path = 'self'").count() == 4000
+    assert largest_share(found) < 0.8
