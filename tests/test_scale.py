@@ -35,3 +35,20 @@ def test_endpoints_of_one_interface_are_dealt_out(spark):
     assert found.count() == found.distinct().count() == 4000 * 501
     assert found.where("status = 'cycle-cut' and path = 'self'").count() == 4000
     assert largest_share(found) < 0.8
+
+
+def test_states_shared_between_many_groups(spark):
+    rows = [(b, f"s{(b * k) % 7}", (b + k) % 3 == 0) for b in range(25) for k in range(4)] + [(1, None, True), (None, "s1", True)]
+    access = spark.createDataFrame(rows, "behaviour long, state string, writes boolean")
+    held = {}
+    for b, s, w in rows:
+        if b is not None and s is not None:
+            held[b, s] = held.get((b, s), False) or w
+    want = {}
+    for (a, s), x in held.items():
+        for (b, r), y in held.items():
+            if a < b and s == r and (x or y):
+                want.setdefault((a, b), []).append(s)
+    for per_cell in (20, 10**9):
+        got = R.shared_state_pairs(access, per_cell=per_cell)
+        assert sorted((r["a"], r["b"], r["n_states"], r["states"]) for r in got.collect()) == sorted((a, b, len(v), sorted(v)) for (a, b), v in want.items())

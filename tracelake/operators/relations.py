@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.checkpoints import scratch, written
+
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in order (of equals the one of least other values): a minimum, which is taken before rows are shuffled."""
@@ -68,17 +70,25 @@ def paired(left: DataFrame, right: DataFrame, key: str, block: int = 512, per_ta
     return each.select(key, *(F.col(f"{side}.{c}").alias(c) for side, rows in (("__l", left), ("__r", right)) for c in rows.columns if c != key))
 
 
-def shared_state_pairs(accesses: DataFrame) -> DataFrame:
+def shared_state_pairs(accesses: DataFrame, per_cell: int = 2_000_000) -> DataFrame:
     """a, b, states: behaviours that access a state in common of which at least one writes it, a < b.
 
     accesses: behaviour, state, writes.  A state that k behaviours read and w
-    write gives only pairs with a writer.
+    write gives only pairs with a writer.  Behaviours are dealt into groups, as many as
+    leave about per_cell pairs to each two of them; what two groups do to a state meets
+    in their cell, where pairs are made and counted, so no pair is shuffled.
     """
-    each = accesses.groupBy("behaviour", "state").agg(F.max("writes").alias("writes"))
-    writers = each.where("writes").select(F.col("behaviour").alias("x"), "state")
-    met = writers.join(each.select(F.col("behaviour").alias("y"), "state"), "state").where("x <> y")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "state").distinct()
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_states"), F.sort_array(F.collect_list("state")).alias("states"))
+    each = accesses.where("behaviour is not null and state is not null").groupBy("behaviour", "state").agg(F.max("writes").alias("writes"))
+    each = written(each, scratch(accesses.sparkSession))
+    sizes = each.groupBy("state").agg((F.count(F.lit(1)).cast("double") * F.count_if("writes")).alias("n"))
+    groups = int((2 * (sizes.agg(F.sum("n")).first()[0] or 0) / per_cell) ** 0.5) + 1
+    cells = max(groups * (groups + 1) // 2, accesses.sparkSession.sparkContext.defaultParallelism)
+    blocks = each.groupBy("state", F.pmod(F.xxhash64("behaviour"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("behaviour", "writes")).alias("of"))
+    met = blocks.select("state", F.col("g").alias("i"), F.col("of").alias("xs")).join(blocks.select("state", F.col("g").alias("j"), F.col("of").alias("ys")), "state").where("i <= j")
+    pairs = met.repartition(cells, "i", "j").select("i", "j", "state", F.explode("xs").alias("x"), "ys").select("i", "j", "state", "x", F.explode("ys").alias("y"))
+    pairs = pairs.where("(x.writes or y.writes) and if(i = j, x.behaviour < y.behaviour, x.behaviour <> y.behaviour)")
+    pairs = pairs.select("i", "j", "state", F.least("x.behaviour", "y.behaviour").alias("a"), F.greatest("x.behaviour", "y.behaviour").alias("b"))
+    return pairs.groupBy("i", "j", "a", "b").agg(F.count(F.lit(1)).alias("n_states"), F.sort_array(F.collect_list("state")).alias("states")).drop("i", "j")
 
 
 def summarised(relations: DataFrame, keys: list[str], members: dict[str, Column]) -> DataFrame:
