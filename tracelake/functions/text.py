@@ -181,7 +181,8 @@ def type_width(members: DataFrame, basic: DataFrame) -> DataFrame:
     gets one is 'unknown' if it has a member of no known type, else 'cycle'.
     """
     known = basic.select("name", F.col("bits").cast("long").alias("bits"))
-    left, folder, k = members.select("owner", "member_type"), scratch(members.sparkSession), 0
+    folder, k = scratch(members.sparkSession), 0
+    left = members = written(members.select("owner", "member_type"), f"{folder}/members")
     while True:
         met = left.join(known, left["member_type"] == known["name"], "left")
         ready = met.groupBy("owner").agg(F.count_if(F.col("bits").isNull()).alias("open"), F.sum("bits").alias("bits")).where("open = 0").select(F.col("owner").alias("name"), "bits")
@@ -192,6 +193,6 @@ def type_width(members: DataFrame, basic: DataFrame) -> DataFrame:
         left = written(left.join(new.withColumnRenamed("name", "owner"), "owner", "left_anti"), f"{folder}/left{k}")
         k += 1
     owners = members.select(F.col("owner").alias("name")).distinct()
-    missing = members.join(owners.union(basic.select("name")).withColumnRenamed("name", "member_type"), "member_type", "left_anti").select(F.col("owner").alias("name")).distinct().withColumn("missing", F.lit(True))
+    missing = left.join(owners.union(basic.select("name")).withColumnRenamed("name", "member_type"), "member_type", "left_anti").select(F.col("owner").alias("name")).distinct().withColumn("missing", F.lit(True))
     told = owners.join(known, "name", "left").join(missing, "name", "left")
     return told.select("name", "bits", F.when(F.col("bits").isNotNull(), "exact").when(F.col("missing"), "unknown").otherwise("cycle").alias("status"))

@@ -11,6 +11,7 @@ from tracelake.operators import graph as G
 from tracelake.operators import relations as R
 from tracelake.operators import resolve as V
 from tracelake.operators import semantic as M
+from tracelake.operators.checkpoints import scratch, written
 from tracelake.plans.relational import t, text_key
 from tracelake.sources import files, schedules
 from tracelake.streaming import incremental
@@ -150,6 +151,7 @@ def multiplicities(spark, d):
 def type_widths(spark, d):
     """Orders as types of their lines' widths, customers as types of their orders."""
     lines = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = written(lines.select("l_orderkey", "o_custkey", "l_quantity"), scratch(spark))
     width = F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string"))
     members = lines.select(text_key("o", "l_orderkey").alias("owner"), width.alias("member_type"))
     members = members.union(lines.select(text_key("c", "o_custkey"), text_key("o", "l_orderkey")).distinct())
@@ -347,9 +349,8 @@ def resolved_calls(spark, d):
 def settled_statuses(spark, d):
     """Statuses of lines go up to orders and customers."""
     lines = t(spark, d, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("node"), text_key("o", "l_orderkey").alias("up"), F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), "unsupported").when(F.col("l_quantity") > 40, "unresolved").otherwise("exact").alias("status"))
-    lines = lines.groupBy("node", "up").agg(F.max("status").alias("status"))
     orders = t(spark, d, "orders").select(text_key("o", "o_orderkey").alias("node"), text_key("c", "o_custkey").alias("up"))
-    nodes = lines.select("node", "status").union(orders.select("node", F.lit("exact"))).union(orders.select("up", F.lit("exact")).distinct())
+    nodes = lines.groupBy("node").agg(F.max("status").alias("status")).union(orders.select("node", F.lit("exact"))).union(orders.select("up", F.lit("exact")).distinct())
     operands = lines.select(F.col("up").alias("node"), F.col("node").alias("operand")).union(orders.select("up", "node"))
     return C.settled(nodes, operands).where("node not like '%/%'")
 
