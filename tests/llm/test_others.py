@@ -269,3 +269,29 @@ def test_unmatched_tags_take_linear_time():
 
 def test_no_pages(spark):
     assert extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_texts_that_cannot_be_alike_make_no_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(80):  # versions of one text with four wordings of each of eleven places, so each wording is in some twenty of them
+        words = [f"w{i}" for i in range(220)]
+        for at in range(10, 220, 20):
+            words[at] = f"x{at}.{rng.randrange(4)}"
+        rows.append((k, k, " ".join(words), [1]))
+    rows += [(100 + k, 100 + k, f"{rows[0][2]} end{k}", [1]) for k in (0, 1)]
+    texts = spark.createDataFrame(rows, "node long, own long, text string, keys array<long>")
+    got = {tuple(r) for r in neardup.sharing_rare(texts, neardup.Rule()).collect()}
+    assert got >= {(0, 100), (0, 101), (100, 101)}
+    assert len(got) < 300  # of 3,321
+
+
+def test_parities_bound_what_two_texts_do_not_share():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (0, 1, 5, 40, 300, 3000)] * 2
+    labels, first = neardup.labelled(R.texts_of(pa.array(texts)), 5)
+    odd = neardup.parities(labels, first)
+    sets = [set(labels[a:b].tolist()) for a, b in zip(first, first[1:])]
+    for x in range(len(texts)):
+        for y in range(len(texts)):
+            assert sum(int(v).bit_count() for v in (odd[x] ^ odd[y]).view("uint64")) <= len(sets[x] ^ sets[y])

@@ -12,8 +12,10 @@ with one of them, its head.  Where a bucket still has several classes, its texts
 are compared with the one nearest to their mean.  What is then still open meets
 by prefixes: texts that are alike share one of the rarest shingles of each, so
 only those that share such a shingle, as well as a sketch, are verified, and
-never two of one class.  So every pair that shares a sketch is verified or ruled
-out, and a crowded bucket is not compared all with all.
+never two of one class.  Where they meet, parities of hash slots tell at least how many
+shingles two texts do not share; what cannot be alike by that makes no row.  So
+every pair that shares a sketch is verified or ruled out, and a crowded bucket is
+not compared all with all.
 
 Two texts at the threshold of 0.8 share one sketch of three shingles with a
 probability of about 0.51; all 16 bands miss with one of 1e-5.
@@ -40,6 +42,9 @@ from tracelake.llm.session import bounded_batches, shared_dir, table, written
 RANGES = 16
 #: Shingles are counted by so many hash slots; the counts tell rare ones from frequent ones.
 SLOTS = 1 << 18
+#: A text has so many words of 64 parity bits, one for each hash slot in which its shingles are an odd number.
+PARITIES = 8
+ODD = [f"odd{i}" for i in range(PARITIES)]
 #: Rows of one class are dealt into so many parts where the class's id is joined back.
 PARTS = 16
 _odd = np.random.default_rng(8).integers(1, 1 << 62, 512, dtype=np.uint64) * R.U(2) + R.U(1)
@@ -263,8 +268,19 @@ def slot_counts(texts: DataFrame, rule: Rule) -> np.ndarray:
     return out
 
 
+def parities(labels: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text PARITIES words of bits: is the number of its shingles in a hash slot odd?
+
+    Two texts have at least as many shingles that only one of them has as these bits differ.
+    """
+    bits, texts = 64 * PARITIES, len(first) - 1
+    owner = np.repeat(np.arange(texts), np.diff(first))
+    held = np.bincount(owner * bits + ((labels >> R.U(32)) % R.U(bits)).astype(np.int64), minlength=texts * bits)
+    return np.packbits((held & 1).astype(np.uint8).reshape(texts, bits), axis=1).view(np.int64)
+
+
 def prefixes(texts: DataFrame, counts: Broadcast, rule: Rule) -> DataFrame:
-    """node, own, n, shingle, place: the rarest shingles of each text, of which a text that is alike has one, with their places from the rarest on."""
+    """node, own, n, shingle, place, odd0...: the rarest shingles of each text, of which a text that is alike has one, with their places from the rarest on and the text's parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,19 +292,20 @@ def prefixes(texts: DataFrame, counts: Broadcast, rule: Rule) -> DataFrame:
                 place = np.arange(len(by)) - np.repeat(first[:-1], n)
                 own = np.flatnonzero(place < np.repeat(n - np.ceil(rule.threshold * n - 1e-9).astype(np.int64) + 1, n))
                 text = owner[own]
+                odd = parities(labels, first)[text]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(at, to - at).take(pa.array(text)) for c in (0, 1)),
-                        *(pa.array(x, pa.int64()) for x in (n[text], R.signed(labels[by[own]]), place[own])),
+                        *(pa.array(x, pa.int64()) for x in (n[text], R.signed(labels[by[own]]), place[own], *odd.T)),
                     ],
-                    names=["node", "own", "n", "shingle", "place"],
+                    names=["node", "own", "n", "shingle", "place", *ODD],
                 )
 
-    return texts.select("node", "own", "text").mapInArrow(run, "node long, own long, n long, shingle long, place long")
+    return texts.select("node", "own", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("node", "own", "n", "shingle", "place", *ODD)))
 
 
 def sharing_rare(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of texts (node, own, text, keys) of different classes that share a sketch and one of their rarest shingles, and can be alike by lengths and places.
+    """Pairs (a, b) of texts (node, own, text, keys) of different classes that share a sketch and one of their rarest shingles, and can be alike by lengths, places and parities.
 
     For each shingle only texts that are not of its largest class meet the others.
     """
@@ -296,9 +313,10 @@ def sharing_rare(texts: DataFrame, rule: Rule) -> DataFrame:
     rows = contested(prefixes(texts, counts, rule), ["shingle"], None)
     rows = written(rows, shared_dir(texts.sparkSession))
     largest = rows.groupBy("shingle", "own").count().groupBy("shingle").agg(F.max_by("own", "count").alias("large"))
-    odd = rows.join(largest, "shingle").where("own <> large").select("shingle", "large", *(F.col(c).alias(f"x_{c}") for c in ("node", "own", "n", "place")))
+    odd = rows.join(largest, "shingle").where("own <> large").select("shingle", "large", *(F.col(c).alias(f"x_{c}") for c in ("node", "own", "n", "place", *ODD)))
     met = rows.join(odd, "shingle").where((F.col("own") != F.col("x_own")) & ((F.col("own") == F.col("large")) | (F.col("x_node") < F.col("node"))))
-    most = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place"))
+    apart = reduce(lambda total, c: total + F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))), ODD, F.lit(0))
+    most = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place"), (F.col("n") + F.col("x_n") - apart) / 2)
     near = pairs(met.where(rule.alike("n", "x_n", most)), "node", "x_node")
     of = lambda c: texts.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
     return near.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
