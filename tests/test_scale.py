@@ -105,3 +105,51 @@ def test_widths_read_members_once(spark, monkeypatch):
     members = spark.createDataFrame([("a", "b"), ("a", "q"), ("b", "q"), ("c", "c"), ("d", "zz")], "owner string, member_type string")
     assert {tuple(r) for r in X.type_width(members, spark.createDataFrame([("q", 3)], "name string, bits int")).collect()} == {("a", 6, "exact"), ("b", 3, "exact"), ("c", None, "cycle"), ("d", None, "unknown")}
     assert any(p.endswith("/members") for p in paths)
+
+
+def rows_written(monkeypatch, module) -> dict:
+    """How many rows each table has that a module writes from now on, by the last part of its path."""
+    seen, write = {}, module.written
+
+    def counted(df, path):
+        out = write(df, path)
+        seen[path.rpartition("/")[2]] = out.count()
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    return seen
+
+
+def test_instances_that_have_arrived_are_not_joined_again(spark, monkeypatch):
+    seen = rows_written(monkeypatch, Q)
+    chain = [(k, k - 1 if k else None) for k in range(9)]
+    flat = [(100 + k, None) for k in range(500)]
+    roots = spark.createDataFrame([(0, 1), (4, 2)], "node long, nth long")
+    found = Q.topology(spark.createDataFrame(chain + flat, "node long, parent long"), roots)
+    assert sorted(tuple(r) for r in found.collect()) == [(k, 0, k) for k in range(9)]
+    assert seen["0"] == 509 and all(n <= 8 for k, n in seen.items() if k != "0") and len(seen) > 3
+
+
+def test_traces_merge_only_edges_that_an_origin_reaches(spark, monkeypatch):
+    from tracelake.operators import paths as P
+
+    seen = rows_written(monkeypatch, P)
+    far = spark.range(400).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("src"), F.lit("z").alias("dst"), F.lit("i").alias("id"))
+    near = spark.createDataFrame([("a", "b", "1"), ("a", "b", "2"), ("b", "z", "3")], "src string, dst string, id string")
+    found = P.between(near.union(far), spark.createDataFrame([("a", "z"), ("x1", "a")], "origin string, goal string"))
+    assert sorted((r["origin"], r["status"], r["n_paths"] and int(r["n_paths"])) for r in found.status.collect()) == [("a", "exact", 2), ("x1", "no-path", None)]
+    assert seen["merged"] == 3 and seen["edges"] == 403
+
+
+def test_trade_edges_are_made_once_and_grouped_as_numbers(spark, monkeypatch):
+    from tracelake.operators import graph as G
+    from tracelake.plans import relational
+
+    joined, given, find = [], [], relational.components
+    pairs = relational.trade_pairs
+    monkeypatch.setattr(relational, "trade_pairs", lambda *a: joined.append(1) or pairs(*a))
+    monkeypatch.setattr(relational, "components", lambda edges, folder: given.append(dict(edges.dtypes)) or find(edges, folder))
+    monkeypatch.setattr(G, "written", lambda *a: 1 / 0)  # the edges are files already
+    assert relational.khop_neighborhood(spark, "/root/testdata/sf0.001").count() and len(joined) == 1
+    relational.connected_components(spark, "/root/testdata/sf0.001")
+    assert given == [{"a": "bigint", "b": "bigint"}]
