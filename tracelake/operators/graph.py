@@ -19,23 +19,22 @@ from tracelake.operators.ordered import running
 COMPLETE, PARTIAL, EMPTY = "complete", "partial", "empty"
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """The edges and their reverses, each once."""
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, stop: DataFrame | None = None, undirected: bool = False, until: str | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, stop: DataFrame | None = None, undirected: bool = False, until: str | None = None, stored: bool = False) -> DataFrame:
     """node, depth, reason of every node that is reached from the seeds (node); depth is the least number of edges.
 
     stop: nodes that are reached but not left.  until: no level after that of this
     node is looked at.  allowed nodes are a matter of the
     edges passed in.  reason is null for a node whose edges were followed, and
     says otherwise why they were not: 'stop', 'depth', or 'budget' when the next
-    level would exceed max_nodes.  A node without edges has reason null.
+    level would exceed max_nodes.  A node without edges has reason null.  stored: the
+    edges are files already and are not written again.  Parallel edges do no harm, as a
+    level has each node once.
     """
     spark = edges.sparkSession
     folder = scratch(spark)
-    edges = written(both_ways(edges) if undirected else edges.select("src", "dst").distinct(), f"{folder}/edges")
+    edges = edges.select("src", "dst") if stored else written(edges.select("src", "dst"), f"{folder}/edges")
+    if undirected:
+        edges = edges.union(edges.select("dst", "src"))
     stop = None if stop is None else stop.select("node").distinct()
     levels, reason, count = Levels(spark, f"{folder}/levels", "depth"), None, 0
     level = seeds.select("node").distinct()
@@ -62,7 +61,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_
         visited = visited.join(stop.withColumn("__stop", F.lit(True)), "node", "left")
         stopped = F.when(F.col("__stop"), "stop")
     if reason:  # only nodes with a way on were cut off
-        cut = levels.last().select("node").join(edges.select(F.col("src").alias("node")), "node", "left_semi").withColumn("__onward", F.lit(True))
+        cut = levels.last().select("node").join(edges.select(F.col("src").alias("node")), "node", "left_semi").distinct().withColumn("__onward", F.lit(True))
         visited = visited.join(cut, "node", "left")
         stopped = F.coalesce(stopped, F.when((F.col("depth") == last) & F.col("__onward"), reason))
     return visited.select("node", "depth", stopped.alias("reason"))
@@ -123,9 +122,9 @@ def completeness(visited: DataFrame) -> DataFrame:
     return visited.agg(F.when(F.count(F.lit(1)) == 0, EMPTY).when(cut > 0, PARTIAL).otherwise(COMPLETE).alias("status"), cut.alias("frontier"))
 
 
-def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int | None) -> DataFrame:
-    """node and depth of all within so many undirected hops."""
-    return reach(edges, seeds, max_depth=hops, undirected=True).select("node", "depth")
+def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int | None, stored: bool = False) -> DataFrame:
+    """node and depth of all within so many undirected hops; stored as in reach."""
+    return reach(edges, seeds, max_depth=hops, undirected=True, stored=stored).select("node", "depth")
 
 
 def focus_neighborhood(edges: DataFrame, focus: DataFrame, children: DataFrame, hops: int | None) -> DataFrame:
@@ -138,35 +137,36 @@ def focus_neighborhood(edges: DataFrame, focus: DataFrame, children: DataFrame,
     return own.unionByName(below.join(focus.select("node"), "node", "left_anti"))
 
 
-def shortest_paths(edges: DataFrame, source: str, target: str, max_paths: int = 50, max_nodes: int | None = None, undirected: bool = True) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, target: str, max_paths: int = 50, max_nodes: int | None = None, undirected: bool = True, stored: bool = False) -> DataFrame:
     """path (array of nodes) of the shortest paths, the first max_paths in order; columns depth and n_paths tell the whole.
 
-    Distances come from one traversal; the paths are counted back from the target
+    stored: the edges are files already.  Distances come from one traversal; the paths are counted back from the target
     and only the first ones spelled out.  A row of nulls says that max_nodes ended
     the search before the target.
     """
     from tracelake.operators import paths as P
 
     spark = edges.sparkSession
-    edges = both_ways(edges) if undirected else edges.select("src", "dst").distinct()
-    seen = reach(edges, spark.createDataFrame([(source,)], "node string"), max_nodes=max_nodes, until=target)
+    edges = edges.select("src", "dst") if stored else written(edges.select("src", "dst"), scratch(spark))
+    seen = reach(edges, spark.createDataFrame([(source,)], "node string"), max_nodes=max_nodes, until=target, undirected=undirected, stored=True)
     at = written(seen, scratch(spark))
     found = at.where(F.col("node") == target).first()
     if found is None:
         cut = not at.where("reason = 'budget'").isEmpty()
         return spark.createDataFrame([(None, None, None)] if cut else [], "path array<string>, depth int, n_paths long")
-    inside = edges.join(at.select(F.col("node").alias("src")), "src", "left_semi").join(at.select(F.col("node").alias("dst")), "dst", "left_semi")
+    ends = edges.union(edges.select("dst", "src")) if undirected else edges
+    inside = ends.join(at.select(F.col("node").alias("src")), "src", "left_semi").join(at.select(F.col("node").alias("dst")), "dst", "left_semi").distinct()
     pair = spark.createDataFrame([(source, target)], "origin string, goal string")
     told = P.between(inside.withColumn("id", F.lit("")), pair, max_depth=found["depth"], max_paths=max_paths)
     return told.paths.join(told.status, ["origin", "goal"]).orderBy("nth").select(F.col("nodes").alias("path"), "depth", F.col("n_paths").cast("long").alias("n_paths"))
 
 
-def flow_trace(edges: DataFrame, source: str, target: str, kinds: tuple[str, ...] = ("payload",), scope: Column | None = None, entities: DataFrame | None = None, max_paths: int = 50, max_nodes: int | None = None, max_depth: int = 32) -> DataFrame:
+def flow_trace(edges: DataFrame, source: str, target: str, kinds: tuple[str, ...] = ("payload",), scope: Column | None = None, entities: DataFrame | None = None, max_paths: int = 50, max_nodes: int | None = None, max_depth: int = 32, stored: bool = False) -> DataFrame:
     """status, n_paths and the first paths (path, depth, edges) over edges (src, dst, kind, id) of some kinds; parallel edges are different paths, told by their ids.
 
     scope: a condition on edges.  'unresolved' where an end is not among the
     entities (node); 'search-limit' where max_nodes or max_depth ended the search,
-    or where there are more paths than max_paths.
+    or where there are more paths than max_paths.  stored: the edges are files already and are not written again.
     """
     from tracelake.operators import paths as P
 
@@ -177,8 +177,8 @@ def flow_trace(edges: DataFrame, source: str, target: str, kinds: tuple[str, ...
     if max_nodes is not None:
         seen = written(reach(edges, spark.createDataFrame([(source,)], "node string"), max_nodes=max_nodes, until=target), scratch(spark))
         cut = not seen.where("reason = 'budget'").isEmpty()
-        edges = edges.join(seen.select(F.col("node").alias("src")), "src", "left_semi").join(seen.select(F.col("node").alias("dst")), "dst", "left_semi")
-    told = P.between(edges, spark.createDataFrame([(source, target)], "origin string, goal string"), entities, max_depth, max_paths)
+        edges, stored = edges.join(seen.select(F.col("node").alias("src")), "src", "left_semi").join(seen.select(F.col("node").alias("dst")), "dst", "left_semi"), False
+    told = P.between(edges, spark.createDataFrame([(source, target)], "origin string, goal string"), entities, max_depth, max_paths, stored)
     limited = (F.col("status") == P.EXACT) & (F.coalesce(F.col("n_paths") > max_paths, F.lit(True)) | F.lit(cut)) | (F.col("status") == P.NO_PATH) & F.lit(cut)
     status = told.status.withColumn("status", F.when(limited, P.SEARCH_LIMIT).otherwise(F.col("status")))
     listed = status.join(told.paths, ["origin", "goal"], "left")

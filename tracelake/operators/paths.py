@@ -82,13 +82,15 @@ def unranked(steps: DataFrame, pairs: DataFrame, max_paths: int, folder: str) ->
     return found.select("origin", "goal", (F.col("before") + 1).cast("long").alias("nth"), "nodes", "edges")
 
 
-def between(edges: DataFrame, pairs: DataFrame, entities: DataFrame | None = None, max_depth: int = 32, max_paths: int = 50) -> Traces:
+def between(edges: DataFrame, pairs: DataFrame, entities: DataFrame | None = None, max_depth: int = 32, max_paths: int = 50, stored: bool = False) -> Traces:
     """The shortest paths of every pair (origin, goal) over directed edges (src, dst, id); parallel edges make different paths.
 
     entities (node): what may be an end; a pair with another, or with a null, is
     'unresolved'.  'search-limit' says that edges led on beyond max_depth and no
     path was found.  An origin that is its own goal has one path without edges.
-    Repeated pairs are answered once.  Nodes and ids are strings.
+    Repeated pairs are answered once.  Nodes and ids are strings.  Only edges from what
+    the origins reach are merged and searched.  stored: the edges are files already and
+    are not written again.
     """
     spark = edges.sparkSession
     folder = scratch(spark)
@@ -98,10 +100,13 @@ def between(edges: DataFrame, pairs: DataFrame, entities: DataFrame | None = Non
         known = entities.select("node").where("node is not null").distinct()
         for end in ("origin", "goal"):
             good = good.join(known.withColumnRenamed("node", end), end, "left_semi")
-    edges = written(edges.select("src", "dst", "id").where("src is not null and dst is not null"), f"{folder}/edges")
+    edges = edges.select("src", "dst", "id").where("src is not null and dst is not null")
+    edges = edges if stored else written(edges, f"{folder}/edges")
+    ahead = written(reach(edges, good.select(F.col("origin").alias("node")), max_depth=max_depth, stored=True).select("node"), f"{folder}/ahead")
+    # a goal's search passes only nodes that an origin reaches, so other edges are never looked at
+    edges = written(edges.join(ahead.select(F.col("node").alias("src")), "src", "left_semi"), f"{folder}/inside")
     merged = written(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), f"{folder}/merged")
-    ahead = reach(merged, good.select(F.col("origin").alias("node")), max_depth=max_depth).select("node")
-    found, cut = distances(merged, good.select(F.col("goal").alias("node")), written(ahead, f"{folder}/ahead"), max_depth, f"{folder}/levels")
+    found, cut = distances(merged, good.select(F.col("goal").alias("node")), None, max_depth, f"{folder}/levels")
     met = good.join(found.withColumnRenamed("node", "origin"), ["origin", "goal"])
     answered = asked.join(met.select("origin", "goal", F.col("dist").alias("depth"), F.col("n").alias("n_paths")), ["origin", "goal"], "left")
     answered = answered.join(good.withColumn("__good", F.lit(True)), ["origin", "goal"], "left").join(cut.distinct().withColumn("__cut", F.lit(True)), "goal", "left")
@@ -121,13 +126,14 @@ def between_instances(edges: DataFrame, composition: DataFrame, pairs: DataFrame
     of any pair of endpoints, n_paths counts the paths of all of them.  Endpoints
     are searched only where the instances themselves have no path.
     """
-    direct = between(edges, pairs, entities, max_depth, max_paths)
     folder = scratch(edges.sparkSession)
+    edges = written(edges.select("src", "dst", "id"), f"{folder}/edges")
+    direct = between(edges, pairs, entities, max_depth, max_paths, stored=True)
     open_ = direct.status.where(~F.col("status").isin(EXACT, SEARCH_LIMIT)).select("origin", "goal", F.col("status").alias("own"))
     ends = composition.select("instance", "endpoint").distinct()
     inner = open_.join(ends.toDF("origin", "from"), "origin").join(ends.toDF("goal", "to"), "goal")
     inner = written(inner.select("origin", "goal", "from", "to"), f"{folder}/inner")
-    traced = between(edges, inner.select(F.col("from").alias("origin"), F.col("to").alias("goal")), entities, max_depth, max_paths)
+    traced = between(edges, inner.select(F.col("from").alias("origin"), F.col("to").alias("goal")), entities, max_depth, max_paths, stored=True)
     told = inner.join(traced.status.withColumnsRenamed({"origin": "from", "goal": "to"}), ["from", "to"])
     rolled = told.groupBy("origin", "goal").agg(F.bool_or(F.col("status") == EXACT).alias("exact"), F.bool_or(F.col("status") == SEARCH_LIMIT).alias("cut"), F.min("depth").alias("depth"), F.try_sum("n_paths").cast(COUNT).alias("n_paths"))
     # an instance without endpoints has no composition, and its own answer stays

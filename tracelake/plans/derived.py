@@ -186,4 +186,4 @@ def flow_trace(spark, d):
     goal = edges.join(parts, "src").agg(F.min("dst")).first()[0]
     direct = t(spark, d, "lineitem").select(text_key("o", "l_orderkey"), text_key("s", "l_suppkey"), F.lit("control"), F.lit("x"))
     kinds = edges.select("src", "dst", F.lit("payload").alias("kind"), "id").union(direct)
-    return G.flow_trace(kinds, f"o{first}", goal).select("status", F.array_join("edges", ">").alias("steps"))
+    return G.flow_trace(kinds, f"o{first}", goal, stored=True).select("status", F.array_join("edges", ">").alias("steps"))
