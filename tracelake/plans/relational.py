@@ -41,10 +41,20 @@ def text_key(prefix: str, column: str):
 EDGES_SQL = "e0 AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), hub AS (SELECT src AS node FROM e0 GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
 
 
-def trade_edges(spark: SparkSession, d: str) -> DataFrame:
+def trade_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """o_custkey, l_partkey: who ordered what, each once, still as numbers."""
     lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     met = lines.join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return met.select(text_key("c", "o_custkey").alias("src"), text_key("p", "l_partkey").alias("dst")).distinct()
+    return met.select("o_custkey", "l_partkey").distinct()
+
+
+def named(pairs: DataFrame) -> DataFrame:
+    """src and dst, customers and parts by name, of what trade_pairs gives."""
+    return pairs.select(text_key("c", "o_custkey").alias("src"), text_key("p", "l_partkey").alias("dst"))
+
+
+def trade_edges(spark: SparkSession, d: str) -> DataFrame:
+    return named(trade_pairs(spark, d))
 
 
 def hub(edges: DataFrame) -> DataFrame:
@@ -53,16 +63,20 @@ def hub(edges: DataFrame) -> DataFrame:
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, r(node, depth) AS (SELECT node, 0 FROM hub UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node")
 def khop_neighborhood(spark, d):
-    edges = trade_edges(spark, d)
-    return G.neighborhood(edges, hub(edges), 3)
+    edges = written(trade_edges(spark, d), scratch(spark))
+    return G.neighborhood(edges, hub(edges), 3, stored=True)
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, r(node, top) USING KEY (node) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, min(r.top) FROM r JOIN e ON r.node = e.src JOIN recurring.r AS old ON old.node = e.dst WHERE r.top < old.top GROUP BY e.dst) SELECT node, top AS component FROM r")
 def connected_components(spark, d):
-    edges = trade_edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    # as numbers, even for customers and odd for parts, they are grouped and joined with less; a component is named by its least name
+    edges = trade_pairs(spark, d).select((F.col("o_custkey").cast("long") * 2).alias("a"), (F.col("l_partkey").cast("long") * 2 + 1).alias("b"))
     found = components(edges, scratch(spark))
     tops = found.select(F.col("class").alias("node"), F.col("class")).distinct()
-    return found.union(tops).select("node", F.col("class").alias("component"))
+    name = F.concat(F.when(F.col("node") % 2 == 0, "c").otherwise("p"), F.expr("shiftright(node, 1)").cast("string"))
+    placed = written(found.union(tops).select("class", name.alias("node")), scratch(spark))
+    least = placed.groupBy("class").agg(F.min("node").alias("component"))
+    return placed.join(least, "class").select("node", "component")
 
 
 @query(
@@ -71,8 +85,9 @@ def connected_components(spark, d):
 def shortest_paths(spark, d):
     edges = written(trade_edges(spark, d), scratch(spark))
     start = hub(edges)
-    goal = G.neighborhood(edges, start, 3).where("depth = 3").agg(F.min("node")).first()[0]
-    found = G.shortest_paths(edges, start.first()[0], goal)
+    start = written(start, scratch(spark))
+    goal = G.neighborhood(edges, start, 3, stored=True).where("depth = 3").agg(F.min("node")).first()[0]
+    found = G.shortest_paths(edges, start.first()[0], goal, stored=True)
     return found.select(F.array_join("path", ">").alias("path"), "depth", "n_paths")
 
 
