@@ -286,6 +286,23 @@ def test_texts_that_cannot_be_alike_make_no_pairs(spark):
     assert len(got) < 300  # of 3,321
 
 
+def test_texts_that_share_many_rare_shingles_meet_once(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):  # versions of one text, most of them alike, that share many of their rarest shingles
+        words = [f"w{i}" for i in range(220)]
+        for at in range(10, 220, 40):
+            words[at] = f"x{at}.{rng.randrange(3)}"
+        rows.append((k, k, " ".join(words), [1]))
+    texts = spark.createDataFrame(rows, "node long, own long, text string, keys array<long>")
+    rule = neardup.Rule()
+    got = [(min(r), max(r)) for r in neardup.meetings(texts, rule).collect()]
+    assert len(set(got)) <= len(got) < 1.2 * len(set(got))  # it was about ten rows for each
+    every = [(a, b) for a in range(60) for b in range(a)]
+    alike = neardup.similarities(R.texts_of(pa.array([rows[a][2] for a, _ in every])), R.texts_of(pa.array([rows[b][2] for _, b in every])), rule.shingle, rule.threshold) >= rule.threshold
+    assert {(b, a) for (a, b), x in zip(every, alike) if x} <= set(got)
+
+
 def test_parities_bound_what_two_texts_do_not_share():
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (0, 1, 5, 40, 300, 3000)] * 2

@@ -13,7 +13,8 @@ are compared with the one nearest to their mean.  What is then still open meets
 by prefixes: texts that are alike share one of the rarest shingles of each, so
 only those that share such a shingle, as well as a sketch, are verified, and
 never two of one class.  Where they meet, parities of hash slots tell at least how many
-shingles two texts do not share; what cannot be alike by that makes no row.  So
+shingles two texts do not share; what cannot be alike by that makes no row, and a
+pair that shares many rare shingles makes one where it meets by the rarest.  So
 every pair that shares a sketch is verified or ruled out, and a crowded bucket is
 not compared all with all.
 
@@ -45,6 +46,8 @@ SLOTS = 1 << 18
 #: A text has so many words of 64 parity bits, one for each hash slot in which its shingles are an odd number.
 PARITIES = 8
 ODD = [f"odd{i}" for i in range(PARITIES)]
+#: A row of a rare shingle tells so many of its text's rarer ones, so that two texts meet once.
+RARER = 32
 #: Rows of one class are dealt into so many parts where the class's id is joined back.
 PARTS = 16
 _odd = np.random.default_rng(8).integers(1, 1 << 62, 512, dtype=np.uint64) * R.U(2) + R.U(1)
@@ -227,11 +230,16 @@ def contested(rows: DataFrame, group: list[str], classes: DataFrame | None) -> D
 
 
 def with_links(classes: DataFrame, texts: DataFrame, candidates: DataFrame, rule: Rule, folder: str) -> DataFrame:
-    """The classes when those of the candidate pairs (a, b) that verify are linked too."""
+    """The classes when those of the candidate pairs (a, b) that verify are linked too: only the classes that they link are connected anew."""
     if candidates.isEmpty():
         return classes
     links = written(verified(texts, candidates, rule), f"{folder}/links")
-    return classes if links.isEmpty() else components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).union(links), f"{folder}/classes")
+    if links.isEmpty():
+        return classes
+    placed = links.join(classes.toDF("a", "class_a"), "a", "left").join(classes.toDF("b", "class_b"), "b", "left")
+    joined = components(placed.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")), f"{folder}/classes")
+    moved = classes.join(joined.toDF("class", "into"), "class", "left").select("node", F.coalesce("into", "class").alias("class"))
+    return written(moved.union(joined), f"{folder}/joined")
 
 
 def profiles(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -305,21 +313,31 @@ def prefixes(texts: DataFrame, counts: Broadcast, rule: Rule) -> DataFrame:
 
 
 def sharing_rare(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of texts (node, own, text, keys) of different classes that share a sketch and one of their rarest shingles, and can be alike by lengths, places and parities.
+    """Pairs (a, b) of texts (node, own, text, keys) of different classes that share a sketch and one of their rarest shingles, and can be alike by lengths, places and parities."""
+    near = pairs(meetings(texts, rule), "node", "x_node")
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
+    return near.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
+
+
+def meetings(texts: DataFrame, rule: Rule) -> DataFrame:
+    """node, x_node: texts (node, own, text) of different classes that share one of their rarest shingles, and can be alike by lengths, places and parities.
 
     For each shingle only texts that are not of its largest class meet the others.
+    Where two have met by a rarer one they do not meet again, as far as each tells
+    its first RARER: a pair makes a row, or a few if it shares none of those.
     """
     counts = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, rule))
     rows = contested(prefixes(texts, counts, rule), ["shingle"], None)
+    held = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("own", "n", *ODD)), F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("held"))
+    told = held.select("node", "own", "n", *ODD, F.slice("held.shingle", 1, RARER).alias("first"), F.posexplode("held").alias("before", "at"))
+    rows = told.select("node", "own", "n", *ODD, "at.place", "at.shingle", F.slice("first", F.lit(1), F.least("before", F.lit(RARER))).alias("rarer"))
     rows = written(rows, shared_dir(texts.sparkSession))
     largest = rows.groupBy("shingle", "own").count().groupBy("shingle").agg(F.max_by("own", "count").alias("large"))
-    odd = rows.join(largest, "shingle").where("own <> large").select("shingle", "large", *(F.col(c).alias(f"x_{c}") for c in ("node", "own", "n", "place", *ODD)))
+    odd = rows.join(largest, "shingle").where("own <> large").select("shingle", "large", *(F.col(c).alias(f"x_{c}") for c in ("node", "own", "n", "place", "rarer", *ODD)))
     met = rows.join(odd, "shingle").where((F.col("own") != F.col("x_own")) & ((F.col("own") == F.col("large")) | (F.col("x_node") < F.col("node"))))
     apart = reduce(lambda total, c: total + F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))), ODD, F.lit(0))
     most = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place"), (F.col("n") + F.col("x_n") - apart) / 2)
-    near = pairs(met.where(rule.alike("n", "x_n", most)), "node", "x_node")
-    of = lambda c: texts.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
-    return near.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
+    return met.where(rule.alike("n", "x_n", most) & ~F.arrays_overlap("rarer", "x_rarer")).select("node", "x_node")
 
 
 def verified(texts: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:

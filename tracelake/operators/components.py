@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.checkpoints import discard, written
 
+#: A round's edges are written in files of so many or fewer: small tables are not spread over files of a few rows.
+PER_FILE = 100_000
+
 
 def components(edges: DataFrame, folder: str, max_rounds: int = 100) -> DataFrame:
     """node, class: for each node of the edges (a, b) the smallest node that it is connected with.
@@ -18,8 +21,8 @@ def components(edges: DataFrame, folder: str, max_rounds: int = 100) -> DataFram
     """
     spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
-    k = 0
-    while not stars(now):
+    k, n = 0, now.count()
+    while n and not (k and stars(now)):
         if (k := k + 1) > max_rounds:
             raise RuntimeError(f"components are not complete after {max_rounds} rounds")
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -27,7 +30,8 @@ def components(edges: DataFrame, folder: str, max_rounds: int = 100) -> DataFram
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        now = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/{k}")
+        edges = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        now = written(edges.coalesce(1 + n // PER_FILE), f"{folder}/{k}")  # not many more than there were
         discard(spark, f"{folder}/{k - 1}")
     return now.select(F.col("a").alias("node"), F.col("b").alias("class"))
 
