@@ -153,3 +153,18 @@ def test_trade_edges_are_made_once_and_grouped_as_numbers(spark, monkeypatch):
     assert relational.khop_neighborhood(spark, "/root/testdata/sf0.001").count() and len(joined) == 1
     relational.connected_components(spark, "/root/testdata/sf0.001")
     assert given == [{"a": "bigint", "b": "bigint"}]
+
+
+def plan_without_broadcasts(spark, make) -> str:
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_candidates_are_not_sorted_where_they_meet_what_is_shown(spark):
+    from tracelake.plans import evidence
+
+    plan = plan_without_broadcasts(spark, lambda: evidence.source_presentations(spark, "/root/testdata/sf0.001"))
+    assert "ShuffledHashJoin [node" in plan and "SortMergeJoin [node" not in plan

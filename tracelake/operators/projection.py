@@ -104,7 +104,7 @@ def presentations(references: DataFrame, candidates: DataFrame, shown: DataFrame
     where nothing shown stands for it.
     """
     rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
-    met = candidates.join(shown.select("node").distinct(), "node", "left_semi").withColumn("rank", rank).where("rank > 0")
+    met = candidates.join(shown.select("node").distinct().hint("shuffle_hash"), "node", "left_semi").withColumn("rank", rank).where("rank > 0")
     best = met.groupBy("reference", "node").agg(F.min("rank").alias("rank"))
     of = Window.partitionBy("reference")
     told = best.withColumns({"nth": F.row_number().over(of.orderBy("rank", "node")), "first": F.min("rank").over(of)})
