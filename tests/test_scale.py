@@ -163,6 +163,13 @@ def plan_without_broadcasts(spark, make) -> str:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_edges_of_a_model_are_not_sorted_where_they_meet_nodes(spark):
+    from tracelake.plans import evidence
+
+    plan = plan_without_broadcasts(spark, lambda: evidence.projected_model(spark, "/root/testdata/sf0.001"))
+    assert "ShuffledHashJoin [dst" in plan and "SortMergeJoin [dst" not in plan and "SortMergeJoin [src" not in plan
+
+
 def test_candidates_are_not_sorted_where_they_meet_what_is_shown(spark):
     from tracelake.plans import evidence
 

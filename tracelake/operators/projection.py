@@ -67,15 +67,15 @@ def projected(model: Model) -> tuple[DataFrame, DataFrame]:
         model.roots.select("root", sides.alias("side")).select(boundary_node(F.col("root"), F.col("side")), none, F.lit("root-boundary")),
     ])
     nodes = written(nodes, f"{folder}/nodes")
-    shown = nodes.select("node").distinct()
+    shown = nodes.select("node").hint("shuffle_hash")  # nodes are hashed where they meet edges, so no task sorts the edges of a node that has many
 
     below = model.instances.where("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst"), F.when(F.col("primitive").isNull(), "instance-child").otherwise("contains").alias("kind"))
-    others = nodes.join(model.instances.select("node"), "node", "left_anti").where("parent is not null").select("parent", "node", F.lit("contains"))
+    others = nodes.join(model.instances.select("node").hint("shuffle_hash"), "node", "left_anti").where("parent is not null").select("parent", "node", F.lit("contains"))
     held = below.union(others).select("src", "dst", "kind", F.lit("containment").alias("role"), none.alias("id"))
 
     plain = model.flows.where("not link").select("src", "dst", "kind", F.lit("flow"), "id")
     owner = model.endpoints.select("node", "owner")
-    payload = model.flows.where("kind = 'payload'").join(owner.toDF("src", "a"), "src").join(owner.toDF("dst", "b"), "dst").where("a <> b")
+    payload = model.flows.where("kind = 'payload'").join(owner.toDF("src", "a").hint("shuffle_hash"), "src").join(owner.toDF("dst", "b").hint("shuffle_hash"), "dst").where("a <> b")
     aggregate = payload.select("a", "b", "kind", F.lit("aggregate"), "id")
 
     edge, inward = boundary_node(F.col("root"), F.col("direction")), F.col("direction") == INWARD
