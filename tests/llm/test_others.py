@@ -297,7 +297,7 @@ def test_texts_that_share_many_rare_shingles_meet_once(spark):
     texts = spark.createDataFrame(rows, "node long, own long, text string, keys array<long>")
     rule = neardup.Rule()
     got = [(min(r), max(r)) for r in neardup.meetings(texts, rule).collect()]
-    assert len(set(got)) <= len(got) < 1.2 * len(set(got))  # it was about ten rows for each
+    assert len(set(got)) <= len(got) < 1.2 * len(set(got))  # without the rarer shingles 12,732 rows for 1,467 pairs
     every = [(a, b) for a in range(60) for b in range(a)]
     alike = neardup.similarities(R.texts_of(pa.array([rows[a][2] for a, _ in every])), R.texts_of(pa.array([rows[b][2] for _, b in every])), rule.shingle, rule.threshold) >= rule.threshold
     assert {(b, a) for (a, b), x in zip(every, alike) if x} <= set(got)
