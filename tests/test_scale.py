@@ -175,3 +175,54 @@ def test_candidates_are_not_sorted_where_they_meet_what_is_shown(spark):
 
     plan = plan_without_broadcasts(spark, lambda: evidence.source_presentations(spark, "/root/testdata/sf0.001"))
     assert "ShuffledHashJoin [node" in plan and "SortMergeJoin [node" not in plan
+
+
+def exchanges(df) -> list[str]:
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_channels_of_small_owners_are_shuffled_once(spark, monkeypatch):
+    from tracelake.plans import structures
+
+    monkeypatch.setattr(structures, "written", lambda *a: 1 / 0)
+    found = exchanges(structures.protocol_channels(spark, "/root/testdata/sf0.001"))
+    assert len(found) == 1 and "hashpartitioning(owner" in found[0]
+
+
+def test_channels_of_one_owner_are_dealt_out_by_names(spark):
+    import random
+    from itertools import product
+
+    deal = random.Random(5)
+    words = ["", "current", "Current", "a", "A", "ly", "1", "_", "\u00df", "SS", "consume", "complete", "Valid", "Ready"]
+    names = sorted({a + b + c for a, b, c in product(words, words[:-4], ["", "Valid", "Ready", "A"])})
+    kinds = [("output", "Bool", []), ("output", "Int", []), ("input", "Action", ["A", "B"]), ("input", "Action", []), ("output", "Bool", ["A"]), ("input", " Action ", None), (None, "Bool", []), ("output", None, [])]
+    rows = [("m", n, *(kinds[0] if n[-5:] in ("Valid", "Ready") and deal.random() < 0.8 else deal.choice(kinds))) for n in names] + [("m", "tooValid", "output", "Bool", []), ("m", "too", "output", "Int", []), ("n", "tooReady", "output", "Bool", []), ("m", None, "output", "Bool", [])]
+    methods = spark.createDataFrame(rows, "owner string, method string, category string, returns string, parameters array<string>")
+    exact, open_ = M.channels(methods)
+    # an owner's methods do not all go to one task
+    assert exchanges(exact) and all("hashpartitioning(owner" in x and ", " in x.split("hashpartitioning(")[1].split(")")[0].rpartition(", ")[0] for x in exchanges(exact))
+
+    titled = lambda x: x[0].upper() + x[1:]
+    after = lambda m, b: m == b or m.startswith(b) and m[len(b)] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$"
+    rows = [(o, m, c, (r or "").strip(), p or []) for o, m, c, r, p in rows if m]
+    value = [(o, m, r) for o, m, c, r, p in rows if c == "output" and not p and r]
+    acts, plain = [(o, m, p) for o, m, c, r, p in rows if c == "input" and r == "Action"], [(o, m) for o, m, r in value if r != "Bool"]
+    want, unclear = set(), set()
+
+    def settle(suffix, *sides):
+        anchors = [(o, m, m[: -len(suffix)]) for o, m, r in value if r == "Bool" and m.endswith(suffix) and m != suffix]
+        met = [{(o, a): [m for p, m in side if p == o and fits(m, b)] for o, a, b in anchors} for side, fits in sides]
+        for o, a, b in anchors:
+            own = [x[o, a] for x in met]
+            if any(len(c) > 1 or len(c) == 1 and sum(c[0] in v for k, v in x.items() if k[0] == o) > 1 for c, x in zip(own, met)):
+                unclear.add((o, a, tuple(sorted({m for c in own for m in c}))))
+            elif any(own):
+                want.add((o, b, a, *(c[0] if c else None for c in own)))
+
+    settle("Ready", ([(o, m) for o, m, p in acts if p], after))
+    settle("Valid", (plain, lambda m, b: after(m, b) or m == "current" + titled(b)), ([(o, m) for o, m, p in acts if not p], lambda m, b: m in ("consume" + titled(b), "complete" + titled(b))))
+    got = {(r.owner, r.base, r.ready, r.action) if r.ready else (r.owner, r.base, r.valid, r.value, r.consume) for r in exact.collect()}
+    assert got == want and len({x[-1] is None for x in want}) == 2
+    assert {(r.owner, r.anchor, tuple(r.candidates)) for r in open_.collect()} == unclear
+    assert len(want) > 12 and len(unclear) > 12 and any(a.startswith("current") for _, a, _ in unclear)

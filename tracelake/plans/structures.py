@@ -237,27 +237,27 @@ c AS (SELECT owner, base, 'consumeP' || substr(base, 2) AS one FROM methods WHER
 )
 def protocol_channels(spark, d):
     """Orders as owners of methods that their lines stand for: ready, valid, actions and values of three signals."""
-    lines = t(spark, d, "lineitem").select(text_key("m", "l_orderkey").alias("owner"), F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string")).alias("base"), (F.col("l_linenumber") % 5).alias("k"))
+    lines = t(spark, d, "lineitem").select(text_key("m", "l_orderkey").alias("owner"), F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string")).alias("base"), F.when(F.col("l_linenumber") % 5 < 0, 4).otherwise(F.coalesce(F.col("l_linenumber") % 5, F.lit(4))).alias("k"))
     named = {
         "Ready": ("{}Ready", "output", "Bool", []), "act": ("{}", "input", "Action", ["Bit#(8)"]), "actTwo": ("{}Two", "input", "Action", ["Bit#(8)"]), "Valid": ("{}Valid", "output", "Bool", []),
         "value": ("{}_out", "output", "Bit#(8)", []), "consume": ("consumeP{}", "input", "Action", []), "current": ("currentP{}", "output", "Int", []),
     }
     sets = [["Ready", "act"], ["act", "actTwo"], ["Valid", "value"], ["Valid", "consume"], ["current", "Ready"]]
-    what = F.explode(F.get(F.array(*(F.array(*map(F.lit, s)) for s in sets)), F.col("k")))
-    rows = lines.select("owner", "base", what.alias("what")).distinct()
 
-    def method(form: str):
-        subject = F.substr("base", F.lit(2)) if "P{}" in form else F.col("base")
+    def what(form: str, category: str, returns: str, parameters: list):
         before, after = form.split("{}")
-        return F.concat(F.lit(before), subject, F.lit(after))
-
-    pick = lambda f: F.coalesce(*(F.when(F.col("what") == k, f(v)) for k, v in named.items()))
-    lists = lambda v: F.array(*map(F.lit, v[3])).cast("array<string>")
-    methods = rows.select("owner", pick(lambda v: method(v[0])).alias("method"), pick(lambda v: F.lit(v[1])).alias("category"), pick(lambda v: F.lit(v[2])).alias("returns"), pick(lists).alias("parameters"))
-    clear, open_ = M.channels(written(methods, scratch(spark)))
-    out = clear.select("owner", "base", "direction", F.coalesce("ready", "valid").alias("anchor"), F.coalesce("action", "value").alias("first"), "consume", F.lit("").alias("candidates"))
-    none = F.lit(None).cast("string")
-    return out.union(open_.select("owner", none, none, "anchor", none, none, F.array_join("candidates", ",")))
+        values = {"before": before.removesuffix("P"), "capital": before.endswith("P"), "after": after, "category": category, "returns": returns}
+        return F.struct(*(F.lit(v).alias(k) for k, v in values.items()), F.array(*map(F.lit, parameters)).cast("array<string>").alias("parameters"))
+
+    table = F.array(*(F.array(*(what(*named[w]) for w in s)) for s in sets))
+    # an order has few lines, so all that follows stays where its owner is; a line is a few bytes there, and about a kilobyte in the sorts after
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // 500_000 + 1)
+    rows = lines.repartition(tasks, "owner").select("owner", "base", F.inline(F.get(table, F.col("k"))))
+    method = F.concat("before", F.when(F.col("capital"), F.upper("base")).otherwise(F.col("base")), "after")
+    methods = rows.select("owner", method.alias("method"), "category", "returns", "parameters").distinct()
+    clear = lambda x: F.when(~F.col("ambiguous"), x)
+    candidates = F.when(F.col("ambiguous"), F.array_join("candidates", ",")).otherwise("")
+    return M.anchored(methods).select("owner", clear(F.col("base")).alias("base"), clear(F.col("direction")).alias("direction"), "anchor", clear(F.coalesce("action", "value")).alias("first"), clear(F.col("consume")).alias("consume"), candidates.alias("candidates"))
 
 
 # ---- spans in the pages' markup
