@@ -1,5 +1,6 @@
 """What has to stay bounded or dealt out when tables grow."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as X
@@ -57,6 +58,21 @@ def test_states_shared_between_many_groups(spark):
         assert sorted((r["a"], r["b"], r["n_states"], r["states"]) for r in got.collect()) == sorted((a, b, len(v), sorted(v)) for (a, b), v in want.items())
 
 
+def test_pairs_of_a_cell_are_made_in_pieces(spark):
+    access = spark.range(400).select((F.col("id") % 40).alias("behaviour"), F.concat(F.lit("s"), F.expr("id div 40").cast("string")).alias("state"), (F.col("id") % 3 == 0).alias("writes"))
+    found = R.shared_state_pairs(access, per_cell=1000, per_group=150, chunk=30)
+    x, y = access.alias("x"), access.alias("y")
+    want = x.join(y, F.expr("x.state = y.state and x.behaviour < y.behaviour and (x.writes or y.writes)")).groupBy("x.behaviour", "y.behaviour").agg(F.count(F.lit(1)), F.sort_array(F.collect_list("x.state")))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    # pairs and their states are no rows that Spark groups: only the places of a state are told row by row
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    rows = pa.table({"i": [0] * 3, "j": [1] * 3, "g": [0, 1, 1], "state": ["s", "s", "t"], "writers": pa.array([[5], [4], []], pa.list_(pa.int64())), "readers": pa.array([[7], [9, 3], [3]], pa.list_(pa.int64()))})
+    for numbers in (0, 1 << 63):
+        pieces = list(R._pairs_of_cell(2, numbers)(iter(rows.to_batches())))
+        assert sorted((r["a"], r["b"], r["n_states"], r["states"]) for x in pieces for r in x.to_pylist()) == [(3, 5, 1, ["s"]), (4, 5, 1, ["s"]), (4, 7, 1, ["s"]), (5, 9, 1, ["s"])]
+        assert len(pieces) == 2
+
+
 def test_scope_has_edges_as_rows(spark, monkeypatch):
     n, seen = 300, []
     files = spark.range(n).select(F.col("id").alias("path"), F.lit(1).alias("package"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tracelake.operators.checkpoints import scratch, written
 
@@ -70,25 +76,103 @@ def paired(left: DataFrame, right: DataFrame, key: str, block: int = 512, per_ta
     return each.select(key, *(F.col(f"{side}.{c}").alias(c) for side, rows in (("__l", left), ("__r", right)) for c in rows.columns if c != key))
 
 
-def shared_state_pairs(accesses: DataFrame, per_cell: int = 2_000_000) -> DataFrame:
-    """a, b, states: behaviours that access a state in common of which at least one writes it, a < b.
+def _pairs_of_cell(chunk: int, numbers: int = 1 << 63):
+    """What makes the pairs of one cell, about chunk of them with their states at a time; a pair and state is one number where there are enough numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranked(values):
+            """The place of each value in order, and the different values in order."""
+            coded = values.dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)
+            place = np.empty(len(order), np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            return place[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(order)
+
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        column = lambda name: rows.column(name).chunk(0)
+        i, j, g = (column(c).to_numpy() for c in ("i", "j", "g"))
+        same = i[0] == j[0]
+        state, states = ranked(column("state"))
+        lists = [column("writers"), column("readers")]
+        row = np.concatenate([np.repeat(np.arange(len(g)), pc.list_value_length(x).to_numpy()) for x in lists])
+        values = [x.flatten() for x in lists]
+        who, names = ranked(pa.concat_arrays(values))
+        writes, on, n, ns = np.arange(len(who)) < len(values[0]), state[row], len(names), len(states)
+
+        # the right side by state, writers first; the left by behaviour
+        right = np.flatnonzero((g == j)[row])
+        right = right[np.lexsort((~writes[right], on[right]))]
+        met, of_state = who[right], np.bincount(on[right], minlength=ns)
+        of_writers, start = np.bincount(on[right][writes[right]], minlength=ns), np.cumsum(of_state) - of_state
+        left = np.flatnonzero((g == i)[row])
+        size = np.where(writes[left], of_state[on[left]], of_writers[on[left]])
+        left, size = left[size > 0], size[size > 0]
+        order = np.argsort(who[left], kind="stable")
+        left, size = left[order], size[order]
+        who, on, ends = who[left], on[left], np.cumsum(size)
+        last = np.flatnonzero(np.append(who[1:] != who[:-1], True)) + 1 if len(who) else np.empty(0, np.int64)  # behind each behaviour's rows
+        lo = done = 0
+        while lo < len(who):
+            k = max(np.searchsorted(ends[last - 1], done + chunk, "right") - 1, np.searchsorted(last, lo, "right"))
+            hi = last[k]
+            c, at, lowest = size[lo:hi], on[lo:hi], who[lo]
+            x, s = np.repeat(who[lo:hi] - lowest, c), np.repeat(at, c)
+            y = met[np.arange(done, ends[hi - 1]) + np.repeat(start[at] - (ends[lo:hi] - c), c)]
+            if same:
+                keep = x + lowest < y
+                x, y, s = x[keep], y[keep], s[keep]
+            if int(who[hi - 1] - lowest + 1) * n * ns < numbers:
+                key = (x * n + y) * ns + s
+                key.sort()
+                pair, s = np.divmod(key, ns)
+                x, y = np.divmod(pair, n)
+            else:
+                order = np.lexsort((s, y, x))
+                x, y, s = x[order], y[order], s[order]
+            lo, done = hi, ends[hi - 1]
+            if not len(s):
+                continue
+            first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            offsets = np.append(first, len(s)).astype(np.int32)
+            x, y = x[first] + lowest, y[first]
+            found = pa.RecordBatch.from_arrays(
+                [names.take(pa.array(np.minimum(x, y))), names.take(pa.array(np.maximum(x, y))), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), states.take(pa.array(s)))],
+                names=["a", "b", "n_states", "states"],
+            )
+            for k in range(0, len(first), 50_000):
+                yield found.slice(k, 50_000)
+
+    return run
+
+
+def shared_state_pairs(accesses: DataFrame, per_cell: int = 32_000_000, per_group: int = 1_000_000, chunk: int = 1_000_000) -> DataFrame:
+    """a, b, n_states, states: behaviours that access a state in common of which at least one writes it, a < b.
 
     accesses: behaviour, state, writes.  A state that k behaviours read and w
     write gives only pairs with a writer.  Behaviours are dealt into groups, as many as
-    leave about per_cell pairs to each two of them; what two groups do to a state meets
-    in their cell, where pairs are made and counted, so no pair is shuffled.
+    leave about per_cell pairs to each two of them and per_group accesses to each; what
+    two groups do to a state meets in their cell, so no pair is shuffled.  A cell numbers
+    its behaviours and states and makes its pairs as sorted numbers, about chunk at a
+    time: beside its accesses it holds no more, however many pairs it has.
     """
-    each = accesses.where("behaviour is not null and state is not null").groupBy("behaviour", "state").agg(F.max("writes").alias("writes"))
+    each = accesses.where("behaviour is not null and state is not null").groupBy("behaviour", "state").agg(F.coalesce(F.max("writes"), F.lit(False)).alias("writes"))
     each = written(each, scratch(accesses.sparkSession))
-    sizes = each.groupBy("state").agg((F.count(F.lit(1)).cast("double") * F.count_if("writes")).alias("n"))
-    groups = int((2 * (sizes.agg(F.sum("n")).first()[0] or 0) / per_cell) ** 0.5) + 1
-    cells = max(groups * (groups + 1) // 2, accesses.sparkSession.sparkContext.defaultParallelism)
-    blocks = each.groupBy("state", F.pmod(F.xxhash64("behaviour"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("behaviour", "writes")).alias("of"))
-    met = blocks.select("state", F.col("g").alias("i"), F.col("of").alias("xs")).join(blocks.select("state", F.col("g").alias("j"), F.col("of").alias("ys")), "state").where("i <= j")
-    pairs = met.repartition(cells, "i", "j").select("i", "j", "state", F.explode("xs").alias("x"), "ys").select("i", "j", "state", "x", F.explode("ys").alias("y"))
-    pairs = pairs.where("(x.writes or y.writes) and if(i = j, x.behaviour < y.behaviour, x.behaviour <> y.behaviour)")
-    pairs = pairs.select("i", "j", "state", F.least("x.behaviour", "y.behaviour").alias("a"), F.greatest("x.behaviour", "y.behaviour").alias("b"))
-    return pairs.groupBy("i", "j", "a", "b").agg(F.count(F.lit(1)).alias("n_states"), F.sort_array(F.collect_list("state")).alias("states")).drop("i", "j")
+    sizes = each.groupBy("state").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if("writes").alias("w"))
+    pairs, rows = (v or 0 for v in sizes.agg(F.sum(F.col("n") * F.col("w")), F.sum("n")).first())
+    cores = accesses.sparkSession.sparkContext.defaultParallelism
+    to_each = min(per_cell, max(1_000_000, pairs / (4 * cores)))
+    groups = int(max((2 * pairs / to_each) ** 0.5, rows / per_group)) + 1
+    tasks = min(groups * (groups + 1) // 2, max(4 * cores, int(2 * pairs // to_each)))
+    dealt = each.withColumn("g", F.pmod(F.xxhash64("behaviour"), F.lit(groups)))
+    # where a state's accesses have to go: to the cells with groups that have it too, if one of both writes it
+    places = dealt.groupBy("state", "g").agg(F.max("writes").alias("w")).groupBy("state").agg(F.collect_list(F.struct("g", "w")).alias("others"))
+    of = lambda kind, which: F.collect_list(F.when(which, F.col("behaviour"))).alias(kind)
+    blocks = dealt.groupBy("state", "g").agg(of("writers", F.col("writes")), of("readers", ~F.col("writes")))
+    sent = blocks.join(places, "state").withColumn("other", F.explode("others")).where("other.w or size(writers) > 0")
+    sent = sent.select(F.least("g", "other.g").alias("i"), F.greatest("g", "other.g").alias("j"), "g", "state", "writers", "readers").repartition(tasks, "i", "j")
+    types = {f.name: f.dataType for f in each.schema.fields}
+    found = StructType([StructField("a", types["behaviour"]), StructField("b", types["behaviour"]), StructField("n_states", LongType()), StructField("states", ArrayType(types["state"]))])
+    return sent.groupBy("i", "j").applyInArrow(_pairs_of_cell(chunk), found)
 
 
 def summarised(relations: DataFrame, keys: list[str], members: dict[str, Column]) -> DataFrame:
