@@ -24,6 +24,15 @@ def test_pairs_of_one_key_are_dealt_out_whole(spark):
     assert R.paired(left.where("a < 0"), right, "key").count() == 0
 
 
+def test_pairs_of_blocks_are_made_in_pieces(spark):
+    left = spark.createDataFrame([(f"k{n}", a) for n in (1, 15, 16, 17, 33) for a in range(n)], "key string, a long")
+    right = spark.createDataFrame([(f"k{n}", b) for n in (1, 16, 17) for b in range(n + 2)], "key string, b long")
+    found = R.paired(left, right, "key")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, left.join(right, "key").collect()))
+    # a block of the left comes in slices, so the rows of two whole blocks are never held at once
+    assert "slice(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_slices_of_one_definition_are_dealt_out(spark):
     behaviours = spark.range(4000).coalesce(1).select(F.col("id").alias("behaviour"), F.lit(1).alias("definition"))
     parts = {"statement": spark.range(500).coalesce(1).select(F.lit(1).alias("definition"), "id"), "binding": spark.range(3).select(F.col("id").alias("behaviour"), "id")}
