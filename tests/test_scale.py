@@ -124,6 +124,37 @@ def test_parts_of_many_arguments_are_followed_once(spark, monkeypatch):
     assert sum(rows) < 10
 
 
+def test_producers_are_dealt_by_argument_once(spark, monkeypatch):
+    paths, real = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, path: (paths.append(path.rpartition("/")[2]), real(df, path))[1])
+    arguments = [("c1", 0, "x", "b"), ("c1", 0, "x", "b"), ("c2", 1, "p", "b"), ("c3", 0, "lone", "b"), ("c4", 0, "m", "other"), ("c5", 0, None, "b")]
+    parts = [("x", "p"), ("x", "p"), ("x", "q"), ("p", "m"), ("q", "m"), ("m", "p"), ("p", "m"), ("unasked", "m"), ("x", None)]
+    references = [("m", "s", "0"), ("m", "s", "0"), ("p", "s", "1"), ("lone", "t", "0")]
+    bindings = [("k", "b", "s", "0", "e"), ("j", "b", "s", "1", "f"), ("i", "b", "t", "0", "g"), ("h", "other", "s", "1", "e")]
+    want = []
+    for call, position, at, caller in arguments:
+        seen = {at}
+        while (more := seen | {b for a, b in parts if a in seen}) != seen:
+            seen = more
+        want += [(call, position, e, k[0], k[4]) for e, statement, place in references if e in seen for k in bindings if k[1:4] == (caller, statement, place)]
+    n = {}
+    for r in want:
+        n[r[:3]] = n.get(r[:3], 0) + 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = C.producers(
+            spark.createDataFrame(arguments, "call string, position int, expression string, caller string"), spark.createDataFrame(parts, "expression string, part string"),
+            spark.createDataFrame(references, "expression string, statement string, place string"), spark.createDataFrame(bindings, "binding string, behaviour string, statement string, place string, endpoint string"),
+        )
+        assert sorted(map(tuple, found.collect())) == sorted((*r, "ambiguous" if n[r[:3]] > 1 else "exact") for r in want)
+        plan = found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the arguments and what they come to are shuffled once each, and parts are written once
+    assert plan.count("hashpartitioning(argument#") == 2
+    assert paths == ["parts"]
+
+
 def test_widths_read_members_once(spark, monkeypatch):
     paths, real = [], X.written
     monkeypatch.setattr(X, "written", lambda df, path: (paths.append(path), real(df, path))[1])

@@ -165,10 +165,11 @@ def producers(arguments: DataFrame, parts: DataFrame, references: DataFrame, bin
     folder = scratch(spark)
     parts = parts.select(F.col("expression").alias("at"), F.col("part").alias("next"))
     passed = arguments.select("call", "position", F.col("expression").alias("argument"), F.col("caller").alias("behaviour"))
-    first = parts.withColumnRenamed("at", "argument").join(arguments.select(F.col("expression").alias("argument")), "argument", "left_semi").distinct()
-    first = written(first.withColumnRenamed("next", "first"), f"{folder}/first")
-    # edges out of what is a part itself: those of arguments that are none are in the table above
-    inner = written(parts.join(parts.select(F.col("next").alias("at")), "at", "left_semi").distinct(), f"{folder}/inner")
+    # one pass over the parts tells which are of an argument and which are of a part; equal rows may stay, as what they lead to is made distinct
+    marks = arguments.select(F.col("expression").alias("at"), F.lit(True).alias("passed"), F.lit(False).alias("inner")).union(parts.select("next", F.lit(False), F.lit(True)))
+    marked = written(parts.join(marks.groupBy("at").agg(F.max("passed").alias("passed"), F.max("inner").alias("inner")), "at"), f"{folder}/parts")
+    first = marked.where("passed").select(F.col("at").alias("argument"), F.col("next").alias("first"))
+    inner = marked.where("inner").select("at", "next")
     levels = Levels(spark, f"{folder}/levels", "depth")
     level = first.select("first", F.col("first").alias("at")).distinct()
     while levels.add(level)["rows"]:
@@ -180,7 +181,8 @@ def producers(arguments: DataFrame, parts: DataFrame, references: DataFrame, bin
     named = levels.all().select("first", F.col("at").alias("expression")).join(references, "expression")
     own = references.select(F.col("expression").alias("argument"), *references.columns)
     below = first.join(named, "first").select(own.columns)
-    met = passed.join(below.union(own).distinct(), "argument").withColumn("repeats", F.explode(F.array_repeat(F.lit(0), F.col("repeats"))))
+    # dealt by argument, so what is distinct lies where the arguments meet it
+    met = passed.join(below.union(own).repartition("argument").distinct(), "argument").withColumn("repeats", F.explode(F.array_repeat(F.lit(0), F.col("repeats"))))
     met = met.join(bindings.select("binding", "behaviour", "statement", "place", "endpoint"), ["behaviour", "statement", "place"])
     several = F.count(F.lit(1)).over(Window.partitionBy("call", "position", "expression")) > 1
     return met.select("call", "position", "expression", "binding", "endpoint", F.when(several, "ambiguous").otherwise(EXACT).alias("status"))

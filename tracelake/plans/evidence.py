@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import symbols, text as X
@@ -366,8 +366,10 @@ def call_producers(spark, d):
     lines = t(spark, d, "lineitem").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
     lines = lines.withColumns({"id": F.concat_ws(".", *parts), "behaviour": text_key("c", "o_custkey"), "statement": text_key("t", "l_partkey")})
-    lines = written(lines.select("id", "behaviour", "statement", "l_partkey", "l_suppkey", "l_returnflag"), scratch(spark))
-    passed = lines.select(F.col("id").alias("call"), F.lit(1).alias("position"), text("x", F.col("id")).alias("expression"), F.col("behaviour").alias("caller")).distinct()
+    # equal lines of an order are one call: they are told apart where the join has them, by order
+    again = F.row_number().over(Window.partitionBy("l_orderkey", "id", "behaviour").orderBy(F.lit(0))) > 1
+    lines = written(lines.select("id", "behaviour", "statement", "l_partkey", "l_suppkey", "l_returnflag", again.alias("again")), scratch(spark))
+    passed = lines.where("not again").select(F.col("id").alias("call"), F.lit(1).alias("position"), text("x", F.col("id")).alias("expression"), F.col("behaviour").alias("caller"))
     key = t(spark, d, "part").select("p_partkey")
     inside = union(lines.select(text("x", F.col("id")), text_key("p", "l_partkey")), key.select(text_key("p", "p_partkey"), text_key("m", "p_partkey")), key.select(text_key("m", "p_partkey"), text_key("p", "p_partkey"))).toDF("expression", "part")
     references = key.select(text_key("m", "p_partkey").alias("expression"), text_key("t", "p_partkey").alias("statement"), F.lit("0:0").alias("place"))
